@@ -24,17 +24,34 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlattice.llm.language_id import held_out, identify_language
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return identify_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlattice.llm.mixing import mix_plan
 
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlattice.llm.class_lm import held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = score_documents(docs, docs.filter(~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe": op4_bpe,
+        "op5_language_id": op5_language_id,
         "op7_mixing": op7_mixing,
+        "op8_class_lm": op8_class_lm,
     }
 
 
