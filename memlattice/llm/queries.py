@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from memlattice.llm.common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlattice.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlattice.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlattice.llm.exact_dedup import exact_dedup
 
@@ -47,6 +59,8 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe": op4_bpe,
         "op5_language_id": op5_language_id,
