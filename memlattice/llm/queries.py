@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from memlattice.llm.common import table
 
@@ -57,6 +58,26 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlattice.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlattice.llm.pii import KINDS, find_pii, span_list
+
+    found = find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+    bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    counts = [
+        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
+        for i, k in enumerate(KINDS[:4])
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_list(bare), 256).alias("base_sha256"), span_list(F.array_sort(F.concat(bare, "terms"))).alias("spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -66,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op7_mixing": op7_mixing,
         "op8_class_lm": op8_class_lm,
+        "op9_repeats": op9_repeats,
+        "op10_pii": op10_pii,
     }
 
 
