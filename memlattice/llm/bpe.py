@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of byte positions.  Every adjacent pair that the
-vocabulary can merge is queued in the bucket of its rank; three levels of 64-bit words over
-the ranks tell which buckets hold anything, so the next rank is three find-first-sets away
+vocabulary can merge is queued in the bucket of its rank; two levels of 256-bit words over
+the ranks tell which buckets hold anything, so the next rank is two find-first-sets away
 however long the pre-token is.  Merging changes only the two neighbouring pairs;
 entries that a merge has outdated stay queued and are skipped when popped.  A pre-token of n
 bytes so costs O(n log n), against O(n^2) for repeated scans of the list.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker keeps; the older half goes when there are more.
-CACHE = 300_000
+CACHE = 500_000
 #: Longer pre-tokens are rarely repeated and are not kept.
 CACHED_CHARS = 40
 #: Unicode's White_Space property, which is what ``\s`` means to the pattern's home library.
@@ -32,48 +32,59 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_BIT = [1 << i for i in range(256)]
+
+
 class RankQueue:
-    """Set of (rank, position) entries; pops the least rank, then the least position."""
+    """Set of (rank, position) entries, least rank first and then least position.
+
+    ``low`` has a bit for each rank in words of 256, ``top`` a bit for each word that has one.
+    A bucket is a position, or a heap of positions once it has had several.  An emptied queue is as good as new.
+    ``Codec.merge`` has the two operations written out, for the sake of the many short pre-tokens.
+    """
 
-    __slots__ = ("buckets", "top", "mid", "low")
+    __slots__ = ("buckets", "top", "low")
 
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
+    def __init__(self, ranks: int):
+        self.buckets: dict[int, int | list[int]] = {}
+        self.low = [0] * ((ranks >> 8) + 1)
         self.top = 0
-        self.mid: dict[int, int] = {}
-        self.low: dict[int, int] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, part = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.mid[part] = self.mid.get(part, 0) | 1 << (word & 63)
-        self.top |= 1 << part
+        word, bit = rank >> 8, _BIT[rank & 255]
+        if self.low[word] & bit:
+            _add(self.buckets, rank, position)
+        else:
+            self.low[word] |= bit
+            self.top |= 1 << word
+            self.buckets[rank] = position
 
     def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
+        if not self.top:
             return None
-        part = (top & -top).bit_length() - 1
-        mid = self.mid[part]
-        word = part << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = word << 6 | (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[word] = low = low & (low - 1)
-            if not low:
-                self.mid[part] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top = top & (top - 1)
+        first = self.top & -self.top
+        word = first.bit_length() - 1
+        bit = self.low[word] & -self.low[word]
+        rank = word << 8 | bit.bit_length() - 1
+        position = self.buckets[rank]
+        if position.__class__ is list:
+            bucket = position
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+        self.low[word] ^= bit
+        if not self.low[word]:
+            self.top ^= first
         return rank, position
 
 
+def _add(buckets: dict, rank: int, position: int) -> None:
+    bucket = buckets[rank]
+    if bucket.__class__ is not list:
+        bucket = buckets[rank] = [bucket]
+    heappush(bucket, position)
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -85,27 +96,49 @@ class Codec:
         self.names = [str(i) for i in range(len(self.values))]
         inside = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.split = regex.compile(inside).findall
+        self.queue = RankQueue(len(self.values))
         self.cache: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         ranks = self.ranks
-        whole = ranks.get(piece)
+        get = ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = RankQueue()
-        push, pop, get = queue.push, queue.pop, ranks.get
-        due: list[int | None] = [None] * n  # the rank of the pair that begins at a position
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
+        due: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)]  # the rank of the pair that begins at a position
+        due.append(None)
+        buckets, low, top, bits = self.queue.buckets, self.queue.low, 0, _BIT
+        for i, r in enumerate(due):
             if r is not None:
-                due[i] = r
-                push(r, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+                word, bit = r >> 8, bits[r & 255]
+                if low[word] & bit:
+                    _add(buckets, r, i)
+                else:
+                    low[word] |= bit
+                    top |= 1 << word
+                    buckets[r] = i
+        while top:
+            first = top & -top
+            word = first.bit_length() - 1
+            here = low[word]
+            bit = here & -here
+            rank = word << 8 | bit.bit_length() - 1
+            i = buckets[rank]
+            if i.__class__ is list:
+                bucket = i
+                i = heappop(bucket)
+                if not bucket:
+                    bucket = None
+            else:
+                bucket = None
+            if bucket is None:
+                low[word] = here = here ^ bit
+                if not here:
+                    top ^= first
             if due[i] != rank:
                 continue  # stale
             j = after[i]
@@ -116,14 +149,26 @@ class Codec:
                 before[k] = i
                 due[i] = r = get(merged + parts[k])
                 if r is not None:
-                    push(r, i)
+                    word, bit = r >> 8, bits[r & 255]
+                    if low[word] & bit:
+                        _add(buckets, r, i)
+                    else:
+                        low[word] |= bit
+                        top |= 1 << word
+                        buckets[r] = i
             else:
                 due[i] = None
             h = before[i]
             if h >= 0:
                 due[h] = r = get(parts[h] + merged)
                 if r is not None:
-                    push(r, h)
+                    word, bit = r >> 8, bits[r & 255]
+                    if low[word] & bit:
+                        _add(buckets, r, h)
+                    else:
+                        low[word] |= bit
+                        top |= 1 << word
+                        buckets[r] = h
         return [ranks[p] for p in parts if p is not None]
 
     def encode(self, text: str) -> list[int]:
