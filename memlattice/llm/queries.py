@@ -44,6 +44,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlattice.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlattice.llm.mixing import mix_plan
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe": op4_bpe,
         "op5_language_id": op5_language_id,
+        "op6_html": op6_html,
         "op7_mixing": op7_mixing,
         "op8_class_lm": op8_class_lm,
         "op9_repeats": op9_repeats,
