@@ -10,10 +10,10 @@
 * Skip: for the pairs found, the rest of the lists is not merged; their collisions are counted on the two token lists.
 * Pairs that pass are confirmed on the full sets.
 
-Only connected components are wanted, so members of one posting list are first compared with its
-smallest class.  Only then are the members that are still in different
-components compared with each other, all of them: a large group of near copies costs a
-row a member, and no link is lost.
+Only connected components are wanted, so members of one posting list are first compared with its hub, the
+class that shares most tokens with others.  Members that are then still in different components are all
+compared with each other, by an exact prefix join on their full sets: a large group of near
+copies costs a row a member, and no link is lost.
 """
 
 from __future__ import annotations
@@ -171,30 +171,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = shared.withColumn("own", F.count("*").over(by_rep)).filter(F.col("own") >= MATCHES)
     ranked = ranked.withColumn("rn", F.row_number().over(by_rep.orderBy("freq", "tok")))
     # lists of the shared tokens; the first own - MATCHES + 1 are what is left of the prefix
-    lists = scratch.save(ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("x")).select("rep", F.col("x.tok").alias("toks")))
-    sizes = classes.select("rep", "n")
-    lists_n = scratch.save(lists.join(sizes, "rep"))
-    prefix = lists_n.select("rep", "n", F.explode(F.slice("toks", F.lit(1), F.size("toks") - MATCHES + 1)).alias("tok"))
-    lone = prefix.groupBy("tok").agg(F.count("*").alias("k"), F.min(F.struct("rep", "n")).alias("lead")).filter("k > 1")
-    close = lambda a, b: F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
-    star = prefix.join(lone, "tok").filter("rep > lead.rep").filter(close(F.col("n"), F.col("lead.n")))
-    star = star.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = prefix.join(lone, "tok", "left_semi").select("rep").distinct()
+    lists = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("x"), F.sum("freq").alias("score"))
+    lists = scratch.save(lists.select("rep", F.col("x.tok").alias("toks"), "score").join(classes.select("rep", "n"), "rep"))
+    prefix = lists.select("rep", "n", "score", F.explode(F.slice("toks", F.lit(1), F.size("toks") - MATCHES + 1)).alias("tok"))
+    # the hub of a list is the class that shares most with others
+    lead = F.max_by(F.struct("rep", "n"), F.struct("score", F.negate("rep"))).alias("lead")
+    hubs = prefix.groupBy("tok").agg(F.count("*").alias("k"), lead).filter("k > 1").drop("k")
+    star = prefix.join(hubs, "tok").filter("rep != lead.rep").filter(_close(F.col("n"), F.col("lead.n")))
+    star = star.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+    wanted = prefix.join(hubs, "tok", "left_semi").select("rep").distinct()
     sets = scratch.save(_sets(docs, wanted, id_col, text_col))
     links = scratch.save(_confirm(star, lists, sets))
     roots = scratch.save(connected_components(links))
-    # what is still apart: all pairs of a list between different components
-    labelled = prefix.join(lone.select("tok"), "tok", "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "root", F.coalesce("root", "rep")
-    )
-    per_root = labelled.groupBy("tok", "root").agg(F.count("*").alias("m"))
-    main = per_root.groupBy("tok").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).filter("roots > 1")
-    rest = scratch.save(labelled.join(main.select("tok", "main"), "tok"))
-    x = rest.filter("root != main").select("tok", F.col("rep").alias("xa"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = rest.select("tok", F.col("rep").alias("xb"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    apart = x.join(y, "tok").filter("ra != rb and (in_main or xa < xb)").filter(close(F.col("na"), F.col("nb")))
-    apart = apart.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")).distinct()
-    apart = apart.join(star, ["a", "b"], "left_anti")
+    labelled = prefix.join(hubs.select("tok"), "tok").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.withColumn("root", F.coalesce("root", "rep"))
+    apart = scratch.save(_apart(labelled, sets).join(star, ["a", "b"], "left_anti"))
     more = scratch.save(_confirm(apart, lists, sets))
     if not more.isEmpty():
         roots = scratch.save(connected_components(links.union(more)))
@@ -202,6 +193,42 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return member.select("id", "n", "rep"), roots
 
 
+def _close(a, b):
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
+
+
+def _apart(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that share a posting list and may be linked: all those that are.
+
+    Sets with Jaccard j or more share one of their |a| - o + 1 and |b| - o + 1 rarest shingles, o being the overlap that j
+    asks of their sizes.  What an edited copy has in common with its many relatives are frequent shingles, so copies
+    that are too far from each other do not even meet here.
+    """
+    mixed = labelled.groupBy("tok").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r != s").select("tok")
+    members = labelled.join(mixed, "tok", "left_semi").select("rep", "root").distinct()
+    posts = sets.join(members, "rep").select("rep", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
+    common = posts.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1")
+    by_rep = Window.partitionBy("rep")
+    ranked = posts.join(common, "tok").withColumn("own", F.count("*").over(by_rep)).withColumn("rn", F.row_number().over(by_rep.orderBy("freq", "tok")))
+    # place in the rarest-first order: shingles that the set has alone come before the shared ones
+    ranked = ranked.withColumn("at", F.col("n") - F.col("own") + F.col("rn") - 1).filter(F.col("at") * DENOMINATOR <= F.col("n") * (DENOMINATOR - NUMERATOR))
+    per_root = ranked.groupBy("tok", "root").agg(F.count("*").alias("m"))
+    main = per_root.groupBy("tok").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).filter("roots > 1")
+    rest = ranked.join(main.select("tok", "main"), "tok").select("tok", "rep", "n", "at", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    x = rest.filter("not in_main").select("tok", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "at", "root")])
+    y = rest.select("tok", "in_main", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "at", "root")])
+    overlap = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR))
+    pair = (
+        (F.col("root_x") != F.col("root_y"))
+        & (F.col("in_main") | (F.col("rep_x") < F.col("rep_y")))
+        & _close(F.col("n_x"), F.col("n_y"))
+        & (F.col("at_x") + overlap <= F.col("n_x"))
+        & (F.col("at_y") + overlap <= F.col("n_y"))
+    )
+    return x.join(y, "tok").filter(pair).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose token lists collide often enough and whose full sets are similar enough."""
     la = lists.select(F.col("rep").alias("a"), F.col("toks").alias("ta"))
