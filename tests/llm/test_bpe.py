@@ -22,7 +22,7 @@ def library():
 
 
 def test_queue_pops_in_rank_then_position_order():
-    rng, queue, entries = random.Random(1), RankQueue(), []
+    rng, queue, entries = random.Random(1), RankQueue(50_000), []
     for _ in range(2000):
         entries.append((rng.randrange(50_000), rng.randrange(100)))
         queue.push(*entries[-1])
