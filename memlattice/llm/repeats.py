@@ -9,8 +9,9 @@ tasks agree on without exchange; sorting ranks, to see which are unique, is Spar
   and about 3 positions in 100 do for all.  Anchors with a unique rank are done: no string they stand for repeats.
   Ranks that repeat are paired with the rank of all the bytes that the anchor's strings span: where both repeat,
   all these strings do, and those not first are marked at once.
-* Round 2 sorts, for anchors that are left (at the edges of repeats), the pairs of 64-byte ranks at offsets 0 and 36: past
-  the threshold, 100 bytes.  Strings that are not the first of their rank are marked.
+* Round 2 takes the anchors that are left, at the edges of repeats, in blocks of nine neighbouring strings.  It sorts the
+  pairs of 64-byte ranks that make up the 92 bytes which a block's strings have in common; where such a pair repeats, the
+  strings are told apart, at 100 bytes past the threshold, by their few other bytes.  Those not first are marked.
 
 A task first settles what repeats within itself and sends one row for a rank, so a passage that a third of
 all documents share costs each task one row.  Positions are (document, offset) and never lists of a group.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,7 +94,7 @@ def pieces(keys: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tu
 
 
 def anchors(data: np.ndarray, parts: list) -> tuple[np.ndarray, ...]:
-    """For each anchor: index of its part, first and last string that it stands for, ranks of 32 bytes and of the span."""
+    """For each anchor: index of its part, first and last string that it stands for, its place, ranks of its 32 bytes and of the span."""
     r32, r64 = ranks(data)
     chosen = _argmin(r32)
     n = len(chosen)  # strings of 100 bytes in the buffer
@@ -109,7 +111,7 @@ def anchors(data: np.ndarray, parts: list) -> tuple[np.ndarray, ...]:
     hi = np.append(lo[1:], n) - 1
     lo, hi = lo[whole[lo]], hi[whole[lo]]
     span = mix64(r64[lo] ^ mix64(r64[hi + SHIFT])) * _U(0x9FB21C651E98DF25) + mix64(r64[lo + SHIFT] + mix64(r64[hi] ^ (hi - lo).astype(np.uint64)))
-    return part[lo], lo, hi, r32[chosen[lo]], mix64(span)
+    return part[lo], lo, hi, chosen[lo].astype(np.int64), r32[chosen[lo]], mix64(span)
 
 
 SETTLED, OPEN, ASK, TELL = 1, 2, 0, 3
@@ -144,8 +146,17 @@ def _encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-#: A position and how many strings follow it under the same anchor, in one number.
-_SPAN_BITS = 7
+#: First string of an anchor, places from there to the anchor and to its last string, in one number.
+_BITS = 7
+_LOW = (1 << _BITS) - 1
+
+
+def _pack(first, to_anchor, to_last):
+    return (first << 2 * _BITS) | (to_anchor << _BITS) | to_last
+
+
+#: Neighbouring strings of an anchor that are looked at together in round 2, but for one.
+REACH = 8
 
 
 def _round_1(slim: DataFrame) -> DataFrame:
@@ -155,10 +166,10 @@ def _round_1(slim: DataFrame) -> DataFrame:
         held, n = [], 0
         for b in batches:
             for data, parts in pieces(b["doc"].tolist(), [_encode(t) for t in b["text"]]):
-                part, lo, hi, rank, span = anchors(data, parts)
+                part, lo, hi, at, rank, span = anchors(data, parts)
                 doc = np.array([p[0] for p in parts], np.int64)[part]
                 move = np.array([p[1] - p[2] for p in parts], np.int64)[part]
-                held.append((rank, span, doc, (lo + move) << _SPAN_BITS | (hi - lo)))
+                held.append((rank, span, doc, _pack(lo + move, at - lo, hi - lo)))
                 n += len(lo)
                 if n >= FLUSH:
                     yield settle(*map(np.concatenate, zip(*held, strict=True)))
@@ -175,8 +186,34 @@ def _round_1(slim: DataFrame) -> DataFrame:
     return left.filter("open or state = 1 or not first").select("doc", "pos", "open")
 
 
+def blocks(data: np.ndarray, r64: np.ndarray, start: np.ndarray, to_anchor: np.ndarray, to_last: np.ndarray):
+    """The strings of open anchors in blocks of REACH + 1, aligned with the anchor: two ranks of the bytes that all strings of a
+    full block have, the REACH bytes before these and the REACH bytes after as numbers, begin of the common bytes, and how
+    far before it the nearest and the farthest string of the block begin.
+
+    A string is then its block's common bytes with some of the bytes on either side: comparing strings needs the text no more.
+    """
+    low, high = (to_anchor - to_last) // (REACH + 1), to_anchor // (REACH + 1)
+    n = high - low + 1
+    i = np.repeat(np.arange(len(start)), n)
+    b = low[i] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    near = b * (REACH + 1)  # places from the nearest string of a full block to the anchor
+    core = start[i] + to_anchor[i] - near
+    k1 = np.maximum(to_anchor[i] - to_last[i] - near, 0)
+    k2 = np.minimum(to_anchor[i] - near, REACH)
+    x, y = r64[core], r64[core - REACH + SHIFT]
+    c1 = mix64(x + mix64(y ^ b.astype(np.uint64)))
+    c2 = mix64(mix64(x) ^ (y * _U(0x9FB21C651E98DF25)))
+    padded = np.concatenate([np.zeros(REACH, np.uint64), data.astype(np.uint64), np.zeros(REACH, np.uint64)])
+    left, right = np.zeros(len(core), np.uint64), np.zeros(len(core), np.uint64)
+    for j in range(REACH):
+        left |= padded[core - 1 - j + REACH] << _U(8 * j)
+        right |= padded[core - REACH + LENGTH + j + REACH] << _U(8 * j)
+    return i, c1, c2, left, right, core, k1, k2
+
+
 def _round_2(opened: DataFrame) -> DataFrame:
-    """(doc, pos): strings of open anchors that are not the first of their rank."""
+    """(doc, pos): strings of open anchors that are not the first of their rank, as packed ranges."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -184,34 +221,47 @@ def _round_2(opened: DataFrame) -> DataFrame:
             at = {d: np.sort(np.asarray(x, np.int64)) for d, x in zip(b["doc"], b["at"], strict=True)}
             for data, parts in pieces(b["doc"].tolist(), [_encode(t) for t in b["text"]]):
                 _, r64 = ranks(data)
-                for doc, off, begin, end in parts:
+                mine = []
+                for doc, off, begin, _ in parts:
                     x = at[doc]
-                    start, more = x >> _SPAN_BITS, x & ((1 << _SPAN_BITS) - 1)
-                    ok = (start >= off) & (start < off + CHUNK)
-                    start, more = start[ok], more[ok]
-                    p = np.repeat(start - off + begin, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                    p = p[p + LENGTH <= end]
-                    held.append((r64[p], r64[p + SHIFT], np.full(len(p), doc), p - begin + off))
-                    n += len(p)
+                    first = x >> 2 * _BITS
+                    x = x[(first >= off) & (first < off + CHUNK)]
+                    mine.append((x, np.full(len(x), doc), np.full(len(x), begin - off)))
+                x, doc, move = map(np.concatenate, zip(*mine, strict=True))
+                if not len(x):
+                    continue
+                i, c1, c2, left, right, core, k1, k2 = blocks(data, r64, (x >> 2 * _BITS) + move, x >> _BITS & _LOW, x & _LOW)
+                held.append((c1, c2, left, right, doc[i], (core - move[i]) << 8 | k1 << 4 | k2))
+                n += len(i)
                 if n >= FLUSH:
-                    yield first_seen(*map(np.concatenate, zip(*held, strict=True)))
+                    yield settle_blocks(*map(np.concatenate, zip(*held, strict=True)))
                     held, n = [], 0
         if held:
-            yield first_seen(*map(np.concatenate, zip(*held, strict=True)))
-
-    seen = opened.mapInPandas(run, "a long, b long, doc long, pos long, again boolean")
-    order = Window.partitionBy("a", "b").orderBy("doc", "pos")
-    return seen.withColumn("rn", F.row_number().over(order)).filter("again or rn > 1").select("doc", "pos")
-
-
-def first_seen(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-    """A row for each string; those not first in this task are known to come again, and go under a key of their own."""
-    order = np.lexsort((pos, doc, b, a))
-    a, b, doc, pos = a[order], b[order], doc[order], pos[order]
-    again = np.zeros(len(a), bool)
-    again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    a = np.where(again, mix64(doc.astype(np.uint64) ^ mix64(pos.astype(np.uint64))), a)
-    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "doc": doc, "pos": pos, "again": again})
+            yield settle_blocks(*map(np.concatenate, zip(*held, strict=True)))
+
+    seen = opened.mapInPandas(run, "c1 long, c2 long, l long, r long, doc long, pos long, again boolean")
+    many = F.count("*").over(Window.partitionBy("c1", "c2")) > 1
+    left = seen.withColumn("many", many).filter("again or many")
+    core, near, far = F.shiftright("pos", 8), F.shiftright("pos", 4).bitwiseAND(F.lit(15)), F.col("pos").bitwiseAND(F.lit(15))
+    whole = left.filter("again").select("doc", F.shiftleft(core - far, 2 * _BITS).bitwiseOR(far - near).alias("pos"))
+    masks = F.array(*[F.lit((1 << 8 * k) - 1 if k < 8 else -1).cast("long") for k in range(REACH + 1)])
+    each = left.filter("not again").select("c1", "c2", "l", "r", "doc", core.alias("core"), F.explode(F.sequence(near.cast("int"), far.cast("int"))).alias("k"))
+    around = F.expr("l").bitwiseAND(masks[F.col("k")]).bitwiseOR(F.call_function("shiftleft", F.expr("r").bitwiseAND(masks[F.lit(REACH) - F.col("k")]), F.col("k") * 8))
+    strings = each.select("c1", "c2", "k", around.alias("around"), "doc", (F.col("core") - F.col("k")).alias("at"))
+    rn = F.row_number().over(Window.partitionBy("c1", "c2", "k", "around").orderBy("doc", "at"))
+    alone = strings.withColumn("rn", rn).filter("rn > 1").select("doc", F.shiftleft("at", 2 * _BITS).alias("pos"))
+    return whole.union(alone)
+
+
+def settle_blocks(c1, c2, left, right, doc, pos) -> pd.DataFrame:
+    """A row for each block; one that equals another of this task before it is known to come again, and goes under a key of its own."""
+    order = np.lexsort((pos, doc, pos & 255, right, left, c2, c1))
+    c1, c2, left, right, doc, pos = c1[order], c2[order], left[order], right[order], doc[order], pos[order]
+    again = np.zeros(len(c1), bool)
+    again[1:] = (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (pos[1:] & 255 == pos[:-1] & 255)
+    c1 = np.where(again, mix64(doc.astype(np.uint64) ^ mix64(pos.astype(np.uint64))), c1)
+    cols = {"c1": c1.view(np.int64), "c2": c2.view(np.int64), "l": left.view(np.int64), "r": right.view(np.int64)}
+    return pd.DataFrame({**cols, "doc": doc, "pos": pos, "again": again})
 
 
 def covered(n: int, starts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
@@ -225,27 +275,27 @@ def covered(n: int, starts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for text, spans, alone in zip(b["text"], b["spans"], b["alone"], strict=True):
+        for text, spans in zip(b["text"], b["spans"], strict=True):
             data = _encode(text)
             removed = runs = 0
-            if spans is not None or alone is not None:
-                x = np.asarray(spans if spans is not None else [], np.int64)
-                y = np.asarray(alone if alone is not None else [], np.int64)
-                start = np.concatenate([x >> _SPAN_BITS, y])
-                cover = covered(len(data), start, np.concatenate([(x >> _SPAN_BITS) + (x & ((1 << _SPAN_BITS) - 1)), y]))
+            kept = data
+            if spans is not None:
+                x = np.asarray(spans, np.int64)
+                start = x >> 2 * _BITS
+                cover = covered(len(data), start, start + (x & _LOW))
                 removed, runs = int(cover.sum()), int(np.count_nonzero(np.diff(cover, prepend=False) & cover))
                 kept = np.frombuffer(data, np.uint8)[~cover].tobytes()
-            else:
-                kept = data
             rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], index=b.index)
         yield pd.concat([b[["doc", "id"]], out], axis=1)
 
 
 def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; what is not let go by then goes later."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,10 +317,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scratch.save(_round_1(slim.select("doc", "text")))
     _release(spark)
     at = found.filter("open").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    alone = scratch.save(_round_2(slim.select("doc", "text").join(at, "doc")))
+    more = scratch.save(_round_2(slim.select("doc", "text").join(at, "doc")))
     _release(spark)
-    spans = found.filter("not open").groupBy("doc").agg(F.collect_list("pos").alias("spans"))
-    alone = alone.groupBy("doc").agg(F.collect_list("pos").alias("alone"))
-    joined = slim.join(spans.join(alone, "doc", "full"), "doc", "left")
+    spans = found.filter("not open").select("doc", "pos").union(more).groupBy("doc").agg(F.collect_list("pos").alias("spans"))
+    joined = slim.join(spans, "doc", "left")
     out = joined.mapInPandas(_finish, "doc long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
