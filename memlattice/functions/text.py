@@ -114,7 +114,7 @@ def first_heading(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Lines in the wide sense: all of Unicode's line boundaries count; a final one opens no line."""
-    ends = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+    ends = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
     lines = F.size(F.split(text, ends, -1))
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(lines - F.when(text.rlike(f"(?:{ends})\\z"), 1).otherwise(0))
 
