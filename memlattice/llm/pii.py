@@ -33,11 +33,12 @@ _L = r"A-Za-z0-9._%+-"
 #: backtracking, so that very long runs take linear time and no stack.
 PATTERNS = {
     "email": rf"(?:(?<![{_L}])|\G)[{_L}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?=[0-9])(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TRIGGER = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: What a text must hold to have a span of the kind: plain characters, or a pattern that starts with a digit and so is quick to rule out.
+_TRIGGER = {"email": ("@", None), "ip": (".", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": (None, r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": ("+", None)}
 
 
 def _digits(match: Column) -> Column:
@@ -56,12 +57,18 @@ def _accepted(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans_of(kind: str, text: Column) -> Column:
-    """array<struct<start, kind, end, value>> of one kind, from the lengths of what is between the matches."""
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _likely(kind: str, text: Column) -> Column:
+    mark, pattern = _TRIGGER[kind]
+    c = F.contains(text, F.lit(mark)) if mark else F.lit(True)
+    return c & text.rlike(pattern) if pattern else c
+
+
+def _spans(kind: str, found: Column, gaps: Column) -> Column:
+    """Spans of one kind from its matches and what stands between them: positions are running sums of lengths."""
     number = KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    found = F.regexp_extract_all(text, F.lit(f"({PATTERNS[kind]})"), F.lit(1))
-    gaps = F.split(text, PATTERNS[kind], -1)
     zipped = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
 
     def step(acc: Column, x: Column) -> Column:
@@ -70,15 +77,20 @@ def _spans_of(kind: str, text: Column) -> Column:
         one = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["m"].alias("value"))
         return F.struct(end.alias("at"), F.when(_accepted(kind, x["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    # most texts have nothing of the kind: one look tells
-    likely = F.contains(text, F.lit(_TRIGGER[kind])) if _TRIGGER[kind] else F.lit(True)
-    return F.when(likely & text.rlike(PATTERNS[kind]), spans).otherwise(empty)
+    empty = F.array().cast(_SPANS)
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
-def base_spans(text: Column) -> Column:
-    """All spans of the four kinds, by start and then by kind."""
-    return F.array_sort(F.concat(*[_spans_of(k, text) for k in KINDS[:4]]))
+def with_base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``base``: all spans of the four kinds, by start and then by kind.  Texts that cannot hold a kind are not searched for it."""
+    kinds, t = KINDS[:4], F.col(text)
+    found = rows.select("*", *[F.when(_likely(k, t), F.regexp_extract_all(t, F.lit(f"({PATTERNS[k]})"), F.lit(1))).alias(f"__f{k}") for k in kinds])
+    empty = F.array().cast(_SPANS)
+    each = [F.when(F.size(F.col(f"__f{k}")) > 0, _spans(k, F.col(f"__f{k}"), F.split(t, PATTERNS[k], -1))).otherwise(empty) for k in kinds]
+    hit = F.lit(False)
+    for k in kinds:
+        hit = hit | F.coalesce(F.size(F.col(f"__f{k}")) > 0, F.lit(False))
+    return found.withColumn("base", F.when(hit, F.array_sort(F.concat(*each))).otherwise(empty)).drop(*[f"__f{k}" for k in kinds])
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
@@ -89,7 +101,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     """
     scratch = Scratch(docs.sparkSession, "pii")
     t = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), t.alias("text")).withColumn("base", base_spans(F.col("text")))
+    rows = with_base_spans(docs.select(F.col(id_col).alias("id"), t.alias("text")))
     # the text is kept only where there is something to protect
     rows = rows.select("id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.save(rows)
@@ -110,10 +122,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
         entity.select("row", "start", "end", F.lit(None).cast("string"), "entity")
     )
     order = Window.partitionBy("row").orderBy("start", "end", "entity")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the same order from the end: a frame that reaches the end would be gone through again for every row
+    ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("entity")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mixed = mixed.withColumn("n", F.count("term").over(back))
     tag = F.when(F.col("entity").isNotNull(), F.struct("entity", "n"))
-    mixed = mixed.withColumn("before", F.last(tag, True).over(back)).withColumn("after", F.first(tag, True).over(ahead))
+    mixed = mixed.withColumn("before", F.last(tag, True).over(back)).withColumn("after", F.last(tag, True).over(ahead))
     near = mixed.filter("term is not null").select(
         "row", "term", "n", F.explode(F.array(F.col("before"), F.col("after"))).alias("e")
     )
