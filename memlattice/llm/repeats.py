@@ -74,19 +74,19 @@ def _argmin(x: np.ndarray) -> np.ndarray:
     return np.where(left, at[: len(at) - rest], at[rest:])
 
 
-def pieces(keys: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """Buffers of about CHUNK bytes, each with (document, offset in it, begin, end) of its parts; the parts of a long
+def pieces(keys: list, texts: list[bytes], chunk: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+    """Buffers of about ``chunk`` bytes, each with (document, offset in it, begin, end) of its parts; the parts of a long
     document overlap so that each of its 100-byte strings is in one part."""
     buffer, parts, size = [], [], 0
     for key, text in zip(keys, texts, strict=True):
         at = 0
         while len(text) - at >= LENGTH:
-            part = text[at : at + CHUNK + LENGTH - 1]
+            part = text[at : at + chunk + LENGTH - 1]
             parts.append((key, at, size, size + len(part)))
             buffer.append(part)
             size += len(part)
-            at += CHUNK
-            if size >= CHUNK:
+            at += chunk
+            if size >= chunk:
                 yield np.frombuffer(b"".join(buffer), np.uint8), parts
                 buffer, parts, size = [], [], 0
     if parts:
@@ -161,17 +161,18 @@ REACH = 8
 
 def _round_1(slim: DataFrame) -> DataFrame:
     """(doc, pos, open): strings that are marked, or open."""
+    chunk, flush = CHUNK, FLUSH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for b in batches:
-            for data, parts in pieces(b["doc"].tolist(), [_encode(t) for t in b["text"]]):
+            for data, parts in pieces(b["doc"].tolist(), [_encode(t) for t in b["text"]], chunk):
                 part, lo, hi, at, rank, span = anchors(data, parts)
                 doc = np.array([p[0] for p in parts], np.int64)[part]
                 move = np.array([p[1] - p[2] for p in parts], np.int64)[part]
                 held.append((rank, span, doc, _pack(lo + move, at - lo, hi - lo)))
                 n += len(lo)
-                if n >= FLUSH:
+                if n >= flush:
                     yield settle(*map(np.concatenate, zip(*held, strict=True)))
                     held, n = [], 0
         if held:
@@ -214,18 +215,19 @@ def blocks(data: np.ndarray, r64: np.ndarray, start: np.ndarray, to_anchor: np.n
 
 def _round_2(opened: DataFrame) -> DataFrame:
     """(doc, pos): strings of open anchors that are not the first of their rank, as packed ranges."""
+    chunk, flush = CHUNK, FLUSH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for b in batches:
             at = {d: np.sort(np.asarray(x, np.int64)) for d, x in zip(b["doc"], b["at"], strict=True)}
-            for data, parts in pieces(b["doc"].tolist(), [_encode(t) for t in b["text"]]):
+            for data, parts in pieces(b["doc"].tolist(), [_encode(t) for t in b["text"]], chunk):
                 _, r64 = ranks(data)
                 mine = []
                 for doc, off, begin, _ in parts:
                     x = at[doc]
                     first = x >> 2 * _BITS
-                    x = x[(first >= off) & (first < off + CHUNK)]
+                    x = x[(first >= off) & (first < off + chunk)]
                     mine.append((x, np.full(len(x), doc), np.full(len(x), begin - off)))
                 x, doc, move = map(np.concatenate, zip(*mine, strict=True))
                 if not len(x):
@@ -233,7 +235,7 @@ def _round_2(opened: DataFrame) -> DataFrame:
                 i, c1, c2, left, right, core, k1, k2 = blocks(data, r64, (x >> 2 * _BITS) + move, x >> _BITS & _LOW, x & _LOW)
                 held.append((c1, c2, left, right, doc[i], (core - move[i]) << 8 | k1 << 4 | k2))
                 n += len(i)
-                if n >= FLUSH:
+                if n >= flush:
                     yield settle_blocks(*map(np.concatenate, zip(*held, strict=True)))
                     held, n = [], 0
         if held:
