@@ -622,3 +622,184 @@ def decay_simulation(spark, d):
 def relative_time(spark, d):
     c = W.load(spark, d, "conversations").select("conv_id", "turn", (F.lit(1710000000.0) - F.col("conv_id") * 997 - F.col("turn") * 7).alias("ts"))
     return c.select("conv_id", "turn", text.chat_age(F.lit(NOW), F.col("ts")).alias("age"))
+
+
+# ---------------------------------------------------------------- mutations as snapshots
+
+_PARITY = "case when substr(id, 2)::bigint % 2 = 0 then id else 'z' || id end"
+
+
+@register(f"{sql('mem')}, n as (select {_PARITY} as id, 'new ' || id as judgment, 1 as strength from mem where substr(id, 2)::bigint % 10 < 2) select id, judgment, strength from mem where id not in (select id from n) union all select id, judgment, strength from n")
+def upsert_by_id(spark, d):
+    m = W.memories(spark, d).select("id", "judgment", "strength")
+    n = F.substring(F.col("id"), 2, 20).cast("long")
+    new = m.filter(n % 10 < 2).select(F.when(n % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("z"), "id")).alias("id"), F.concat(F.lit("new "), "id").alias("judgment"), F.lit(1).alias("strength"))
+    return store.upsert_by_id(m, new)
+
+
+@register(f"{sql('mem')} select 'k' || id as id, memory_type, trim(judgment) as judgment, 10 as strength, false as is_active, 'public' as memory_scope from mem where strength = 3 union all select id, memory_type, judgment, strength, is_active, memory_scope from mem")
+def remember_defaults(spark, d):
+    m = W.memories(spark, d).drop("tags")
+    new = m.filter("strength = 3").select(F.concat(F.lit("k"), "id").alias("id"), "memory_type", "judgment")
+    return store.insert(m, new).select("id", "memory_type", "judgment", "strength", "is_active", "memory_scope")
+
+
+@register(f"{sql('mem', 'dim', 'rel')} select (select count(*) from mem where strength <> 4) as records, (select count(*) from rel where memory_id not in (select id from mem where strength = 4)) as links")
+def delete_memories(spark, d):
+    m, _, rel = _tags(spark, d)
+    records, links = store.delete(m, rel, m.filter("strength = 4").select("id"))
+    return records.agg(F.count("*").alias("records")).crossJoin(links.agg(F.count("*").alias("links")))
+
+
+@register(f"{sql('mem')}, names as (select distinct unnest(tags) as name from mem), old as (select name, row_number() over (order by name) as id from names where name not like 'src1%'), fresh as (select name, (select max(id) from old) + row_number() over (order by name) as id from names where name like 'src1%') select id, name from old union all select id, name from fresh")
+def tag_bind_new(spark, d):
+    m = W.memories(spark, d)
+    all_names = store.tag_dimension(m).select("name").filter("name not like 'src1%'")
+    dim = store.number(all_names, [F.col("name")], "id", 1)
+    return store.bind_tags(dim, spark.createDataFrame([], "memory_id string, tag_id long"), m)[0]
+
+
+@register(f"{sql('mem', 'dim', 'rel')} select memory_id, name from rel join dim on dim.id = rel.tag_id where memory_id not in (select id from mem where strength = 2) union all select id, 'replaced' from mem where strength = 2")
+def tag_replace(spark, d):
+    m, dim, rel = _tags(spark, d)
+    new = m.filter("strength = 2").select("id", F.array(F.lit("replaced"), F.lit(" ")).alias("tags"))
+    grown, links = store.replace_tags(dim, rel, new)
+    return links.join(grown.withColumnRenamed("id", "tag_id"), "tag_id").select("memory_id", "name")
+
+
+@register(f"{sql('mem', 'dim')}, asked as (select row_number() over (order by event_type desc) as pos, event_type as name from (select distinct event_type from events)) select pos, name, coalesce(dim.id, (select max(id) from dim) + (select count(*) from asked x where x.name <= asked.name and x.name not in (select name from dim))) as id from asked left join dim using (name)")
+def names_to_ids(spark, d):
+    dim = store.tag_dimension(W.memories(spark, d))
+    asked = W.load(spark, d, "events").select(F.col("event_type").alias("name")).distinct()
+    return store.names_to_ids(dim, asked.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("name")))))
+
+
+@register(f"{sql('mem', 'dim')} select n as pos, dim.id, name from (select unnest([5, 3, 999, 1]) as id, unnest([0, 1, 2, 3]) as n) a join dim using (id)")
+def ids_to_names(spark, d):
+    dim = store.tag_dimension(W.memories(spark, d))
+    return store.ids_to_names(dim, spark.createDataFrame([(0, 5), (1, 3), (2, 999), (3, 1)], "pos int, id long"))
+
+
+_REG = "reg as (select 's' || page_id as source_id, page_id as note_short_id, 'p' || page_id || '.md' as source_file_path from pages where page_id % 2 = 0)"
+
+
+@register(
+    f"with {_REG}, new as (select 's' || page_id as source_id, case when page_id % 3 = 0 then 'moved' || page_id || '.md' else 'p' || page_id || '.md' end as p from pages where page_id % 5 = 0), "
+    "k as (select new.*, coalesce(a.note_short_id, b.note_short_id) as sid from new left join reg a using (source_id) left join reg b on b.source_file_path = new.p), "
+    "f as (select source_id, p, coalesce(sid, (select max(note_short_id) from reg) + row_number() over (partition by sid is null order by p)) as sid from k) "
+    "select source_id, sid as note_short_id, p as source_file_path from f union all select * from reg where source_id not in (select source_id from f) and source_file_path not in (select p from f) and note_short_id not in (select sid from f)"
+)
+def register_notes(spark, d):
+    p = W.load(spark, d, "pages").select("page_id")
+    name = F.concat(F.lit("p"), "page_id", F.lit(".md"))
+    extra = [F.lit("h").alias("heading"), F.lit(1).alias("total_lines"), F.lit(0.0).alias("updated_at")]
+    reg = p.filter("page_id % 2 = 0").select(F.concat(F.lit("s"), "page_id").alias("source_id"), F.col("page_id").alias("note_short_id"), name.alias("source_file_path"), *extra)
+    moved = F.when(F.expr("page_id % 3 = 0"), F.concat(F.lit("moved"), "page_id", F.lit(".md"))).otherwise(name)
+    new = p.filter("page_id % 5 = 0").select(F.concat(F.lit("s"), "page_id").alias("source_id"), moved.alias("source_file_path"), *extra)
+    return store.register_notes(reg, new).select("source_id", "note_short_id", "source_file_path")
+
+
+@register(f"{sql('note')}, reg as (select file_id, row_number() over (order by file_id) as s from note where length(content) % 2 = 0) select note.file_id, coalesce(s, -1) as note_short_id from note left join reg using (file_id)")
+def short_id_enrichment(spark, d):
+    n = W.notes(spark, d).select("file_id", "source_file_path", "content")
+    even = n.filter("char_length(content) % 2 = 0")
+    reg = even.select(F.col("file_id").alias("source_id"), F.row_number().over(Window.orderBy("file_id")).alias("note_short_id"), "source_file_path")
+    return store.with_short_ids(n, reg).select("file_id", "note_short_id")
+
+
+@register("select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(coalesce(case when doc_id % 3 = 0 then 'changed text now' else text end, '')), '[a-z0-9_]+'))) as term from documents where doc_id % 7 <> 2) group by 1 having count(*) >= 10")
+def index_update(spark, d):
+    docs = W.load(spark, d, "documents").select("doc_id", "text")
+    index = V.postings(docs, "doc_id", ["text"])
+    changed = docs.filter("doc_id % 3 = 0 and doc_id % 7 <> 2").withColumn("text", F.lit("changed text now"))
+    new = V.update_postings(index, changed, docs.filter("doc_id % 7 = 2"), "doc_id", ["text"])
+    return new.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 10")
+
+
+@register("with s as (select doc_id, row_number() over (partition by substr(text, 1, 12) order by doc_id) as rn from documents where doc_id % 5 = 1), i as (select doc_id from documents where doc_id % 2 = 0) select 'm' || doc_id as item_id from documents where doc_id % 2 = 0 union select 'm' || doc_id from documents where doc_id % 5 = 1")
+def vector_upsert(spark, d):
+    doc = W.load(spark, d, "documents").select(F.concat(F.lit("m"), "doc_id").alias("item_id"), F.substring("text", 1, 12).alias("vector_text"), "doc_id")
+    embed = V.hashing_embedder(8)
+    index = doc.filter("doc_id % 2 = 0").select("item_id", "vector_text", embed(F.col("vector_text")).alias("embedding"))
+    return V.vector_upsert(index, doc.filter("doc_id % 5 = 1").withColumn("pos", F.col("doc_id")), embed).filter("size(embedding) = 8").select("item_id")
+
+
+@register("select vec_id, label from embeddings order by label, vec_id limit 30 offset 60")
+def vector_page(spark, d):
+    return R.page(W.load(spark, d, "embeddings").select("vec_id", "label"), [F.col("label"), F.col("vec_id")], 3, 30)
+
+
+@register("select vec_id, round(1.0 - (row_number() over (order by s desc, vec_id) - 1) / (count(*) over () - 1), 6) as share from (select vec_id, (vec_id * 7919) % 101 as s from embeddings where vec_id < 200)")
+def rank_normalize(spark, d):
+    e = W.load(spark, d, "embeddings").filter("vec_id < 200").select("vec_id", ((F.col("vec_id") * 7919) % 101).alias("s"))
+    return e.select("vec_id", F.round(V.rank_normalize(e, [F.desc("s"), F.col("vec_id")]), 6).alias("share"))
+
+
+@register(f"{sql('mem')} select id, 'm' || (row_number() over (order by strength desc, id) - 1) as short_id from mem order by strength desc, id limit 40")
+def ephemeral_ids(spark, d):
+    order = [F.desc("strength"), F.col("id")]
+    return store.ephemeral_ids(W.memories(spark, d).orderBy(*order).limit(40), order).select("id", "short_id")
+
+
+@register(f"{sql('mem')}, c as (select id, case when strength % 3 = 0 then '' else judgment end as j, judgment || reasoning as doc from mem) select id, trim(case when trim(j) <> '' then j else doc end) as judgment, case when trim(j) <> '' and trim(doc) <> trim(j) then trim(doc) else '' end as reasoning from c")
+def collection_import(spark, d):
+    m = W.memories(spark, d)
+    c = m.select("id", F.when(F.expr("strength % 3 = 0"), "").otherwise(F.col("judgment")).alias("judgment"), F.concat("judgment", "reasoning").alias("document"), F.lit("").alias("reasoning"), "created_at")
+    return store.from_collection(c).select("id", "judgment", "reasoning")
+
+
+@register(f"{sql('mem')} select id, [trim(x) for x in string_split(t, ',') if trim(x) <> ''] as tags from (select id, array_to_string(tags, ' , ') as t from mem)")
+def parse_tags(spark, d):
+    m = W.memories(spark, d).select("id", F.array_join("tags", " , ").alias("t"))
+    return m.select("id", T.parse_tags(F.col("t")).alias("tags"))
+
+
+@register(f"{sql('mem')} select id, case when length(judgment) > 40 then substr(judgment, 1, 40) || '...' else judgment end as snippet, replace(substr(reasoning, 1, 80), chr(10), ' ') as preview, regexp_replace(judgment, '\\n+', chr(10), 'g') as squeezed, trim(regexp_replace(judgment, '\\s+', ' ', 'g')) as line from mem")
+def text_shapes(spark, d):
+    j = F.col("judgment")
+    return W.memories(spark, d).select("id", text.snippet(j, 40).alias("snippet"), text.preview(F.col("reasoning")).alias("preview"), text.squeeze_newlines(j).alias("squeezed"), text.collapse_space(j).alias("line"))
+
+
+@register(f"{sql('mem')} select id, judgment || ', ' || array_to_string(tags, ', ') as core from mem")
+def semantic_core(spark, d):
+    return W.memories(spark, d).select("id", text.semantic_core(F.col("judgment"), F.col("tags")).alias("core"))
+
+
+@register(f"{sql('mem')} select id from mem where list_aggregate([contains(lower(judgment), p) for p in ['the', 'avec', 'und']], 'bool_or')")
+def precise_filter(spark, d):
+    return W.memories(spark, d).filter(text.contains_any_part(F.col("judgment"), F.lit("the|AVEC und"))).select("id")
+
+
+@register("select event_id, case when value % 2 < 1 then value else 0.0 end as t from (select event_id, event_id / 4.0 as value from events)")
+def coerce_timestamps(spark, d):
+    e = W.load(spark, d, "events").select("event_id", (F.col("event_id") / F.lit(4.0)).alias("value"))
+    raw = F.when(F.col("value") % 2 < 1, F.col("value").cast("string")).otherwise("not a time")
+    return e.select("event_id", text.coerce_timestamp(raw, F.lit(0.0)).alias("t"))
+
+
+@register("select user_id % 30 as k, avg(value) as a, case when avg(value) > 50 then '1' else '0' end || case when avg(value) > 1e9 then '1' else '0' end || case when avg(value) > -1 then '1' else '0' end || case when avg(value) > 50 then '1' else '0' end as code from events group by 1".replace("avg(value) as a, ", ""))
+def resonance_codes(spark, d):
+    a = W.load(spark, d, "events").groupBy((F.col("user_id") % 30).alias("k")).agg(F.avg("value").alias("a"))
+    cur = dict(zip(scoring.SOUL, (F.lit(50.0), F.lit(1e9), F.lit(-1.0), F.lit(50.0)), strict=True))
+    return a.select("k", scoring.resonance_code(dict.fromkeys(scoring.SOUL, F.col("a")), cur).alias("code"))
+
+
+@register("with r as (select vec_id as rank, 'f' || label as source_file_path, 'v' || vec_id as id from embeddings where vec_id < 120) select source_file_path, row_number() over (order by min(rank)) as place, string_agg(id, ',' order by rank) as chunk_ids from r group by 1")
+def group_by_file(spark, d):
+    e = W.load(spark, d, "embeddings").filter("vec_id < 120")
+    return N.by_file(e.select(F.col("vec_id").alias("rank"), F.concat(F.lit("f"), "label").alias("source_file_path"), F.concat(F.lit("v"), "vec_id").alias("id")))
+
+
+@register(f"{sql('mem')}, {_USEFUL}, {_RECALLED} select id from recalled where id not in (select id from useful)")
+def wasted_recalls(spark, d):
+    return _ids(spark, d, "click").join(_ids(spark, d, "purchase"), "id", "left_anti")
+
+
+@register()
+def memory_actions(spark, d):
+    """Merges and updates over whole tables: each event is an action on two memories."""
+    m = W.memories(spark, d).drop("tags").withColumn("memory_scope", F.lit("public"))
+    e = W.load(spark, d, "events").filter("event_id < 400")
+    mem = F.struct(F.lit("knowledge").alias("type"), F.concat(F.lit("merged "), "event_id").alias("judgment"), F.lit("").alias("reasoning"), F.array(F.lit("t")).alias("tags"))
+    acts = e.select(F.col("event_id").cast("int").alias("action_no"), F.when(F.expr("event_id % 3 = 0"), "merge").when(F.expr("event_id % 3 = 1"), "updata").otherwise("create").alias("action"), F.when(F.expr("event_id % 3 = 0"), F.array(F.concat(F.lit("m"), F.col("event_id")), F.concat(F.lit("m"), F.col("event_id") + 1))).otherwise(F.array(F.concat(F.lit("m"), F.col("event_id")))).alias("source_memory_ids"), mem.alias("memory"))
+    return L.apply_actions(m, L.normalize_actions(acts), NOW).select("judgment", "strength", "useful_score")
