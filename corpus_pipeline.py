@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm.bpe import bpe_decode, bpe_encode
+from memlattice.llm.bpe import bpe_round_trip
 from memlattice.llm.common import Scratch, table
 from memlattice.llm.exact_dedup import exact_dedup
 from memlattice.llm.language_id import UNDETERMINED, identify_language
@@ -46,9 +46,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and the hash of the bytes that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_encode(docs, path, public_tokenizers.PATTERN)
-    decoded = bpe_decode(encoded, path, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_round_trip(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"), with_ids=True)
 
 
 STAGES = [

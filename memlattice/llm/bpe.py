@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker keeps; the older half goes when there are more.
-CACHE = 500_000
+CACHE = 300_000
 #: Longer pre-tokens are rarely repeated and are not kept.
 CACHED_CHARS = 40
 #: Unicode's White_Space property, which is what ``\s`` means to the pattern's home library.
@@ -97,7 +97,7 @@ class Codec:
         inside = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.split = regex.compile(inside).findall
         self.queue = RankQueue(len(self.values))
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -177,7 +177,7 @@ class Codec:
         for word in self.split(text):
             ids = known(word)
             if ids is None:
-                ids = self.merge(word.encode("utf-8", "surrogatepass"))
+                ids = tuple(self.merge(word.encode("utf-8", "surrogatepass")))
                 if len(word) <= CACHED_CHARS:
                     if len(cache) >= CACHE:
                         for old in list(cache)[: CACHE // 2]:
@@ -190,9 +190,9 @@ class Codec:
         values = self.values
         return b"".join([values[i] for i in ids])
 
-    def digest_row(self, text: str) -> tuple[int, str, str]:
-        ids, names = self.encode(text), self.names
-        return len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+    def digest_ids(self, ids) -> str:
+        names = self.names
+        return hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
 
 
 _codecs: dict[int, Codec] = {}
@@ -239,16 +239,32 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
     return df.withColumn(out, decoded(F.col(ids_col)))
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 for every row: encoding and decoding in one pass, no shuffle."""
+#: Rows that a task hands on at a time, which bounds the ids it holds.
+SLICE = 256
+
+
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), with_ids: bool = False) -> DataFrame:
+    """id, the columns to ``keep``, n_tokens, ids_sha256, decoded_sha256 (and ids) for every row: encoding and decoding in one pass,
+    no shuffle.  A null text counts as empty; rows that repeat are coded each; a column to keep must not have one of these names."""
     data = _vocabulary(path)
+    kept = [id_col, *keep]
+    names = [f"k{i}" for i in range(len(kept))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(data, pattern)
-        for b in batches:
-            rows = [codec.digest_row(t or "") for t in b["t"]]
-            yield pd.DataFrame({"i": b["i"], "n": [r[0] for r in rows], "a": [r[1] for r in rows], "b": [r[2] for r in rows]})
-
-    slim = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    out = slim.mapInPandas(run, "i long, n long, a string, b string")
-    return out.toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+        for whole in batches:
+            for i in range(0, len(whole), SLICE):
+                b = whole.iloc[i : i + SLICE]
+                ids = [codec.encode(t or "") for t in b["t"]]
+                out = b[names].copy()
+                out["n"] = [len(x) for x in ids]
+                out["a"] = [codec.digest_ids(x) for x in ids]
+                out["b"] = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
+                if with_ids:
+                    out["ids"] = ids
+                yield out
+
+    slim = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).cast("string").alias("t"))
+    kinds = [f"{n} {slim.schema[n].dataType.simpleString()}" for n in names]
+    out = slim.mapInPandas(run, ", ".join([*kinds, "n long", "a string", "b string", *["ids array<int>"] * with_ids]))
+    return out.toDF(*kept, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
