@@ -43,9 +43,11 @@ def tag_dimension(tagged: DataFrame) -> DataFrame:
 def number(rows: DataFrame, order: list[Column], name: str, start: int) -> DataFrame:
     """Consecutive numbers in order: a range sort, counts of its partitions, and the running total of those counts.
 
-    Only the counts, one row a partition, meet in one task.
+    Only the counts, one row a partition, meet in one task.  The number of partitions is given, so that adaptive execution leaves
+    them as they are, and both uses of the sorted rows read the same exchange.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     offset = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("__o", offset).drop("__n")
