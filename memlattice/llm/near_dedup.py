@@ -33,8 +33,9 @@ COORDINATES = 64
 MATCHES = 36
 #: Jaccard of a link, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 85, 100
-#: Bytes of text that are hashed at a time.
+#: Bytes of text that are hashed at a time, and documents whose sets a task holds before it hands them on.
 CHUNK = 1 << 18
+SLICE = 512
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -126,9 +127,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix64(low) ^ _COORD).view(np.int64)
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for i in range(0, len(b), SLICE):
+            yield b.iloc[i : i + SLICE]
+
+
 def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             sets = shingle_sets(list(b["t"]))
             yield pd.DataFrame(
                 {
@@ -149,7 +156,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     """(rep, shingles) of the wanted documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             yield pd.DataFrame({"rep": b["rep"], "shingles": [s.view(np.int64) for s in shingle_sets(list(b["t"]))]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("t"))
