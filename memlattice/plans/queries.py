@@ -227,10 +227,11 @@ _REC = ", ".join(REC)
 
 def _ids(spark, d, event: str):
     e = W.load(spark, d, "events").filter(F.col("event_type") == event)
+    e = e.filter("event_id % 9 = 0") if event == "purchase" else e
     return e.select(F.concat(F.lit("m"), F.col("user_id") % 1000).alias("id")).distinct()
 
 
-_USEFUL = "useful as (select distinct 'm' || (user_id % 1000) as id from events where event_type = 'purchase')"
+_USEFUL = "useful as (select distinct 'm' || (user_id % 1000) as id from events where event_type = 'purchase' and event_id % 9 = 0)"
 _RECALLED = "recalled as (select distinct 'm' || (user_id % 1000) as id from events where event_type = 'click')"
 
 
