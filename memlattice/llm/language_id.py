@@ -84,13 +84,23 @@ class Model:
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
-    """Texts to learn from, by language.  The rows are ranked within a language by a hash of their id; the rank
-    limit is applied before the shuffle, so at most DOCS_PER_LANGUAGE rows of a language leave a task."""
-    t = F.substring(F.col(text_col), 1, CHARS_PER_DOC)
+    """Texts to learn from, by language: the DOCS_PER_LANGUAGE rows with the least hashes of their ids.
+
+    The rows of a language are counted, and only hashes below a bound that leaves about four times the rows wanted are ranked:
+    what is sent does not grow with the corpus.
+    """
+    usable = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    usable = usable.filter(F.col("lang").isNotNull() & F.col("t").isNotNull())
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return {}
+    bound = {k: int(min(1.0, 4.0 * DOCS_PER_LANGUAGE / n) * (1 << 64)) - (1 << 63) for k, n in counts.items()}
+    limit = F.create_map(*[F.lit(x) for k, v in bound.items() for x in (k, min(v, (1 << 63) - 1))])
     order = Window.partitionBy("lang").orderBy("h", "id", "t")
     rows = (
-        labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), t.alias("t"))
-        .filter(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
+        usable.filter(F.col("h") <= limit[F.col("lang")].cast("long"))
+        .withColumn("t", F.substring("t", 1, CHARS_PER_DOC))
+        .filter(F.col("t").rlike(r"\p{L}"))
         .withColumn("rn", F.row_number().over(order))
         .filter(F.col("rn") <= DOCS_PER_LANGUAGE)
         .select("lang", "rn", "t")
