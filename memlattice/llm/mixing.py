@@ -23,7 +23,7 @@ from memlattice.llm.common import WORD, Scratch, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_BUCKET = 4000
+ROWS_PER_BUCKET = 256
 
 
 def word_count(text: Column) -> Column:
