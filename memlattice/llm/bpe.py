@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker keeps; the older half goes when there are more.
-CACHE = 300_000
+CACHE = 500_000
 #: Longer pre-tokens are rarely repeated and are not kept.
 CACHED_CHARS = 40
 #: Unicode's White_Space property, which is what ``\s`` means to the pattern's home library.
@@ -32,7 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_BIT = [1 << i for i in range(256)]
+_BIT = [1 << i for i in range(1024)]
 
 
 class RankQueue:
@@ -43,15 +43,17 @@ class RankQueue:
     ``Codec.merge`` has the two operations written out, for the sake of the many short pre-tokens.
     """
 
-    __slots__ = ("buckets", "top", "low")
+    __slots__ = ("buckets", "top", "low", "words", "bits")
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, int | list[int]] = {}
+        self.buckets: list[int | list[int]] = [0] * (ranks + 1)
+        self.words = [r >> 8 for r in range(ranks + 1)]
+        self.bits = [_BIT[r & 255] for r in range(ranks + 1)]
         self.low = [0] * ((ranks >> 8) + 1)
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        word, bit = rank >> 8, _BIT[rank & 255]
+        word, bit = self.words[rank], self.bits[rank]
         if self.low[word] & bit:
             _add(self.buckets, rank, position)
         else:
@@ -78,7 +80,7 @@ class RankQueue:
         return rank, position
 
 
-def _add(buckets: dict, rank: int, position: int) -> None:
+def _add(buckets: list, rank: int, position: int) -> None:
     bucket = buckets[rank]
     if bucket.__class__ is not list:
         bucket = buckets[rank] = [bucket]
@@ -111,50 +113,50 @@ class Codec:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         due: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)]  # the rank of the pair that begins at a position
         due.append(None)
-        buckets, low, top, bits = self.queue.buckets, self.queue.low, 0, _BIT
+        queue = self.queue
+        buckets, low, words, bits, top = queue.buckets, queue.low, queue.words, queue.bits, 0
         for i, r in enumerate(due):
             if r is not None:
-                word, bit = r >> 8, bits[r & 255]
+                word, bit = words[r], bits[r]
                 if low[word] & bit:
                     _add(buckets, r, i)
                 else:
                     low[word] |= bit
-                    top |= 1 << word
+                    top |= _BIT[word]
                     buckets[r] = i
         while top:
             first = top & -top
             word = first.bit_length() - 1
             here = low[word]
             bit = here & -here
-            rank = word << 8 | bit.bit_length() - 1
+            rank = (word << 8) + bit.bit_length() - 1
             i = buckets[rank]
             if i.__class__ is list:
                 bucket = i
                 i = heappop(bucket)
-                if not bucket:
-                    bucket = None
-            else:
-                bucket = None
-            if bucket is None:
-                low[word] = here = here ^ bit
+                if bucket:
+                    bit = 0
+            if bit:
+                here ^= bit
+                low[word] = here
                 if not here:
                     top ^= first
             if due[i] != rank:
                 continue  # stale
             j = after[i]
-            merged = parts[i] + parts[j]
-            parts[i], parts[j], due[j] = merged, None, None
-            k = after[i] = after[j]
+            parts[i] = merged = parts[i] + parts[j]
+            parts[j] = due[j] = None
+            after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 due[i] = r = get(merged + parts[k])
                 if r is not None:
-                    word, bit = r >> 8, bits[r & 255]
+                    word, bit = words[r], bits[r]
                     if low[word] & bit:
                         _add(buckets, r, i)
                     else:
                         low[word] |= bit
-                        top |= 1 << word
+                        top |= _BIT[word]
                         buckets[r] = i
             else:
                 due[i] = None
@@ -162,12 +164,12 @@ class Codec:
             if h >= 0:
                 due[h] = r = get(parts[h] + merged)
                 if r is not None:
-                    word, bit = r >> 8, bits[r & 255]
+                    word, bit = words[r], bits[r]
                     if low[word] & bit:
                         _add(buckets, r, h)
                     else:
                         low[word] |= bit
-                        top |= 1 << word
+                        top |= _BIT[word]
                         buckets[r] = h
         return [ranks[p] for p in parts if p is not None]
 
