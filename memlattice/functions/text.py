@@ -31,7 +31,8 @@ def _grams(part: Column, n: int) -> Column:
 def index_tokens(text: Column) -> Column:
     """Distinct index terms in order of appearance: words of letters, digits and ``_`` whole, CJK runs as 1- and 2-grams."""
     each = F.transform(_parts(text), lambda p: F.when(p.rlike(_CJK), F.concat(_grams(p, 1), _grams(p, 2))).otherwise(F.array(p)))
-    return F.array_distinct(F.flatten(each))
+    # a text without CJK has no runs to cut
+    return F.array_distinct(F.when(F.coalesce(text, F.lit("")).rlike("[一-鿿]"), F.flatten(each)).otherwise(_parts(text)))
 
 
 def required_terms(text: Column) -> Column:

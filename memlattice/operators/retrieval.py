@@ -105,10 +105,10 @@ def staged_search(docs: DataFrame, id_col: str, fields: list[str], query: str, l
     """
     scored = score_documents(docs, id_col, fields, query)
     most = 3 * limit
-    top = lambda keep: scored.filter(keep).orderBy(F.desc("bm25_score"), "id").limit(most)
-    strict, loose = top(F.col("strict")), top(~F.col("strict"))
+    # one pass over the text: the ranks of a stage are cut in every task before its rows meet
+    rn = F.row_number().over(Window.partitionBy("stage").orderBy(F.desc("bm25_score"), "id"))
+    both = scored.withColumn("stage", F.when(F.col("strict"), 0).otherwise(1)).withColumn("rn", rn).filter(F.col("rn") <= most).drop("rn")
     # at most six times limit rows from here on
-    both = strict.withColumn("stage", F.lit(0)).unionByName(loose.withColumn("stage", F.lit(1)))
     every = Window.partitionBy()
     both = both.withColumn("n_strict", F.count_if(F.col("stage") == 0).over(every)).filter((F.col("stage") == 0) | (F.col("n_strict") < limit))
     both = both.withColumn("rank", F.row_number().over(Window.orderBy("stage", F.desc("bm25_score"), "id"))).filter(F.col("rank") <= most)
