@@ -66,7 +66,7 @@ def test_lines_paths_titles(spark):
 
 
 def test_remove_names_and_query(spark):
-    assert one(spark, text.remove_names(F.lit("Hey ANGEL, is a.b here"), ["angel|天使", "a.b"])) == "Hey , is here"
+    assert one(spark, text.remove_names(F.lit("Hey NOVA, is a.b here"), ["nova|小新", "a.b"])) == "Hey , is here"
     assert one(spark, jsonscan.process_query(F.lit("Hello bot how"), F.lit(""), ["bot"])) == "Hello how"
     assert one(spark, jsonscan.process_query(F.lit("x"), F.lit("topic bot"), ["bot"])) == "topic bot"
 
