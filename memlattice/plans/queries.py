@@ -151,16 +151,28 @@ def time_decay_recall(spark, d):
     return V.comprehensive_recall(W.memories(spark, d), QUERY, 10, "a", NOW).select("id", r6("similarity"))
 
 
-@register(
+_POOL = (
     _STRAT + f", {staged_sql(6000)}, g as (select s.id, bm25_normalized_score as fs, m.* exclude (id) from staged s join mem m using (id) where rank <= 6000 and bm25_normalized_score >= 0.5 order by fs desc, id limit 300), "
     f"c as (select *, case when is_active then fs else fs / (1 + 0.05 * greatest(({NOW} - created_at) / 86400.0, 0)) end as sim from g), p as (select *, row_number() over (order by sim desc, id) as pos from (select * from c order by sim desc, fs desc, id limit 100)), "
-    "t as (select *, row_number() over (partition by memory_type order by pos) as rn, min(pos) over (partition by memory_type) as grp from p) select id, memory_type from t where rn <= 3 order by grp, pos limit 10"
+)
+_NAMES = "contains(lower(judgment || ' ' || array_to_string(tags, ' ')), "
+
+
+@register(
+    _POOL
+    + "t as (select *, row_number() over (partition by memory_type order by pos) as rn, min(pos) over (partition by memory_type) as grp from p) select id, memory_type from t where rn <= 3 order by grp, pos limit 10"
 )
 def chained_recall(spark, d):
     return V.chained_recall(W.memories(spark, d), QUERY, [], 3, 10, "a", NOW).select("id", "memory_type")
 
 
-@register()
+@register(
+    _POOL
+    + f"e1 as (select * from p where {_NAMES} 'src1') order by pos limit 3), e2 as (select * from p where id not in (select id from e1) and {_NAMES} 'fr') order by pos limit 3), "
+    "r as (select *, row_number() over (partition by memory_type order by pos) as rn, min(pos) over (partition by memory_type) as grp from p where id not in (select id from e1) and id not in (select id from e2)), "
+    "o as (select id, 0 as a, 0 as b, pos as c from e1 union all select id, 0, 1, pos from e2 union all select id, 1, grp, pos from r where rn <= 3) "
+    "select id, memory_type, round(sim, 6) as similarity from o join p using (id) order by a, b, c limit 10"
+)
 def chained_recall_entities(spark, d):
     return V.chained_recall(W.memories(spark, d), QUERY, ["src1", "fr"], 3, 10, "a", NOW).select("id", "memory_type", r6("similarity"))
 
@@ -474,7 +486,12 @@ def note_line_counts(spark, d):
     return N.note_facts(W.notes(spark, d).filter("content <> ''")).select("file_id", "total_lines")
 
 
-@register()
+@register(
+    "with note as (select coalesce(source, 'none') || '/' || doc_id || '.md' as file_id, '# A' || chr(10) || '## B' || chr(10) || coalesce(text, '') as content from documents), "
+    + _LINES
+    + ", h as (select *, regexp_extract(line, '^(#{1,6}) +(.*)$', 1) as hs, regexp_extract(line, '^(#{1,6}) +(.*)$', 2) as ht from lines) "
+    "select file_id, line_no, last_value(case when hs <> '' then ht end ignore nulls) over w as section, last_value(case when hs <> '' then length(hs)::int end ignore nulls) over w as section_level from h window w as (partition by file_id order by line_no rows unbounded preceding)"
+)
 def note_sections(spark, d):
     n = W.notes(spark, d).withColumn("content", F.concat(F.lit("# A\n## B\n"), F.col("content")))
     return N.sections(n).select("file_id", "line_no", "section", "section_level")
@@ -519,7 +536,13 @@ def reflection_batches(spark, d):
     return C.reflection_batches(W.chat(spark, d)).select("session", "seq", "batch_no", "trigger")
 
 
-@register()
+_AGE = "case when d < 60 then '刚刚' when d < 3600 then floor(d / 60)::bigint || '分钟前' when d < 86400 then floor(d / 3600)::bigint || '小时前' else floor(d / 86400)::bigint || '天前' end"
+
+
+@register(
+    f"{sql('chat')}, l as (select session, seq, '[' || sender_id || '] ' || sender_name || ' (' || {_AGE} || '): ' || content as line from (select *, {NOW} - ts as d from chat) "
+    "where not (contains(content, 'tool_call') or contains(content, 'function_call') or contains(content, 'tool_use') or contains(content, '工具调用'))) select session, string_agg(line, chr(10) order by seq) as lines from l group by 1"
+)
 def chat_lines(spark, d):
     return C.chat_lines(C.no_tool_calls(W.chat(spark, d)), NOW)
 
