@@ -4,13 +4,14 @@ Pages of one host are made from a template.  Its tokens, element paths and the t
 step: a token's occurrence vector says how often each page of the host has it, and tokens with the same
 vector form an equivalence class (Arasu and Garcia-Molina's ExAlg).
 
-* A page sends one row a distinct token.  A vector is named by the sum over pages of hash(page) * count, which combines
-  like any sum, so a host with a third of all pages is pre-aggregated in every task and never gathered.
+* A page sends one row a distinct token, of the text inside articles as well.  Pages of a host with the same text count once.  A vector is
+  named by the sum over pages of hash(page, count), which combines like any sum, so a host with a third of all pages is never gathered.
 * Classes with enough support are valid if their tokens nest: the element that holds a token has a valid class too.  Valid
   classes make up the template; what stands between its tokens are slots.
-* Texts that are template tokens themselves are fixed and go.  Slots inside elements that say they are menus, adverts and so
-  on go.  Of the other slots those in the article element stay; without one, those in the deepest
-  element of the template that holds most of the text of the host's slots.
+* Texts that are template tokens themselves are fixed and go, in articles too.  Slots inside elements that say they are menus, adverts and so
+  on go.  Of the other slots those in article elements stay, and those in the deepest element of the template that holds most
+  of the text of the host's slots, unless that is around an article.
+* Hosts of fewer than PAGES different pages have no template; for them the article element alone decides, and without one all slots stay.
 """
 
 from __future__ import annotations
@@ -50,8 +51,6 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 #: Share of a host's pages, and number of them, that a template token needs.
 SUPPORT, PAGES = 0.6, 3
-#: Longer texts are not looked at as template tokens.
-FIXED_CHARS = 200
 
 
 class Slot:
@@ -147,51 +146,44 @@ def _hash(*parts: str) -> int:
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For every page the distinct tokens: (host, token, parent, text or not, count, characters of slots inside)."""
+    """For every page the distinct tokens: (host, path, text or not, name of the page by its text, count, characters of slots inside)."""
     for b in batches:
-        rows: dict = {}
-        for page, host, source in zip(b["page"], b["host"], b["html"], strict=True):
+        rows: list[tuple] = []
+        seen = set()
+        for host, source in zip(b["host"], b["html"], strict=True):
             slots, counts = parse(source)
-            own = {path: [0, n] for path, n in counts.items()}
+            texts = [(s.path, " ".join(s.text.split())) for s in slots if not s.dropped]
+            page = _hash(*(t for _, t in texts), *counts)
+            if (host, page) in seen:
+                continue
+            seen.add((host, page))
+            own = {"": [0, 1]} | {path: [0, n] for path, n in counts.items()}
             fixed: dict[tuple[str, str], int] = {}
-            for s in slots:
-                if s.dropped or s.article:
-                    continue  # their lot does not depend on the template
-                text = " ".join(s.text.split())
-                path = s.path
-                if len(text) <= FIXED_CHARS:
-                    fixed[path, text] = fixed.get((path, text), 0) + 1
+            for path, text in texts:
+                fixed[path, text] = fixed.get((path, text), 0) + 1
                 while path:
                     own.setdefault(path, [0, 0])[0] += len(text)
                     path = path.rpartition("/")[0]
-            for path, (chars, n) in own.items():
-                _add(rows, (host, path, None), page, n, chars)
-            for (path, text), n in fixed.items():
-                _add(rows, (host, path, _hash(text)), page, n, 0)
-        yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["host", "path", "text", "pages", "vector", "chars", "depth"])
-
-
-def _add(rows: dict, key: tuple, page: int, n: int, chars: int) -> None:
-    """Pages of one batch are summed before they are sent."""
-    v = rows.get(key)
-    if v is None:
-        v = rows[key] = [0, 0, 0, key[1].count("/")]
-    v[0] += 1
-    v[1] = (v[1] + _hash(str(page)) * n + (1 << 63)) % (1 << 64) - (1 << 63)
-    v[2] += chars
+            rows.extend((host, path, None, page, n, chars) for path, (chars, n) in own.items())
+            rows.extend((host, path, _hash(text), page, n, 0) for (path, text), n in fixed.items())
+        yield pd.DataFrame(rows, columns=["host", "path", "text", "page", "n", "chars"], dtype=object)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, fixed): paths of the main element, and (path, text) tokens of the template as hashes, of each host."""
-    seen = pages.mapInPandas(_tokens, "host string, path string, text long, pages long, vector long, chars long, depth int")
+    seen = pages.mapInPandas(_tokens, "host string, path string, text long, page long, n long, chars long")
+    # copies of a page say nothing of the template
+    once = seen.groupBy("host", "path", "text", "page").agg(F.max("n").alias("n"), F.max("chars").alias("chars")).withColumn("vector", F.xxhash64("page", "n"))
     # vectors wrap around at 64 bits; halves keep their sums from overflowing on the way
     low, high = F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("vector", 32)
-    token = seen.groupBy("host", "path", "text").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.sum(low).alias("lo"), F.sum(high).alias("hi")
-    )
+    token = once.groupBy("host", "path", "text").agg(
+        F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum(low).alias("lo"), F.sum(high).alias("hi")
+    ).filter(F.col("pages") >= PAGES)
+    token = Scratch(pages.sparkSession, "template").save(token.withColumn("depth", F.size(F.split("path", "/")) - 1))
     token = token.withColumn("vector", F.pmod(F.col("lo") + F.pmod(F.col("hi"), F.lit(1 << 31)) * F.lit(1 << 32) % F.lit(1 << 62), F.lit(1 << 62)))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
-    known = token.join(hosts, "host").filter((F.col("pages") >= PAGES) & (F.col("pages") >= SUPPORT * F.col("all_pages")))
+    whole = (F.col("path") == "") & F.col("text").isNull()
+    hosts = token.filter(whole).select("host", F.col("pages").alias("all_pages"))
+    known = token.filter(~whole).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
     classes = known.groupBy("host", "vector").agg(F.count("*").alias("size"), F.max("pages").alias("support"))
     member = known.join(classes, ["host", "vector"])
     # nested: the element around a token is itself in the template (with no less support: it is there whenever the token is)
@@ -220,13 +212,12 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for source, main, fixed in zip(b["html"], b["main"], b["fixed"], strict=True):
             slots, _ = parse(source)
             mine = [s for s in slots if not s.dropped]
-            inside = [s for s in mine if s.article]
-            if not inside:
-                skip = set(fixed) if fixed is not None else set()
-                inside = [s for s in mine if not skip or f"{s.path}\t{_hash(' '.join(s.text.split()))}" not in skip]
-                if main:
-                    chosen = [s for s in inside if s.path == main or s.path.startswith(main + "/")]
-                    inside = chosen or inside
+            skip = set(fixed) if fixed is not None else set()
+            mine = [s for s in mine if not skip or f"{s.path}\t{_hash(' '.join(s.text.split()))}" not in skip]
+            under = [bool(main) and (s.path == main or s.path.startswith(main + "/")) for s in mine]
+            if any(u and s.article for s, u in zip(mine, under, strict=True)):
+                under = [False] * len(mine)
+            inside = [s for s, u in zip(mine, under, strict=True) if s.article or u] or mine
             texts.append(" ".join(w for s in inside for w in s.text.split()))
         yield pd.concat([b[["page", "url"]], pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]}, index=b.index)], axis=1)
 
@@ -240,7 +231,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     slim = pages.select(
         F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html")
     ).withColumn("host", host_of(F.col("url")))
-    known = templates(slim.select(F.coalesce("page", F.lit(0)).alias("page"), "host", "html"))
+    known = templates(slim.select("host", "html"))
     # written first, so that Spark knows its size: it is broadcast while that is small, else joined with skewed hosts split
     known = Scratch(pages.sparkSession, "html").save(known.select("host", F.when(F.col("has_main"), F.col("main")).alias("main"), "fixed"))
     out = slim.join(known, "host", "left").mapInPandas(_extract, "page long, url string, text string, n_chars long")

@@ -122,6 +122,17 @@ def test_html_template(spark):
     assert all(got[i] == f"Story {i} Text number {i} " + " ".join(["word"] * (20 + i)) for i in got)
 
 
+def test_html_template_decides_inside_articles(spark):
+    note = "Notice of this host. " * 15
+    body = '<body><article><h1>Story {0}</h1><p>Text {0} {1}</p><div class="box">Share this</div><p>%s</p></article></body>' % note
+    rows = [(i, f"http://h.org/{i}", body.format(i, "word " * i)) for i in range(8)]
+    # two pages are no template, and neither are copies of one page
+    rows += [(20 + i, f"http://small.org/{i}", body.format(i, "")) for i in range(2)] + [(30 + i, f"http://copies.org/{i}", body.format(1, "")) for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame([(*r, "") for r in rows], PAGE)).collect()}
+    assert all(got[i] == " ".join(f"Story {i} Text {i} {'word ' * i}".split()) for i in range(8))
+    assert all(got[i] == f"Story {k} Text {k} Share this {note}".strip() for i, k in [(20, 0), (21, 1), *((30 + j, 1) for j in range(5))])
+
+
 def brute_base(t):
     luhn = lambda s: sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
     patterns = [
