@@ -17,6 +17,9 @@ from memlattice.llm.language_id import UNDETERMINED, identify_language
 from memlattice.llm.mixing import mix
 from memlattice.llm.near_dedup import near_dedup
 
+#: Jaccard from which on documents are near copies here; op1 links from 0.85 on.
+NEAR = 0.8
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a text without letters is rejected."""
@@ -34,7 +37,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; rows without id stay."""
-    copies = near_dedup(docs).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id")
+    copies = near_dedup(docs, similarity=NEAR).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

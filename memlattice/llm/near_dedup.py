@@ -2,11 +2,11 @@
 
 * A document's set of word shingles gives COORDINATES minima; (coordinate, value) is posted as
   one token.  Documents with the same set are one class from here on.
-* Two sets with Jaccard J agree in each coordinate with probability J, so with J >= 0.85 in fewer than
-  MATCHES of 64 with probability 7.5e-9.  Pairs below that count are not looked at.
-* Prefix: tokens are ordered rarest first.  Classes that agree in MATCHES tokens share
-  one among their first COORDINATES - MATCHES + 1, so only those are joined.  Tokens that one class alone has come first and need no
-  posting; a class with fewer than MATCHES shared tokens has no partner and is gone.
+* Two sets with Jaccard J agree in each coordinate with probability J, so with J at the link's similarity or more in fewer than
+  ``matches`` of 64 with a probability of MISSED at most (0.85: 36 matches, 7.5e-9).  Pairs below that count are not looked at.
+* Prefix: tokens are ordered rarest first.  Classes that agree in ``matches`` tokens share
+  one among their first COORDINATES - matches + 1, so only those are joined.  Tokens that one class alone has come first and need no
+  posting; a class with fewer than ``matches`` shared tokens has no partner and is gone.
 * Skip: for the pairs found, the rest of the lists is not merged; their collisions are counted on the two token lists.
 * Pairs that pass are confirmed on the full sets.
 
@@ -19,6 +19,9 @@ copies costs a row a member, and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,9 +33,8 @@ from memlattice.llm.components import connected_components
 
 WORDS = 5
 COORDINATES = 64
-MATCHES = 36
-#: Jaccard of a link, as a fraction of whole numbers.
-NUMERATOR, DENOMINATOR = 85, 100
+#: Jaccard of a link, and the probability at most with which a pair just there is missed.
+SIMILARITY, MISSED = 0.85, 1e-8
 #: Bytes of text that are hashed at a time, and documents whose sets a task holds before it hands them on.
 CHUNK = 1 << 18
 SLICE = 512
@@ -44,6 +46,28 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+class Link(NamedTuple):
+    """What links two sets: coordinates that agree, and a Jaccard as a fraction of whole numbers."""
+
+    matches: int
+    above: int
+    below: int
+
+
+def link_at(similarity: float) -> Link:
+    """A link of this Jaccard, with as many matches as MISSED allows."""
+    j = Fraction(str(similarity))
+    if not 0 < j <= 1:
+        raise ValueError(f"similarity {similarity} is not in (0, 1]")
+    below, matches = Fraction(0), 0
+    while matches < COORDINATES:
+        below += comb(COORDINATES, matches) * j**matches * (1 - j) ** (COORDINATES - matches)
+        if below > MISSED:
+            break
+        matches += 1
+    return Link(max(matches, 1), j.numerator, j.denominator)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -164,9 +188,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return found.mapInPandas(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(id, n, rep) of every document, and (node, root) of the classes that are linked with others."""
-    spark = docs.sparkSession
+    spark, link = docs.sparkSession, link_at(similarity)
     scratch = Scratch(spark, "near")
     signed = scratch.save(_sign(docs, id_col, text_col))
     usable = signed.filter("n > 0 and id is not null")
@@ -175,37 +199,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = posts.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1")
     shared = posts.join(common, "tok")
     by_rep = Window.partitionBy("rep")
-    ranked = shared.withColumn("own", F.count("*").over(by_rep)).filter(F.col("own") >= MATCHES)
+    ranked = shared.withColumn("own", F.count("*").over(by_rep)).filter(F.col("own") >= link.matches)
     ranked = ranked.withColumn("rn", F.row_number().over(by_rep.orderBy("freq", "tok")))
-    # lists of the shared tokens; the first own - MATCHES + 1 are what is left of the prefix
+    # lists of the shared tokens; the first own - matches + 1 are what is left of the prefix
     lists = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("x"), F.sum("freq").alias("score"))
     lists = scratch.save(lists.select("rep", F.col("x.tok").alias("toks"), "score").join(classes.select("rep", "n"), "rep"))
-    prefix = lists.select("rep", "n", "score", F.explode(F.slice("toks", F.lit(1), F.size("toks") - MATCHES + 1)).alias("tok"))
+    prefix = lists.select("rep", "n", "score", F.explode(F.slice("toks", F.lit(1), F.size("toks") - link.matches + 1)).alias("tok"))
     # the hub of a list is the class that shares most with others
     lead = F.max_by(F.struct("rep", "n"), F.struct("score", F.negate("rep"))).alias("lead")
     hubs = prefix.groupBy("tok").agg(F.count("*").alias("k"), lead).filter("k > 1").drop("k")
-    star = prefix.join(hubs, "tok").filter("rep != lead.rep").filter(_close(F.col("n"), F.col("lead.n")))
+    star = prefix.join(hubs, "tok").filter("rep != lead.rep").filter(_close(F.col("n"), F.col("lead.n"), link))
     star = star.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
     wanted = prefix.join(hubs, "tok", "left_semi").select("rep").distinct()
     sets = scratch.save(_sets(docs, wanted, id_col, text_col))
-    links = scratch.save(_confirm(star, lists, sets))
+    links = scratch.save(_confirm(star, lists, sets, link))
     roots = scratch.save(connected_components(links))
     labelled = prefix.join(hubs.select("tok"), "tok").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "rep"))
-    apart = scratch.save(_apart(labelled, sets).join(star, ["a", "b"], "left_anti"))
-    more = scratch.save(_confirm(apart, lists, sets))
+    apart = scratch.save(_apart(labelled, sets, link).join(star, ["a", "b"], "left_anti"))
+    more = scratch.save(_confirm(apart, lists, sets, link))
     if not more.isEmpty():
         roots = scratch.save(connected_components(links.union(more)))
     member = signed.join(classes.select("f1", "f2", F.col("n").alias("__n"), "rep"), ["f1", "f2"], "left").filter("rep is null or n = __n")
     return member.select("id", "n", "rep"), roots
 
 
-def _close(a, b):
+def _close(a, b, link: Link):
     """Whether sets of these sizes can be similar enough."""
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
+    return F.least(a, b) * link.below >= F.greatest(a, b) * link.above
 
 
-def _apart(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+def _apart(labelled: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
     """Pairs (a, b) in different components that share a posting list and may be linked: all those that are.
 
     Sets with Jaccard j or more share one of their |a| - o + 1 and |b| - o + 1 rarest shingles, o being the overlap that j
@@ -219,42 +243,42 @@ def _apart(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     by_rep = Window.partitionBy("rep")
     ranked = posts.join(common, "tok").withColumn("own", F.count("*").over(by_rep)).withColumn("rn", F.row_number().over(by_rep.orderBy("freq", "tok")))
     # place in the rarest-first order: shingles that the set has alone come before the shared ones
-    ranked = ranked.withColumn("at", F.col("n") - F.col("own") + F.col("rn") - 1).filter(F.col("at") * DENOMINATOR <= F.col("n") * (DENOMINATOR - NUMERATOR))
+    ranked = ranked.withColumn("at", F.col("n") - F.col("own") + F.col("rn") - 1).filter(F.col("at") * link.below <= F.col("n") * (link.below - link.above))
     per_root = ranked.groupBy("tok", "root").agg(F.count("*").alias("m"))
     main = per_root.groupBy("tok").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).filter("roots > 1")
     rest = ranked.join(main.select("tok", "main"), "tok").select("tok", "rep", "n", "at", "root", (F.col("root") == F.col("main")).alias("in_main"))
     x = rest.filter("not in_main").select("tok", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "at", "root")])
     y = rest.select("tok", "in_main", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "at", "root")])
-    overlap = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR))
+    overlap = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(link.above) / F.lit(link.above + link.below))
     pair = (
         (F.col("root_x") != F.col("root_y"))
         & (F.col("in_main") | (F.col("rep_x") < F.col("rep_y")))
-        & _close(F.col("n_x"), F.col("n_y"))
+        & _close(F.col("n_x"), F.col("n_y"), link)
         & (F.col("at_x") + overlap <= F.col("n_x"))
         & (F.col("at_y") + overlap <= F.col("n_y"))
     )
     return x.join(y, "tok").filter(pair).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
-def _confirm(pairs: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, lists: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
     """The pairs whose token lists collide often enough and whose full sets are similar enough."""
     la = lists.select(F.col("rep").alias("a"), F.col("toks").alias("ta"))
     lb = lists.select(F.col("rep").alias("b"), F.col("toks").alias("tb"))
-    matched = pairs.join(la, "a").join(lb, "b").filter(F.size(F.array_intersect("ta", "tb")) >= MATCHES).select("a", "b")
+    matched = pairs.join(la, "a").join(lb, "b").filter(F.size(F.array_intersect("ta", "tb")) >= link.matches).select("a", "b")
     sa = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = matched.join(sa, "a").join(sb, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return both.filter(F.col("both") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("both")) * NUMERATOR).select("a", "b")
+    return both.filter(F.col("both") * link.below >= (F.col("na") + F.col("nb") - F.col("both")) * link.above).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: its id, n_shingles, component_id and kept.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row of ``docs``: its id, n_shingles, component_id and kept; sets of this Jaccard or more are linked.
 
     A null text, or one without words, has the empty set and links with nothing.  A text of fewer than five words
     has one shingle.  Rows without id link with nothing (component_id null, kept false); rows that repeat an id are
     members with the same id.  Ties cannot arise: components have one smallest id.
     """
-    member, roots = near_components(docs, id_col, text_col)
+    member, roots = near_components(docs, id_col, text_col, similarity)
     component = F.coalesce("root", "rep", "id")
     return member.join(roots, member["rep"] == roots["node"], "left").select(
         F.col("id").alias(id_col),

@@ -75,6 +75,19 @@ def test_near_dedup_equals_brute_force(spark, seed):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = corpus(3)
+    sets = {i: shingles(t) for i, t in rows}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert any(0.8 <= j < 0.85 for j in share.values())
+    want = roots(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    got = pipeline.near_copies(spark, frame(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(want.values()))
+    narrow = near_dedup(frame(spark, rows)).filter("kept").count()
+    assert len(got) < narrow
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, "A B C D E F")]
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id, r.kept) for r in near_dedup(frame(spark, rows)).collect())
