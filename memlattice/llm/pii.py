@@ -5,10 +5,11 @@ Patterns find protected entities: e-mail addresses, IPv4 addresses, card and tel
 ``PMI(e; t) = log2(p(e, t) / (p(e) p(t)))`` is what the term discloses of the entity and
 ``IC(e) = -log2 p(e)`` all there is; a term that discloses more than ALPHA of it, in SUPPORT different
 contexts or more, is removed wherever it occurs in a document that holds the entity (C-sanitisation,
-Sanchez and Batet).  Contexts, not copies of one context, count as support.
+Sanchez and Batet).  Contexts, not copies of one context, count as support; they are taken around every entity.
+p(e, t) is the share of documents that hold both, near each other or not.
 
-All of it is DataFrame functions.  Work is in proportion to the text: a term looks only at the entity before
-and the one after it, so neither long documents nor frequent entities multiply rows.
+All of it is DataFrame functions.  Work is in proportion to the text: an entity looks only at the terms within REACH, and
+documents that hold a pair apart are only counted where that can decide, from the side of the term.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from memlattice.llm.common import Scratch, text_or_empty
 ALPHA = 0.9
 #: Different contexts that must show an entity and a term together.
 SUPPORT = 2
-#: Terms on either side of an entity that count as its context.
-REACH = 8
+#: Terms of LONG letters or more on either side of an entity that, with the shorter ones between them, count as its context.
+REACH, LONG = 8, 3
 KINDS = ("email", "ip", "card", "phone", "term")
-TERM = r"\p{L}{3,}"
+TERM = r"\p{L}++"
 
 _L = r"A-Za-z0-9._%+-"
 #: The base patterns.  A match can only begin where a run of its first characters begins (or
@@ -121,25 +122,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     mixed = term.select("row", "start", "end", "term", F.lit(None).cast("string").alias("entity")).union(
         entity.select("row", "start", "end", F.lit(None).cast("string"), "entity")
     )
-    order = Window.partitionBy("row").orderBy("start", "end", "entity")
-    back = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the same order from the end: a frame that reaches the end would be gone through again for every row
-    ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("entity")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mixed = mixed.withColumn("n", F.count("term").over(back))
-    tag = F.when(F.col("entity").isNotNull(), F.struct("entity", "n"))
-    mixed = mixed.withColumn("before", F.last(tag, True).over(back)).withColumn("after", F.last(tag, True).over(ahead))
-    near = mixed.filter("term is not null").select(
-        "row", "term", "n", F.explode(F.array(F.col("before"), F.col("after"))).alias("e")
-    )
-    offset = F.col("n") - F.col("e.n")
-    near = near.filter(F.col("e").isNotNull() & (offset.between(-reach + 1, reach)))
-    near = near.select("row", F.col("e.entity").alias("entity"), F.col("e.n").alias("at"), offset.alias("offset"), "term")
+    back = Window.partitionBy("row").orderBy("start", "end", "entity").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mixed = mixed.withColumn("n", F.count(F.when(F.char_length("term") >= LONG, 1)).over(back))
+    # an entity asks for the terms of every place within reach
+    asks = mixed.filter("entity is not null").select("row", "entity", F.col("n").alias("at")).distinct()
+    asks = asks.select("*", F.explode(F.sequence(F.lit(-reach + 1), F.lit(reach))).alias("offset")).withColumn("n", F.col("at") + F.col("offset"))
+    near = asks.join(mixed.filter("term is not null").select("row", "n", "start", "term"), ["row", "n"])
     # a context is what stands around one occurrence of an entity
-    context = near.groupBy("row", "entity", "at").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("offset", "term")))).alias("context"))
-    both = near.join(context, ["row", "entity", "at"]).groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    both = both.filter(F.col("contexts") >= support)
-    pair_docs = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_both"))
-    both = scratch.save(both.join(pair_docs, ["entity", "term"]))
+    around = near.groupBy("row", "entity", "at").agg(F.array_sort(F.collect_list(F.struct("offset", "start", "term"))).alias("x"))
+    context = F.xxhash64(F.transform("x", lambda y: F.struct(y["offset"], y["term"])))
+    around = scratch.save(around.select("row", "entity", context.alias("context"), F.array_distinct("x.term").alias("terms")))
+    seen = around.select("row", "entity", "context", F.explode("terms").alias("term"))
+    both = seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    both = both.filter(F.col("contexts") >= support).select("entity", "term")
+    near_docs = seen.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_near"))
+    both = scratch.save(both.join(near_docs, ["entity", "term"]))
     holds = scratch.save(entity.select("entity", "row").distinct())
     flagged = None
     if not both.isEmpty():
@@ -147,9 +144,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
         words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
         df_term = words.groupBy("term").agg(F.count("*").alias("df_term"))
         total = F.lit(float(docs.count()))
-        stats = both.join(df_entity, "entity").join(df_term, "term")
-        pmi = F.log2(F.col("df_both") * total / (F.col("df_entity") * F.col("df_term")))
-        flagged = stats.filter(pmi >= F.lit(alpha) * F.log2(total / F.col("df_entity"))).filter(F.col("df_entity") < total).select("entity", "term")
+        stats = both.join(df_entity, "entity").join(df_term, "term").filter(F.col("df_entity") < total)
+
+        def discloses(df_both: Column) -> Column:
+            pmi = F.log2(df_both * total / (F.col("df_entity") * F.col("df_term")))
+            return pmi >= F.lit(alpha) * F.log2(total / F.col("df_entity"))
+
+        # PMI grows with the documents that hold both: at least those that show them near, at most all of either
+        stats = scratch.save(stats.filter(discloses(F.least("df_entity", "df_term"))).withColumn("sure", discloses(F.col("df_near"))))
+        apart = term.select("row", "term").distinct().join(stats.filter("not sure"), "term").join(holds, ["row", "entity"], "left_semi")
+        apart = apart.groupBy("entity", "term", "df_entity", "df_term").agg(F.count("*").alias("df_both")).filter(discloses(F.col("df_both")))
+        flagged = stats.filter("sure").select("entity", "term").union(apart.select("entity", "term"))
         marked = holds.join(flagged, "entity").select("row", "term").distinct()
         spans = term.join(marked, ["row", "term"]).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
         rows = rows.join(spans, "row", "left")

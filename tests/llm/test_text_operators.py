@@ -167,6 +167,20 @@ def test_disclosing_terms(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_disclosing_terms_of_every_entity_near(spark):
+    # the telephone number changes, the address behind it repeats; two letters and two characters are names too
+    rows = [(i, f"{w} Roe +1 (377) 555-02{70 + i} roe@x.example.com {w}") for i, w in enumerate(["tea", "fish", "stars"])]
+    rows += [(10 + i, f"{w} Bo bo@x.example.com {w}") for i, w in enumerate(["moss", "fern"])] + [(20 + i, f"{w} 王明 wm@x.example.com {w}") for i, w in enumerate(["oak", "elm"])]
+    # in one of three documents the name is far from the entity
+    filler = " ".join(f"{chr(97 + k)}filler" for k in range(12))
+    rows += [(30, "sun Ford ford@x.example.com sun"), (31, "moon Ford ford@x.example.com moon"), (32, f"Ford {filler} ford@x.example.com star")]
+    rows += [(100 + i, f"common words of document {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
+    text = dict(rows)
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.terms] for r in found if r.terms}
+    assert got == {**dict.fromkeys((0, 1, 2), ["Roe"]), **dict.fromkeys((10, 11), ["Bo"]), **dict.fromkeys((20, 21), ["王明"]), **dict.fromkeys((30, 31, 32), ["Ford"])}
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % 3] for k, s in enumerate(names)}
