@@ -29,7 +29,8 @@ from memlattice.llm.common import Scratch, text_or_empty
 
 #: Elements whose text is never part of an article.
 DROPPED = frozenset("nav header footer aside form script style noscript template head title iframe svg canvas object select button textarea input option datalist dialog menu math audio video".split())
-#: Words in class, id and role that mark such elements.
+#: Words in class, id and role that mark such elements, unless they are a container: an article, an element around one or around a
+#: headline of one, or, outside articles, an element with half of the page's text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner banners sidebar side menu menubar nav navbar navigation breadcrumb breadcrumbs header masthead topbar "
     "footer foot bottombar cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations "
@@ -49,6 +50,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
+#: Names that say what an element comes with, not what it is.
+_WITH = re.compile(r"(?<!\S)(?:has|with|without|no)[-_]\S+")
 #: Share of a host's pages, and number of them, that a template token needs.
 SUPPORT, PAGES = 0.6, 3
 
@@ -62,13 +65,22 @@ class Slot:
         self.path, self.text, self.dropped, self.article = path, text, dropped, article
 
 
+class Mark:
+    """An element that words mark: whether it is in an article, whether it is a container, and the characters in it."""
+
+    __slots__ = ("article", "container", "chars")
+
+    def __init__(self, article):
+        self.article, self.container, self.chars = article, False, 0
+
+
 def _marked(attrs: str) -> tuple[str, bool]:
     """What a path says of class, id and role; whether they mark the element."""
     said, bad = [], False
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
         said.append(re.sub(r"[0-9]+", "0", value.strip()))
-        if any(w.lower() in MARKS for w in _WORDS.findall(value)):
+        if any(w.lower() in MARKS for w in _WORDS.findall(_WITH.sub("", value))):
             bad = True
     return "." + ".".join(said) if said else "", bad
 
@@ -77,7 +89,8 @@ def parse(source: str) -> tuple[list[Slot], dict[str, int]]:
     """The slots in page order and how often each element path occurs; missing and stray end tags are put up with."""
     slots: list[Slot] = []
     counts: dict[str, int] = {}
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, path, dropped, in an article, holds slots of its own
+    stack: list[tuple[str, str, bool, bool, tuple]] = []  # name, path, dropped, in an article, elements around that words mark
+    marked: list[tuple[Slot, tuple]] = []
     held: list[str] = []
 
     def flush():
@@ -85,8 +98,10 @@ def parse(source: str) -> tuple[list[Slot], dict[str, int]]:
             text = "".join(held)
             held.clear()
             if text and not text.isspace():
-                _, path, dropped, article, _ = stack[-1] if stack else ("", "", False, False, True)
+                _, path, dropped, article, marks = stack[-1] if stack else ("", "", False, False, ())
                 slots.append(Slot(path, text, dropped, article))
+                if marks and not dropped:
+                    marked.append((slots[-1], marks))
 
     at, end = 0, len(source)
     while at < end:
@@ -123,17 +138,31 @@ def parse(source: str) -> tuple[list[Slot], dict[str, int]]:
             if stack[k][0] not in ("p", "li", "td", "th", "dt", "dd", "option"):
                 break
         said, bad = _marked(m[3]) if m[3] else ("", False)
-        _, path, dropped, article, _ = stack[-1] if stack else ("", "", False, False, True)
+        _, path, dropped, article, marks = stack[-1] if stack else ("", "", False, False, ())
         path = f"{path}/{name}{said}"
         counts[path] = counts.get(path, 0) + 1
         # a header inside an article may hold its headline
-        bad = bad or (name in DROPPED and not (name == "header" and article))
+        dropped = dropped or (name in DROPPED and not (name == "header" and article))
+        # an article inside another, as of a comment, is no container
+        outer = name in ARTICLE and not any(x[0] == "article" for x in stack)
+        if outer or (name == "h1" and article):
+            for k in marks:
+                k.container = True
         if name in _RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
             at = close.end() if close else end
             continue
-        stack.append((name, path, dropped or (bad and name not in ("html", "body")), article or name in ARTICLE, True))
+        if bad and not dropped and name not in ("html", "body") and not outer:
+            marks = (*marks, Mark(article))
+        stack.append((name, path, dropped, article or name in ARTICLE, marks))
     flush()
+    if marked:
+        for s, marks in marked:
+            for k in marks:
+                k.chars += len(s.text)
+        whole = sum(len(s.text) for s in slots if not s.dropped)
+        for s, marks in marked:
+            s.dropped = any(not k.container and (k.article or 2 * k.chars < whole) for k in marks)
     return slots, counts
 
 

@@ -133,6 +133,23 @@ def test_html_template_decides_inside_articles(spark):
     assert all(got[i] == f"Story {k} Text {k} Share this {note}".strip() for i, k in [(20, 0), (21, 1), *((30 + j, 1) for j in range(5))])
 
 
+def test_html_words_drop_no_container(spark):
+    story = "<h1>Head</h1><p>One two three four</p>"
+    gone = '<div class="share">gone</div>'
+    pages = [
+        f'<body><article class="post has-comments">{story}{gone}</article></body>',
+        f'<body><div id="content" class="with-sidebar"><article>{story}</article></div>{gone}</body>',
+        f'<body><main class="search-result">{story}{gone}</main></body>',
+        f'<body><div class="page sidebar-left"><div><article>{story}</article></div>{gone}</div></body>',
+        '<body><article><div class="article-header"><h1>Head</h1></div><p>One two three four</p><div class="comments">gone</div></article></body>',
+        f'<body><div class="content related-on">{story}</div>{gone}</body>',
+        f'<body><article>{story}<section class="comments"><article class="comment">gone</article></section></article></body>',
+    ]
+    rows = [(i, f"http://h{i}.org/", p, "") for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == dict.fromkeys(range(len(pages)), "Head One two three four")
+
+
 def brute_base(t):
     luhn = lambda s: sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
     patterns = [
