@@ -823,7 +823,7 @@ def wasted_recalls(spark, d):
 def memory_actions(spark, d):
     """Merges and updates over whole tables: each event is an action on two memories."""
     m = W.memories(spark, d).drop("tags").withColumn("memory_scope", F.lit("public"))
-    e = W.load(spark, d, "events").filter("event_id < 400")
+    e = W.load(spark, d, "events")
     mem = F.struct(F.lit("knowledge").alias("type"), F.concat(F.lit("merged "), "event_id").alias("judgment"), F.lit("").alias("reasoning"), F.array(F.lit("t")).alias("tags"))
-    acts = e.select(F.col("event_id").cast("int").alias("action_no"), F.when(F.expr("event_id % 3 = 0"), "merge").when(F.expr("event_id % 3 = 1"), "updata").otherwise("create").alias("action"), F.when(F.expr("event_id % 3 = 0"), F.array(F.concat(F.lit("m"), F.col("event_id")), F.concat(F.lit("m"), F.col("event_id") + 1))).otherwise(F.array(F.concat(F.lit("m"), F.col("event_id")))).alias("source_memory_ids"), mem.alias("memory"))
+    acts = e.select(F.col("event_id").alias("action_no"), F.when(F.expr("event_id % 3 = 0"), "merge").when(F.expr("event_id % 3 = 1"), "updata").otherwise("create").alias("action"), F.when(F.expr("event_id % 3 = 0"), F.array(F.concat(F.lit("m"), F.col("event_id")), F.concat(F.lit("m"), F.col("event_id") + 1))).otherwise(F.array(F.concat(F.lit("m"), F.col("event_id")))).alias("source_memory_ids"), mem.alias("memory"))
     return L.apply_actions(m, L.normalize_actions(acts), NOW).select("judgment", "strength", "useful_score")

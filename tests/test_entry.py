@@ -39,3 +39,13 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in plan("vector_topk")
     assert "PushedFilters: [IsNotNull(label)]" in plan("per_file_cap")
     assert "WindowGroupLimit" in plan("capacity_evict") or "Window" in plan("capacity_evict")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_memory_actions_takes_every_event(spark):
+    import __spark_entry__ as e
+
+    creates = spark.read.parquet(f"{DATA}/events.parquet").filter("event_id % 3 = 2").selectExpr("'merged ' || event_id as judgment")
+    assert creates.filter("cast(substr(judgment, 8) as long) >= 400").count() > 0
+    got = e.queries()["memory_actions"](spark, DATA).select("judgment")
+    assert creates.exceptAll(got).count() == 0
