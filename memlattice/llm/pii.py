@@ -8,7 +8,8 @@ contexts or more, is removed wherever it occurs in a document that holds the ent
 Sanchez and Batet).  Contexts, not copies of one context, count as support; they are taken around every entity.
 p(e, t) is the share of documents that hold both, near each other or not.
 
-All of it is DataFrame functions.  Work is in proportion to the text: an entity looks only at the terms within REACH, and
+All of it is DataFrame functions.  Matches are rows, never lists that travel with other rows, and one sort of a document's terms and entities
+tells which terms are inside spans: work is n log n in a document's matches.  An entity looks only at the terms within REACH, and
 documents that hold a pair apart are only counted where that can decide, from the side of the term.
 """
 
@@ -58,40 +59,37 @@ def _accepted(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
-
-
 def _likely(kind: str, text: Column) -> Column:
     mark, pattern = _TRIGGER[kind]
     c = F.contains(text, F.lit(mark)) if mark else F.lit(True)
     return c & text.rlike(pattern) if pattern else c
 
 
-def _spans(kind: str, found: Column, gaps: Column) -> Column:
-    """Spans of one kind from its matches and what stands between them: positions are running sums of lengths."""
-    number = KINDS.index(kind)
-    zipped = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
+def _matches(pattern: str, text: Column) -> Column:
+    """(m, g) of the matches in order: the match and the number of characters between it and the one before."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    return F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.char_length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(_accepted(kind, x["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    empty = F.array().cast(_SPANS)
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def _placed(found: DataFrame, *keys: str) -> DataFrame:
+    """Adds start and end to matches (i, m, g): running sums of lengths, a row a match and no lists."""
+    along = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("g") + F.char_length("m")).over(along).cast("int")
+    return found.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("m")).drop("g", "i")
 
 
-def with_base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``base``: all spans of the four kinds, by start and then by kind.  Texts that cannot hold a kind are not searched for it."""
-    kinds, t = KINDS[:4], F.col(text)
-    found = rows.select("*", *[F.when(_likely(k, t), F.regexp_extract_all(t, F.lit(f"({PATTERNS[k]})"), F.lit(1))).alias(f"__f{k}") for k in kinds])
-    empty = F.array().cast(_SPANS)
-    each = [F.when(F.size(F.col(f"__f{k}")) > 0, _spans(k, F.col(f"__f{k}"), F.split(t, PATTERNS[k], -1))).otherwise(empty) for k in kinds]
-    hit = F.lit(False)
-    for k in kinds:
-        hit = hit | F.coalesce(F.size(F.col(f"__f{k}")) > 0, F.lit(False))
-    return found.withColumn("base", F.when(hit, F.array_sort(F.concat(*each))).otherwise(empty)).drop(*[f"__f{k}" for k in kinds])
+def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(row, kind, start, end, value) of all spans of the four kinds.  Texts that cannot hold a kind are not searched for it."""
+    t, each = F.col(text), None
+    for number, kind in enumerate(KINDS[:4]):
+        found = rows.filter(_likely(kind, t)).select("row", F.lit(number).alias("kind"), F.posexplode(_matches(PATTERNS[kind], t)).alias("i", "x"))
+        found = found.select("row", "kind", "i", "x.m", "x.g")
+        each = found if each is None else each.union(found)
+    placed = _placed(each, "row", "kind")
+    accepted = F.lit(False)
+    for number, kind in enumerate(KINDS[:4]):
+        accepted = accepted | ((F.col("kind") == number) & _accepted(kind, F.col("m")))
+    return placed.filter(accepted).select("row", "kind", "start", "end", F.col("m").alias("value"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
@@ -102,32 +100,33 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     """
     scratch = Scratch(docs.sparkSession, "pii")
     t = text_or_empty(text_col)
-    rows = with_base_spans(docs.select(F.col(id_col).alias("id"), t.alias("text")))
-    # the text is kept only where there is something to protect
-    rows = rows.select("id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = scratch.save(rows)
-    hit = rows.filter("text is not null")
-    entity = hit.select("row", F.explode("base").alias("s")).select(
-        "row", "s.start", "s.end", F.sha2(F.concat_ws(":", F.col("s.kind"), F.lower("s.value")), 256).alias("entity")
-    )
-    term = hit.select("row", "text", "base").withColumn("gap", F.split("text", TERM, -1)).withColumn("m", F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)))
-    term = term.select("row", "base", F.posexplode("m").alias("i", "m"), "gap").withColumn("g", F.char_length(F.col("gap")[F.col("i")])).drop("gap")
-    along = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("g") + F.char_length("m")).over(along)
-    term = term.select("row", "i", end.cast("int").alias("end"), F.char_length("m").alias("len"), F.lower("m").alias("term"), "base")
-    term = term.withColumn("start", F.col("end") - F.col("len"))
-    # letters inside a span are part of it
-    term = term.filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).select("row", "start", "end", "term")
-    term = scratch.save(term)
-    mixed = term.select("row", "start", "end", "term", F.lit(None).cast("string").alias("entity")).union(
-        entity.select("row", "start", "end", F.lit(None).cast("string"), "entity")
-    )
-    back = Window.partitionBy("row").orderBy("start", "end", "entity").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mixed = mixed.withColumn("n", F.count(F.when(F.char_length("term") >= LONG, 1)).over(back))
+    some = F.lit(False)
+    for k in KINDS[:4]:
+        some = some | _likely(k, F.col("text"))
+    rows = docs.select(F.col(id_col).alias("id"), t.alias("text"))
+    # the text is kept only where there may be something to protect
+    rows = scratch.save(rows.select("id", F.when(some, F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    spans = scratch.save(base_spans(rows.filter("text is not null")))
+    entity = spans.select("row", "start", "end", F.sha2(F.concat_ws(":", "kind", F.lower("value")), 256).alias("entity"))
+    holds = scratch.save(entity.select("entity", "row").distinct())
+    found = rows.join(holds.select("row").distinct(), "row", "left_semi")
+    found = found.select("row", F.posexplode(_matches(TERM, F.col("text"))).alias("i", "x")).select("row", "i", "x.m", "x.g")
+    term = _placed(found, "row").select("row", "start", "end", F.lower("m").alias("term"), F.lit(None).cast("string").alias("entity"))
+    mixed = term.union(entity.select("row", "start", "end", F.lit(None).cast("string"), "entity"))
+    # a sweep over terms and entities in page order: letters inside a span are part of it
+    order = Window.partitionBy("row").orderBy("start", "end", "entity")
+    back = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.max(F.when(F.col("entity").isNotNull(), F.col("end"))).over(back)
+    later = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("entity")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.min(F.when(F.col("entity").isNotNull(), F.col("start"))).over(later)
+    mixed = mixed.withColumn("begins", begins).withColumn("ends", ends)
+    mixed = mixed.filter(F.col("entity").isNotNull() | ((F.coalesce("ends", "start") <= F.col("start")) & (F.coalesce("begins", "end") >= F.col("end")))).drop("begins", "ends")
+    mixed = scratch.save(mixed.withColumn("n", F.count(F.when(F.char_length("term") >= LONG, 1)).over(back)))
+    term = mixed.filter("term is not null").select("row", "start", "end", "term", "n")
     # an entity asks for the terms of every place within reach
     asks = mixed.filter("entity is not null").select("row", "entity", F.col("n").alias("at")).distinct()
     asks = asks.select("*", F.explode(F.sequence(F.lit(-reach + 1), F.lit(reach))).alias("offset")).withColumn("n", F.col("at") + F.col("offset"))
-    near = asks.join(mixed.filter("term is not null").select("row", "n", "start", "term"), ["row", "n"])
+    near = asks.join(term.select("row", "n", "start", "term"), ["row", "n"])
     # a context is what stands around one occurrence of an entity
     around = near.groupBy("row", "entity", "at").agg(F.array_sort(F.collect_list(F.struct("offset", "start", "term"))).alias("x"))
     context = F.xxhash64(F.transform("x", lambda y: F.struct(y["offset"], y["term"])))
@@ -137,8 +136,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     both = both.filter(F.col("contexts") >= support).select("entity", "term")
     near_docs = seen.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_near"))
     both = scratch.save(both.join(near_docs, ["entity", "term"]))
-    holds = scratch.save(entity.select("entity", "row").distinct())
-    flagged = None
+    listed = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("base"))
+    rows = rows.select("id", "row").join(listed, "row", "left")
     if not both.isEmpty():
         df_entity = holds.groupBy("entity").agg(F.count("*").alias("df_entity"))
         words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
@@ -156,12 +155,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
         apart = apart.groupBy("entity", "term", "df_entity", "df_term").agg(F.count("*").alias("df_both")).filter(discloses(F.col("df_both")))
         flagged = stats.filter("sure").select("entity", "term").union(apart.select("entity", "term"))
         marked = holds.join(flagged, "entity").select("row", "term").distinct()
-        spans = term.join(marked, ["row", "term"]).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
-        rows = rows.join(spans, "row", "left")
+        gone = term.join(marked, ["row", "term"]).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
+        rows = rows.join(gone, "row", "left")
     else:
         rows = rows.withColumn("terms", F.lit(None).cast("array<struct<start:int,kind:int,end:int>>"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.select(F.col("id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
+    nothing = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return rows.select(F.col("id").alias(id_col), F.coalesce("base", nothing).alias("base"), F.coalesce("terms", none).alias("terms"))
 
 
 def span_list(spans: Column) -> Column:
