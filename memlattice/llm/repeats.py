@@ -19,9 +19,7 @@ all documents share costs each task one row.  Positions are (document, offset) a
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +38,7 @@ LONG = 64
 SHIFT = LENGTH - LONG
 #: Bytes worked on at a time, and the positions a task gathers before it settles and sends them.
 CHUNK = 1 << 18
-FLUSH = 1_500_000
+FLUSH = 200_000
 
 _U = np.uint64
 _FIRST = mix64(np.arange(5001, 5257, dtype=np.uint64))
@@ -292,14 +290,6 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([b[["doc", "id"]], out], axis=1)
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; what is not let go by then goes later."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary, what remains).
 
@@ -317,10 +307,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sort = slim.orderBy(F.col("id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256))
         slim = scratch.save(sort.withColumn("doc", F.monotonically_increasing_id()))
     found = scratch.save(_round_1(slim.select("doc", "text")))
-    _release(spark)
     at = found.filter("open").groupBy("doc").agg(F.collect_list("pos").alias("at"))
     more = scratch.save(_round_2(slim.select("doc", "text").join(at, "doc")))
-    _release(spark)
     spans = found.filter("not open").select("doc", "pos").union(more).groupBy("doc").agg(F.collect_list("pos").alias("spans"))
     joined = slim.join(spans, "doc", "left")
     out = joined.mapInPandas(_finish, "doc long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
