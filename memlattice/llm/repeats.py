@@ -13,6 +13,9 @@ tasks agree on without exchange; sorting ranks, to see which are unique, is Spar
   pairs of 64-byte ranks that make up the 92 bytes which a block's strings have in common; where such a pair repeats, the
   strings are told apart, at 100 bytes past the threshold, by their few other bytes.  Those not first are marked.
 
+Ranks name bytes and are not trusted: every mark has an earlier occurrence, and runs of marks are only removed where the SHA-256 of the
+bytes here and there is the same.
+
 A task first settles what repeats within itself and sends one row for a rank, so a passage that a third of
 all documents share costs each task one row.  Positions are (document, offset) and never lists of a group.
 """
@@ -130,12 +133,17 @@ def settle(rank: np.ndarray, span: np.ndarray, doc: np.ndarray, pos: np.ndarray)
     state = np.where(same_span, SETTLED, np.where(several[group], OPEN, ASK))
     key = np.where(state == ASK, rank, mix64(doc.astype(np.uint64) ^ mix64(pos.astype(np.uint64))))
     tell = np.flatnonzero(~same_rank & several[group])
+    # the first of the same span, which a settled anchor is a copy of
+    like = np.where(state == SETTLED, np.maximum.accumulate(np.where(same_span, 0, np.arange(n))), -1)
+    none = np.zeros(len(tell), np.int64)
     f = {
         "key": np.concatenate([key, rank[tell]]).view(np.int64),
         "span": np.concatenate([span, span[tell]]).view(np.int64),
         "doc": np.concatenate([doc, doc[tell]]),
         "pos": np.concatenate([pos, pos[tell]]),
         "state": np.concatenate([state, np.full(len(tell), TELL)]).astype(np.int8),
+        "like_doc": np.concatenate([np.where(like < 0, 0, doc[like]), none]),
+        "like_pos": np.concatenate([np.where(like < 0, 0, pos[like]), none]),
     }
     return pd.DataFrame(f)
 
@@ -155,10 +163,12 @@ def _pack(first, to_anchor, to_last):
 
 #: Neighbouring strings of an anchor that are looked at together in round 2, but for one.
 REACH = 8
+#: Rows that the last step hands on at a time.
+SLICE = 1024
 
 
 def _round_1(slim: DataFrame) -> DataFrame:
-    """(doc, pos, open): strings that are marked, or open."""
+    """(doc, pos, open, like_doc, like_pos): strings that are marked, with an earlier occurrence of them, or open."""
     chunk, flush = CHUNK, FLUSH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,13 +186,15 @@ def _round_1(slim: DataFrame) -> DataFrame:
         if held:
             yield settle(*map(np.concatenate, zip(*held, strict=True)))
 
-    seen = slim.mapInPandas(run, "key long, span long, doc long, pos long, state byte")
+    seen = slim.mapInPandas(run, "key long, span long, doc long, pos long, state byte, like_doc long, like_pos long")
     by_rank = Window.partitionBy("key")
-    first = F.row_number().over(Window.partitionBy("key", "span").orderBy("doc", "pos")) == 1
+    by_span = Window.partitionBy("key", "span").orderBy("doc", "pos")
+    first = F.row_number().over(by_span) == 1
+    like = [F.when(F.col("state") == SETTLED, F.col(f"like_{c}")).otherwise(F.first(c).over(by_span)).alias(f"like_{c}") for c in ("doc", "pos")]
     told = seen.withColumn("several", (F.max("state").over(by_rank) == TELL) | (F.min("span").over(by_rank) != F.max("span").over(by_rank)))
-    told = told.withColumn("first", first).filter(F.col("state") != TELL)
+    told = told.select("doc", "pos", "state", "several", first.alias("first"), *like).filter(F.col("state") != TELL)
     left = told.withColumn("open", (F.col("state") == OPEN) | ((F.col("state") == ASK) & F.col("first") & F.col("several")))
-    return left.filter("open or state = 1 or not first").select("doc", "pos", "open")
+    return left.filter("open or state = 1 or not first").select("doc", "pos", "open", "like_doc", "like_pos")
 
 
 def blocks(data: np.ndarray, r64: np.ndarray, start: np.ndarray, to_anchor: np.ndarray, to_last: np.ndarray):
@@ -212,7 +224,7 @@ def blocks(data: np.ndarray, r64: np.ndarray, start: np.ndarray, to_anchor: np.n
 
 
 def _round_2(opened: DataFrame) -> DataFrame:
-    """(doc, pos): strings of open anchors that are not the first of their rank, as packed ranges."""
+    """(doc, start, last, like_doc, like_start): strings of open anchors that are not the first of their rank, and earlier occurrences of them."""
     chunk, flush = CHUNK, FLUSH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,18 +251,18 @@ def _round_2(opened: DataFrame) -> DataFrame:
         if held:
             yield settle_blocks(*map(np.concatenate, zip(*held, strict=True)))
 
-    seen = opened.mapInPandas(run, "c1 long, c2 long, l long, r long, doc long, pos long, again boolean")
+    seen = opened.mapInPandas(run, "c1 long, c2 long, l long, r long, doc long, pos long, again boolean, like_doc long, like_core long")
     many = F.count("*").over(Window.partitionBy("c1", "c2")) > 1
     left = seen.withColumn("many", many).filter("again or many")
     core, near, far = F.shiftright("pos", 8), F.shiftright("pos", 4).bitwiseAND(F.lit(15)), F.col("pos").bitwiseAND(F.lit(15))
-    whole = left.filter("again").select("doc", F.shiftleft(core - far, 2 * _BITS).bitwiseOR(far - near).alias("pos"))
+    whole = left.filter("again").select("doc", (core - far).alias("start"), (far - near).alias("last"), "like_doc", (F.col("like_core") - far).alias("like_start"))
     masks = F.array(*[F.lit((1 << 8 * k) - 1 if k < 8 else -1).cast("long") for k in range(REACH + 1)])
     each = left.filter("not again").select("c1", "c2", "l", "r", "doc", core.alias("core"), F.explode(F.sequence(near.cast("int"), far.cast("int"))).alias("k"))
     around = F.expr("l").bitwiseAND(masks[F.col("k")]).bitwiseOR(F.call_function("shiftleft", F.expr("r").bitwiseAND(masks[F.lit(REACH) - F.col("k")]), F.col("k") * 8))
     strings = each.select("c1", "c2", "k", around.alias("around"), "doc", (F.col("core") - F.col("k")).alias("at"))
-    rn = F.row_number().over(Window.partitionBy("c1", "c2", "k", "around").orderBy("doc", "at"))
-    alone = strings.withColumn("rn", rn).filter("rn > 1").select("doc", F.shiftleft("at", 2 * _BITS).alias("pos"))
-    return whole.union(alone)
+    same = Window.partitionBy("c1", "c2", "k", "around").orderBy("doc", "at")
+    alone = strings.select("doc", "at", F.row_number().over(same).alias("rn"), F.first("doc").over(same).alias("like_doc"), F.first("at").over(same).alias("like_start"))
+    return whole.union(alone.filter("rn > 1").select("doc", F.col("at").alias("start"), F.lit(0).cast("long").alias("last"), "like_doc", "like_start"))
 
 
 def settle_blocks(c1, c2, left, right, doc, pos) -> pd.DataFrame:
@@ -260,34 +272,65 @@ def settle_blocks(c1, c2, left, right, doc, pos) -> pd.DataFrame:
     again = np.zeros(len(c1), bool)
     again[1:] = (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (pos[1:] & 255 == pos[:-1] & 255)
     c1 = np.where(again, mix64(doc.astype(np.uint64) ^ mix64(pos.astype(np.uint64))), c1)
+    like = np.where(again, np.maximum.accumulate(np.where(again, 0, np.arange(len(c1)))), -1)
     cols = {"c1": c1.view(np.int64), "c2": c2.view(np.int64), "l": left.view(np.int64), "r": right.view(np.int64)}
-    return pd.DataFrame({**cols, "doc": doc, "pos": pos, "again": again})
+    likes = {"like_doc": np.where(like < 0, 0, doc[like]), "like_core": np.where(like < 0, 0, pos[like] >> 8)}
+    return pd.DataFrame({**cols, "doc": doc, "pos": pos, "again": again, **likes})
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of the bytes of every range that is asked for."""
+    for b in batches:
+        rows = []
+        for doc, text, asked in zip(b["doc"], b["text"], b["asked"], strict=True):
+            data = _encode(text)
+            rows.extend((doc, r["start"], r["end"], hashlib.sha256(data[r["start"] : r["end"]]).digest()) for r in asked)
+        yield pd.DataFrame(rows, columns=["doc", "start", "end", "digest"])
 
 
-def covered(n: int, starts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
-    """Which of n bytes are in a string that begins in one of the ranges starts .. lasts."""
+def _confirmed(marks: DataFrame, slim: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, start, end): what is marked, in runs of marks with the same earlier occurrence, where the bytes there are the same.
+
+    Ranks only name bytes; here both sides are read.  A passage that many documents share is asked for once.
+    """
+    run = Window.partitionBy("doc", "like_doc", "shift").orderBy("start")
+    rows = marks.select("doc", "like_doc", (F.col("like_start") - F.col("start")).alias("shift"), "start", (F.col("start") + F.col("last") + LENGTH).alias("end"))
+    rows = rows.withColumn("reach", F.max("end").over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = scratch.save(rows.groupBy("doc", "like_doc", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run"))
+    there = runs.select(F.col("like_doc").alias("doc"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"))
+    asked = runs.select("doc", "start", "end").union(there).distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("asked"))
+    known = scratch.save(slim.select("doc", "text").join(asked, "doc").mapInPandas(_digests, "doc long, start long, end long, digest binary"))
+    here = runs.join(known, ["doc", "start", "end"])
+    other = known.select(F.col("doc").alias("like_doc"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("digest").alias("like"))
+    at = [here["like_doc"] == other["like_doc"], here["start"] + here["shift"] == other["s"], here["end"] + here["shift"] == other["e"]]
+    return here.join(other, at).filter("digest = like").select("doc", "start", "end")
+
+
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n bytes are in one of the ranges."""
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, starts, 1)
-    np.add.at(step, lasts + LENGTH, -1)
+    np.add.at(step, ends, -1)
     return np.cumsum(step[:n]) > 0
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for text, spans in zip(b["text"], b["spans"], strict=True):
-            data = _encode(text)
-            removed = runs = 0
-            kept = data
-            if spans is not None:
-                x = np.asarray(spans, np.int64)
-                start = x >> 2 * _BITS
-                cover = covered(len(data), start, start + (x & _LOW))
-                removed, runs = int(cover.sum()), int(np.count_nonzero(np.diff(cover, prepend=False) & cover))
-                kept = np.frombuffer(data, np.uint8)[~cover].tobytes()
-            rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
-        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], index=b.index)
-        yield pd.concat([b[["doc", "id"]], out], axis=1)
+    for whole in batches:
+        for i in range(0, len(whole), SLICE):
+            b = whole.iloc[i : i + SLICE]
+            rows = []
+            for text, spans in zip(b["text"], b["spans"], strict=True):
+                data = _encode(text)
+                removed = runs = 0
+                kept = data
+                if spans is not None:
+                    cover = covered(len(data), np.array([r["start"] for r in spans]), np.array([r["end"] for r in spans]))
+                    removed, runs = int(cover.sum()), int(np.count_nonzero(np.diff(cover, prepend=False) & cover))
+                    kept = np.frombuffer(data, np.uint8)[~cover].tobytes()
+                rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], index=b.index)
+            yield pd.concat([b[["doc", "id"]], out], axis=1)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +352,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scratch.save(_round_1(slim.select("doc", "text")))
     at = found.filter("open").groupBy("doc").agg(F.collect_list("pos").alias("at"))
     more = scratch.save(_round_2(slim.select("doc", "text").join(at, "doc")))
-    spans = found.filter("not open").select("doc", "pos").union(more).groupBy("doc").agg(F.collect_list("pos").alias("spans"))
+    first, last = F.shiftright("pos", 2 * _BITS), F.col("pos").bitwiseAND(F.lit(_LOW))
+    marks = found.filter("not open").select("doc", first.alias("start"), last.alias("last"), "like_doc", F.shiftright("like_pos", 2 * _BITS).alias("like_start")).union(more)
+    spans = _confirmed(marks, slim, scratch).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = slim.join(spans, "doc", "left")
     out = joined.mapInPandas(_finish, "doc long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
