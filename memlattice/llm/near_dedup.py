@@ -157,71 +157,77 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield b.iloc[i : i + SLICE]
 
 
+def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of sets, in two halves."""
+    halves = ([mix64(s).sum(dtype=np.uint64) for s in sets], [mix64(s ^ _COORD[0]).sum(dtype=np.uint64) for s in sets])
+    return tuple(np.array(x, np.uint64).view(np.int64) for x in halves)
+
+
 def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
             sets = shingle_sets(list(b["t"]))
-            yield pd.DataFrame(
-                {
-                    "id": b["id"],
-                    "n": [len(s) for s in sets],
-                    # a 128-bit name of the set
-                    "f1": np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                    "f2": np.array([mix64(s ^ _COORD[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                    "sig": [signature(s) if len(s) else None for s in sets],
-                }
-            )
+            f1, f2 = _names(sets)
+            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "f1": f1, "f2": f2, "sig": [signature(s) if len(s) else None for s in sets]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return slim.mapInPandas(run, "id long, n long, f1 long, f2 long, sig array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, shingles) of the wanted documents."""
+    """(node, shingles) of the wanted classes (node, id, f1, f2), from one of the documents with that id and set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
-            yield pd.DataFrame({"rep": b["rep"], "shingles": [s.view(np.int64) for s in shingle_sets(list(b["t"]))]})
+            sets = shingle_sets(list(b["t"]))
+            f1, f2 = _names(sets)
+            yield pd.DataFrame({"id": b["id"], "f1": f1, "f2": f2, "shingles": [s.view(np.int64) for s in sets]})
 
-    slim = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("t"))
-    found = slim.join(wanted, "rep", "left_semi")
-    return found.mapInPandas(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    found = slim.join(wanted.select("id").distinct(), "id", "left_semi").mapInPandas(run, "id long, f1 long, f2 long, shingles array<long>")
+    return found.dropDuplicates(["id", "f1", "f2"]).join(wanted, ["id", "f1", "f2"]).select("node", "shingles")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(id, n, rep) of every document, and (node, root) of the classes that are linked with others."""
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, n, node, least_id) of the documents that have an id and a set, node being its class; (id, n) of the others;
+    and (node, component) of the classes that are linked with others, by the smallest id of all that are."""
     spark, link = docs.sparkSession, link_at(similarity)
     scratch = Scratch(spark, "near")
     signed = scratch.save(_sign(docs, id_col, text_col))
     usable = signed.filter("n > 0 and id is not null")
-    classes = usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    posts = classes.select("rep", F.explode("sig").alias("tok"))
+    classes = usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    # a class has a number of its own: documents that repeat an id may have different sets
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))
+    posts = classes.select("node", F.explode("sig").alias("tok"))
     common = posts.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1")
     shared = posts.join(common, "tok")
-    by_rep = Window.partitionBy("rep")
-    ranked = shared.withColumn("own", F.count("*").over(by_rep)).filter(F.col("own") >= link.matches)
-    ranked = ranked.withColumn("rn", F.row_number().over(by_rep.orderBy("freq", "tok")))
+    by_node = Window.partitionBy("node")
+    ranked = shared.withColumn("own", F.count("*").over(by_node)).filter(F.col("own") >= link.matches)
+    ranked = ranked.withColumn("rn", F.row_number().over(by_node.orderBy("freq", "tok")))
     # lists of the shared tokens; the first own - matches + 1 are what is left of the prefix
-    lists = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("x"), F.sum("freq").alias("score"))
-    lists = scratch.save(lists.select("rep", F.col("x.tok").alias("toks"), "score").join(classes.select("rep", "n"), "rep"))
-    prefix = lists.select("rep", "n", "score", F.explode(F.slice("toks", F.lit(1), F.size("toks") - link.matches + 1)).alias("tok"))
+    lists = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("x"), F.sum("freq").alias("score"))
+    lists = scratch.save(lists.select("node", F.col("x.tok").alias("toks"), "score").join(classes.select("node", "n"), "node"))
+    prefix = lists.select("node", "n", "score", F.explode(F.slice("toks", F.lit(1), F.size("toks") - link.matches + 1)).alias("tok"))
     # the hub of a list is the class that shares most with others
-    lead = F.max_by(F.struct("rep", "n"), F.struct("score", F.negate("rep"))).alias("lead")
+    lead = F.max_by(F.struct("node", "n"), F.struct("score", F.negate("node"))).alias("lead")
     hubs = prefix.groupBy("tok").agg(F.count("*").alias("k"), lead).filter("k > 1").drop("k")
-    star = prefix.join(hubs, "tok").filter("rep != lead.rep").filter(_close(F.col("n"), F.col("lead.n"), link))
-    star = star.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-    wanted = prefix.join(hubs, "tok", "left_semi").select("rep").distinct()
+    star = prefix.join(hubs, "tok").filter("node != lead.node").filter(_close(F.col("n"), F.col("lead.n"), link))
+    star = star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    wanted = classes.select("node", "id", "f1", "f2").join(prefix.join(hubs, "tok", "left_semi").select("node").distinct(), "node", "left_semi")
     sets = scratch.save(_sets(docs, wanted, id_col, text_col))
     links = scratch.save(_confirm(star, lists, sets, link))
     roots = scratch.save(connected_components(links))
-    labelled = prefix.join(hubs.select("tok"), "tok").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "rep"))
+    labelled = prefix.join(hubs.select("tok"), "tok").join(roots, "node", "left")
+    labelled = labelled.withColumn("root", F.coalesce("root", "node"))
     apart = scratch.save(_apart(labelled, sets, link).join(star, ["a", "b"], "left_anti"))
     more = scratch.save(_confirm(apart, lists, sets, link))
     if not more.isEmpty():
         roots = scratch.save(connected_components(links.union(more)))
-    member = signed.join(classes.select("f1", "f2", F.col("n").alias("__n"), "rep"), ["f1", "f2"], "left").filter("rep is null or n = __n")
-    return member.select("id", "n", "rep"), roots
+    least = roots.join(classes.select("node", "id"), "node")
+    least = roots.join(least.groupBy("root").agg(F.min("id").alias("component")), "root").select("node", "component")
+    named = classes.select("f1", "f2", "n", "node", F.col("id").alias("least_id"))
+    member = usable.join(named, ["f1", "f2", "n"]).select("id", "n", "node", "least_id")
+    return member, signed.filter("not (n > 0 and id is not null)").select("id", "n"), least
 
 
 def _close(a, b, link: Link):
@@ -237,36 +243,36 @@ def _apart(labelled: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
     that are too far from each other do not even meet here.
     """
     mixed = labelled.groupBy("tok").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r != s").select("tok")
-    members = labelled.join(mixed, "tok", "left_semi").select("rep", "root").distinct()
-    posts = sets.join(members, "rep").select("rep", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
+    members = labelled.join(mixed, "tok", "left_semi").select("node", "root").distinct()
+    posts = sets.join(members, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
     common = posts.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1")
-    by_rep = Window.partitionBy("rep")
-    ranked = posts.join(common, "tok").withColumn("own", F.count("*").over(by_rep)).withColumn("rn", F.row_number().over(by_rep.orderBy("freq", "tok")))
+    by_node = Window.partitionBy("node")
+    ranked = posts.join(common, "tok").withColumn("own", F.count("*").over(by_node)).withColumn("rn", F.row_number().over(by_node.orderBy("freq", "tok")))
     # place in the rarest-first order: shingles that the set has alone come before the shared ones
     ranked = ranked.withColumn("at", F.col("n") - F.col("own") + F.col("rn") - 1).filter(F.col("at") * link.below <= F.col("n") * (link.below - link.above))
     per_root = ranked.groupBy("tok", "root").agg(F.count("*").alias("m"))
     main = per_root.groupBy("tok").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).filter("roots > 1")
-    rest = ranked.join(main.select("tok", "main"), "tok").select("tok", "rep", "n", "at", "root", (F.col("root") == F.col("main")).alias("in_main"))
-    x = rest.filter("not in_main").select("tok", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "at", "root")])
-    y = rest.select("tok", "in_main", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "at", "root")])
+    rest = ranked.join(main.select("tok", "main"), "tok").select("tok", "node", "n", "at", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    x = rest.filter("not in_main").select("tok", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "root")])
+    y = rest.select("tok", "in_main", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "root")])
     overlap = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(link.above) / F.lit(link.above + link.below))
     pair = (
         (F.col("root_x") != F.col("root_y"))
-        & (F.col("in_main") | (F.col("rep_x") < F.col("rep_y")))
+        & (F.col("in_main") | (F.col("node_x") < F.col("node_y")))
         & _close(F.col("n_x"), F.col("n_y"), link)
         & (F.col("at_x") + overlap <= F.col("n_x"))
         & (F.col("at_y") + overlap <= F.col("n_y"))
     )
-    return x.join(y, "tok").filter(pair).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    return x.join(y, "tok").filter(pair).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, lists: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
     """The pairs whose token lists collide often enough and whose full sets are similar enough."""
-    la = lists.select(F.col("rep").alias("a"), F.col("toks").alias("ta"))
-    lb = lists.select(F.col("rep").alias("b"), F.col("toks").alias("tb"))
+    la = lists.select(F.col("node").alias("a"), F.col("toks").alias("ta"))
+    lb = lists.select(F.col("node").alias("b"), F.col("toks").alias("tb"))
     matched = pairs.join(la, "a").join(lb, "b").filter(F.size(F.array_intersect("ta", "tb")) >= link.matches).select("a", "b")
-    sa = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = matched.join(sa, "a").join(sb, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return both.filter(F.col("both") * link.below >= (F.col("na") + F.col("nb") - F.col("both")) * link.above).select("a", "b")
 
@@ -275,14 +281,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``docs``: its id, n_shingles, component_id and kept; sets of this Jaccard or more are linked.
 
     A null text, or one without words, has the empty set and links with nothing.  A text of fewer than five words
-    has one shingle.  Rows without id link with nothing (component_id null, kept false); rows that repeat an id are
-    members with the same id.  Ties cannot arise: components have one smallest id.
+    has one shingle.  Rows without id link with nothing (component_id null, kept false).  Rows that repeat an id are each linked
+    by their own text, so such an id may be in several components.  Ties cannot arise: components have one smallest id.
     """
-    member, roots = near_components(docs, id_col, text_col, similarity)
-    component = F.coalesce("root", "rep", "id")
-    return member.join(roots, member["rep"] == roots["node"], "left").select(
+    member, other, linked = near_components(docs, id_col, text_col, similarity)
+    # rows without a set are kept out of the joins, where they would all have one key
+    found = member.join(linked, "node", "left").select("id", "n", F.coalesce("component", "least_id").alias("component"))
+    found = found.union(other.select("id", "n", F.col("id").alias("component")))
+    return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"),
     )
