@@ -8,8 +8,8 @@ Stages, each of which compares the full normalised content and not just its dige
    one text meet in ``salts`` places instead of one;
 3. global: the at most ``salts`` winners of a text are combined.
 
-Documents are then labelled through their digest.  Stage 3 also counts the contents of
-each digest; while every digest has one content (SHA-256: always so far) labelling by
+Documents are then labelled through their digest.  The contents of each digest are counted, those of
+single rows too; while every digest has one content (SHA-256: always so far) labelling by
 digest equals labelling by content and the texts need no third shuffle.  Were two
 contents ever to share a digest, the labelling join carries the content as well.
 """
@@ -29,7 +29,7 @@ def normalised(text):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per content: digest, content, keep_id, group_size, contents (of its digest)."""
+    """One row per content: digest, content, keep_id, group_size."""
     t = text_or_empty(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
@@ -59,10 +59,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact")
     groups = exact_groups(docs, id_col, text_col, salts)
-    # only groups of two or more have anything to tell their rows
-    repeated = groups.filter("group_size > 1")
-    narrow = scratch.save(repeated.select("digest", "keep_id", "group_size"))
+    narrow = scratch.save(groups.select("digest", "keep_id", "group_size"))
     shared_digest = not narrow.groupBy("digest").count().filter("count > 1").isEmpty()
+    # only groups of two or more have anything to tell their rows
+    repeated, narrow = groups.filter("group_size > 1"), narrow.filter("group_size > 1")
     content = normalised(text_or_empty(text_col))
     digest = F.sha2(content, 256)
     rows = docs.drop("keep_id", "group_size", "kept", "text_sha256")
