@@ -53,7 +53,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlattice.llm.mixing import mix_plan
 
-    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_plan(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ from d window w as (partition by text_sha256 order by cp desc, doc_id)
 
 _OP7 = r"""
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as k
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, 't' || md5(coalesce(text, '')))) as k
   from documents),
 s as (
   select source, sum(size)::bigint as source_size from d group by source),
@@ -124,11 +124,16 @@ f as (
 t as (
   select source, source_size, least(cap, (select min_by(level, fill) from f where level <= fill) * weight)::double as target from f),
 c as (
-  select d.*, source_size, target, sum(size) over (partition by d.source order by k, doc_id, size rows unbounded preceding) - size + size / 2.0 as half
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (size * ((half <= target)::int + (source_size + half <= target)::int + (2 * source_size + half <= target)::int))::bigint as taken
-from c
+  select d.*, source_size, target, row_number() over () as rid, sum(size) over (partition by d.source order by k, doc_id, size rows unbounded preceding) as fin
+  from d join t on d.source is not distinct from t.source),
+e as (
+  select rid, size, source, (epoch * source_size + fin) / target as vf from c, unnest([0, 1, 2]) as u(epoch) where size > 0),
+r as (
+  select rid, size, sum(size) over (order by vf, source nulls last rows unbounded preceding) - size / 2.0 <= (select sum(size) from d) as taken from e),
+n as (
+  select rid, sum(size)::bigint as taken from r where taken group by rid)
+select doc_id, size, source_size, target, coalesce(n.taken, 0)::bigint as taken
+from c left join n using (rid)
 """
 
 
