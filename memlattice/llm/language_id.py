@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of the fitted sample: characters of a language, and of all languages together.
+#: Bound of the fitted sample: whole texts of LONGEST characters at most, as many as fit into CHARS_PER_LANGUAGE; with very many
+#: languages, into an equal share of CHARS_IN_ALL, but not less than LEAST.
 CHARS_PER_LANGUAGE = 40_000
 CHARS_IN_ALL = 400_000
+LEAST = 10_000
 DOCS_PER_LANGUAGE = 400
-CHARS_PER_DOC = 1_000
+LONGEST = 600
 UNDETERMINED = "und"
 
 
@@ -84,33 +86,32 @@ class Model:
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
-    """Texts to learn from, by language: the DOCS_PER_LANGUAGE rows with the least hashes of their ids.
+    """Texts to learn from, by language: whole ones of LONGEST characters at most, by the least hashes of their ids, while they fit.
 
     The rows of a language are counted, and only hashes below a bound that leaves about four times the rows wanted are ranked:
-    what is sent does not grow with the corpus.
+    what is sent does not grow with the corpus.  A language that has longer texts only is learned from its shortest, whole.
     """
-    usable = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    usable = usable.filter(F.col("lang").isNotNull() & F.col("t").isNotNull())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
+    usable = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    usable = usable.filter(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("n", F.char_length("t"))
+    short = F.col("n") <= LONGEST
+    counts = {r["lang"]: r["short"] for r in usable.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short")).collect()}  # one row a language
     if not counts:
         return {}
-    bound = {k: int(min(1.0, 4.0 * DOCS_PER_LANGUAGE / n) * (1 << 64)) - (1 << 63) for k, n in counts.items()}
-    limit = F.create_map(*[F.lit(x) for k, v in bound.items() for x in (k, min(v, (1 << 63) - 1))])
-    order = Window.partitionBy("lang").orderBy("h", "id", "t")
-    rows = (
-        usable.filter(F.col("h") <= limit[F.col("lang")].cast("long"))
-        .withColumn("t", F.substring("t", 1, CHARS_PER_DOC))
-        .filter(F.col("t").rlike(r"\p{L}"))
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= DOCS_PER_LANGUAGE)
-        .select("lang", "rn", "t")
-        .collect()
-    )
+    room = min(CHARS_PER_LANGUAGE, max(LEAST, CHARS_IN_ALL // len(counts)))
+    bound = {k: int(min(1.0, 4.0 * DOCS_PER_LANGUAGE / n) * (1 << 64)) - (1 << 63) for k, n in counts.items() if n}
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.rn)):
-        texts.setdefault(r.lang, []).append(r.t)
-    bound = min(CHARS_PER_LANGUAGE, CHARS_IN_ALL // max(1, len(texts)))
-    return {k: "\n".join(v).lower()[:bound] for k, v in texts.items()}
+    if bound:
+        limit = F.create_map(*[F.lit(x) for k, v in bound.items() for x in (k, min(v, (1 << 63) - 1))])
+        order = Window.partitionBy("lang").orderBy("h", "id", "t")
+        rows = usable.filter(short & (F.col("h") <= limit[F.col("lang")].cast("long"))).withColumn("rn", F.row_number().over(order))
+        rows = rows.filter(F.col("rn") <= DOCS_PER_LANGUAGE).withColumn("so_far", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        for r in sorted(rows.filter(F.col("so_far") <= room).select("lang", "rn", "t").collect(), key=lambda r: (r.lang, r.rn)):
+            texts.setdefault(r.lang, []).append(r.t)
+    only_long = [k for k, n in counts.items() if not n]
+    if only_long:
+        for r in usable.filter(F.col("lang").isin(only_long)).groupBy("lang").agg(F.min_by("t", F.struct("n", "h", "id", "t")).alias("t")).collect():
+            texts[r.lang] = [r.t]
+    return {k: "\n".join(v).lower() for k, v in texts.items()}
 
 
 _models: dict[int, Model] = {}

@@ -1,6 +1,7 @@
 """Language, language model, HTML, personal data and mixing on small tables."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -42,6 +43,9 @@ def test_language_id(spark):
     held = [r for r in got if r.lang and r.text and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert len(held) > 15 and all(r.lang_pred == r.lang for r in held)
     assert all(0 <= r.score <= 1 for r in got) and named[(902, "")].lang_pred == "und" and named[(901, "12 34 !")].score == 0.0
+    # a language of long texts only is learned from the shortest
+    far = spark.createDataFrame([(2000 + i, "qua " * (900 + i), "qq") for i in range(3)] + [(i, t, k) for i, k, t in rows], "doc_id long, text string, lang string")
+    assert language_id.sample(far, "doc_id", "text", "lang")["qq"] == "qua " * 900
     assert {r.lang_pred for r in language_id.identify_language(df.filter("lang is null")).collect()} == {"und"}  # nothing to learn from
     assert language_id.identify_language(df.limit(0)).count() == 0
 
@@ -231,6 +235,18 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) <= longest for s in sizes) and math.isclose(sum(want.values()), sum(sizes.values()))
     key = lambda r: (r.doc_id is None, r.doc_id, r.text, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, mixing.mix_plan(df.repartition(7)).collect()))
+    # all copies in one order, cut at the budget
+    start, end = collections.Counter(), {}
+    for i, r in sorted(enumerate(got), key=lambda x: (hashlib.md5((str(x[1].doc_id) if x[1].doc_id is not None else "t" + hashlib.md5((x[1].text or "").encode()).hexdigest()).encode()).hexdigest(), x[1].size)):
+        start[r.source] += r.size
+        end[i] = start[r.source]
+    copies = sorted(((e * r.source_size + end[i]) / r.target, r.source is None, r.source or "", i) for i, r in enumerate(got) if r.size for e in range(3))
+    want, so_far = collections.Counter(), 0
+    for _, _, _, i in copies:
+        if so_far + got[i].size / 2 <= sum(sizes.values()):
+            want[i] += 1
+        so_far += got[i].size
+    assert [r.copies for r in got] == [want[i] for i in range(len(got))]
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.mix_plan(df.limit(0)).count() == 0
@@ -244,7 +260,7 @@ def test_pipeline(spark, tmp_path):
     rows += [(100, rows[0][1] + "  ", "x", "s0", 0), (101, rows[1][1] + " more", "y", "s1", 0), (102, "1 2 3", "x", "s0", 0), (103, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = [r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()]
-    assert not {0, 101, 102, 103} & set(got) and 100 in got or 0 not in got
+    assert 100 in got and not {0, 102, 103} & set(got) and len({1, 101} & set(got)) == 1
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path)).cache()
