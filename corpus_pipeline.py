@@ -36,9 +36,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; rows without id stay."""
-    copies = near_dedup(docs, similarity=NEAR).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies.  Rows that the id does not tell apart are told apart by a number; texts without words stay."""
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        rows = docs.withColumn("__row", F.col("doc_id"))
+    else:
+        rows = Scratch(spark, "rows").save(docs.withColumn("__row", F.monotonically_increasing_id()))
+    copies = near_dedup(rows, "__row", similarity=NEAR).filter("not kept").select("__row")
+    return rows.join(copies, "__row", "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
