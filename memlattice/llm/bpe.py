@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlattice.llm.common import worker_state
+
 #: Pre-tokens whose ids a worker keeps; the older half goes when there are more.
-CACHE = 500_000
+CACHE = 200_000
 #: Longer pre-tokens are rarely repeated and are not kept.
 CACHED_CHARS = 40
 #: Unicode's White_Space property, which is what ``\s`` means to the pattern's home library.
@@ -197,16 +199,13 @@ class Codec:
         return hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(vocabulary: bytes, pattern: str) -> Codec:
     """One codec for each worker process and vocabulary."""
-    key = hash((vocabulary, pattern))
-    if key not in _codecs:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+
+    def make() -> Codec:
+        return Codec({base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}, pattern)
+
+    return worker_state(("bpe", hash((vocabulary, pattern))), make)
 
 
 def _vocabulary(path: str) -> bytes:

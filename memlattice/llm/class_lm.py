@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm.common import Scratch
+from memlattice.llm.common import Scratch, worker_state
 
 CORE = 1024
 CLASSED = 8192
@@ -81,9 +81,6 @@ class Lexicon:
         return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
 
 
-_held: dict = {}
-
-
 class Shared:
     """A broadcast value with a name, by which a worker process knows what it has built from it."""
 
@@ -93,10 +90,7 @@ class Shared:
 
 def _once(shared: Shared, make):
     """What ``make`` builds from a shared value, once in each worker process."""
-    if shared.name not in _held:
-        _held.clear()
-        _held[shared.name] = make(shared.sent.value)
-    return _held[shared.name]
+    return worker_state(("shared", shared.name), lambda: make(shared.sent.value))
 
 
 def _tally(texts: Iterator, codes, size: int) -> pd.DataFrame:

@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set (tests) a local one is chosen."""
+    """The folder named by spark.checkpoint.dir; in local mode (tests) one is chosen where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="memlattice-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,5 +62,16 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What ``make`` builds for ``key``.  A worker process keeps one such value, so those of operators that follow each other do not add up."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

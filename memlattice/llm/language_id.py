@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlattice.llm.common import worker_state
+
 #: Bound of the fitted sample: whole texts of LONGEST characters at most, as many as fit into CHARS_PER_LANGUAGE; with very many
 #: languages, into an equal share of CHARS_IN_ALL, but not less than LEAST.
 CHARS_PER_LANGUAGE = 40_000
@@ -114,15 +116,8 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> di
     return {k: "\n".join(v).lower() for k, v in texts.items()}
 
 
-_models: dict[int, Model] = {}
-
-
 def _model(samples: dict[str, str]) -> Model:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    return worker_state(("language", hash(tuple(sorted(samples.items())))), lambda: Model(samples))
 
 
 def held_out(id_col: str = "doc_id"):
