@@ -1,38 +1,40 @@
 """Scoring by a Brown class-based bigram model.
 
-A word belongs to one class; log10 P(text) is the sum over its tokens of
+Every word of the training rows belongs to one class; log10 P(text) is the sum over its tokens of
 log10 P(class | class before) + log10 P(word | class).
 
 * Words of all training rows are counted in Spark; the table grows with the corpus and stays distributed.
 * Exchange clustering moves each of the CORE most frequent words to the class that
   raises the bigram likelihood most, until nothing moves; its input is the CORE x CORE bigram
   table of the whole corpus, a bounded matrix.
-* The next words up to CLASSED are put by one exchange step, from their counts beside the classes.
-* All other words form an open class with add-one emissions (one slot for the unseen); it is
-  transparent for transitions, so the class before an open word still informs what follows.
-* The KEPT most frequent words travel to the tasks (bounded in number and length); occurrences of others meet
-  their counts in a join.
+* Every other word is put by an exchange step of its own, distributed by word: its counts beside the core's classes, over the whole corpus,
+  decide; without any it goes to the class with most words.  So the model has a class for each word, however many there are.
+* The KEPT most frequent words travel to the tasks with their classes (bounded in number and length).  Occurrences of other words meet
+  their counts and classes in a join and are put back into their text's sequence of classes.
+* P(word | class) is add-one with a slot for the unseen in every class; an unseen word leaves the class before it in force.
+  Over all words, the unseen and the end of a text the probabilities add up to 1.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.llm.common import Scratch, worker_state
 
 CORE = 1024
-CLASSED = 8192
 KEPT = 1 << 17
 CLASSES = 40
-#: Longer words are never sent with a task, which bounds the size of what is sent.
-KEPT_BYTES = 64
+#: Longer words go by a digest, which bounds the size of what is sent.
+NAMED_BYTES = 64
 SWEEPS = 12
 #: Different words that a task counts before it sends their counts.
 HELD = 200_000
@@ -43,8 +45,11 @@ PRIOR = 20.0
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """ASCII lower case, cut at ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    """ASCII lower case, cut at ASCII white space; a long word is a space, which no word has, and its digest."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(max(words, key=len, default=b"")) > NAMED_BYTES:
+        return [w if len(w) <= NAMED_BYTES else b" " + hashlib.blake2b(w, digest_size=16).digest() for w in words]
+    return words
 
 
 def held_out(id_col: str = "doc_id"):
@@ -73,7 +78,7 @@ class Lexicon:
     """Ids of the kept words, most frequent first; -1 for others."""
 
     def __init__(self, words: list[bytes]):
-        self.get = {w: i for i, w in enumerate(words)}.get
+        self.get, self.n = {w: i for i, w in enumerate(words)}.get, len(words)
 
     def ids(self, text: str | None) -> np.ndarray:
         get = self.get
@@ -115,7 +120,7 @@ def _gather(train: DataFrame, text_col: str, make, size: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _tally((t for b in batches for t in b["t"]), make(), size)
 
-    part = train.select(F.col(text_col).cast("string").alias("t")).mapInPandas(run, "k long, c long")
+    part = train.select(F.col(text_col).alias("t")).mapInPandas(run, "k long, c long")
     rows = part.groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(size)
     out[rows["k"].to_numpy()] = rows["c"].to_numpy()
@@ -189,135 +194,237 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return cls[:n]
 
 
-def beside_classes(train: DataFrame, text_col: str, words, core_cls: np.ndarray, n_classed: int, k: int) -> np.ndarray:
-    """For each classed word after the core: counts of the core classes before (0) and after (1) it."""
-    n = len(core_cls)
-    rest = n_classed - n
+def beside_classes(train: DataFrame, text_col: str, words, core_cls: np.ndarray, k: int) -> DataFrame:
+    """(id, word, code, n) for every word after the core: how often it has a core word of class code before it, or, of class
+    code - k, after it.  Words that travel go by their id, others (id -1) by themselves."""
+    n, side = len(core_cls), 2 * k
 
-    def make():
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = _once(words, Lexicon)
-        of = np.full(n_classed + 1, -1)
-        of[:n] = core_cls
+        of = np.append(core_cls, -1)
+        got, held, rare, many = np.zeros((lex.n + 1) * side, np.int32), [], Counter(), 0
 
-        def codes(t):
-            x = lex.ids(t)
-            x = np.where(x >= n_classed, -1, x)
-            c, new = of[x], x >= n
-            out = []
-            for word, near, side in ((new[1:], c[:-1], 0), (new[:-1], c[1:], 1)):
-                at = np.nonzero(word & (near >= 0))[0]
-                out.append(((x[at + 1 - side] - n) * 2 + side) * k + near[at])
-            return np.concatenate(out)
+        def settle():
+            if held:
+                at, c = np.unique(np.concatenate(held), return_counts=True)
+                got[at] += c
+                held.clear()
 
-        return codes
+        def send(rare):
+            keys = list(rare)
+            return pd.DataFrame({"id": -1, "word": [w for w, _ in keys], "code": [c for _, c in keys], "n": list(rare.values())})
 
-    return _gather(train, text_col, make, rest * 2 * k).reshape(rest, 2, k)
-
-
-def place(beside: np.ndarray, bigrams: np.ndarray, core_cls: np.ndarray, k: int) -> np.ndarray:
-    """The class in which a word's neighbours are likeliest, as the class's core words have them."""
+        for b in batches:
+            for t in b["t"]:
+                own = tokens(t)
+                x = np.fromiter([lex.get(w, -1) for w in own], np.int64, len(own))
+                c = of[np.where((x < 0) | (x >= n), n, x)]
+                for word, near, shift in ((slice(1, None), c[:-1], 0), (slice(None, -1), c[1:], k)):
+                    mine = x[word]
+                    at = np.flatnonzero((near >= 0) & (mine >= n))
+                    held.append(mine[at] * side + near[at] + shift)
+                    many += len(at)
+                    for i in np.flatnonzero((near >= 0) & (mine < 0)).tolist():
+                        rare[own[i + (shift == 0)], int(near[i]) + shift] += 1
+                if many > TALLIED:
+                    settle()
+                    many = 0
+                if len(rare) > HELD:
+                    yield send(rare)
+                    rare.clear()
+        settle()
+        if rare:
+            yield send(rare)
+        at = np.flatnonzero(got)
+        for i in range(0, len(at), HELD):
+            here = at[i : i + HELD]
+            yield pd.DataFrame({"id": here // side, "word": None, "code": here % side, "n": got[here]})
+
+    part = train.select(F.col(text_col).cast("string").alias("t")).mapInPandas(run, "id long, word binary, code int, n long")
+    return part.groupBy("id", "word", "code").agg(F.sum("n").alias("n"))
+
+
+def placing(bigrams: np.ndarray, core_cls: np.ndarray, k: int) -> np.ndarray:
+    """[code, class]: what a neighbour of that code adds to the log likelihood of a word in that class, as the class's core words have them."""
     n = len(core_cls)
     one = np.zeros((n, k))
     one[np.arange(n), core_cls] = 1
     table = one.T @ bigrams[:n, :n] @ one + 0.5
     after = np.log(table / table.sum(1, keepdims=True))  # [class, class after it]
     before = np.log(table / table.sum(0, keepdims=True))  # [class before it, class]
-    return np.argmax(beside[:, 0] @ before + beside[:, 1] @ after.T, axis=1)
-
+    return np.concatenate([before, after.T])
 
-def transitions(train: DataFrame, text_col: str, words, cls: np.ndarray, k: int) -> np.ndarray:
-    """Counts (class before or start, class or open or end); row k: start; column k: open, k + 1: end."""
 
-    def make():
-        lex = _once(words, Lexicon)
-
-        def codes(t):
-            before, now = steps(lex.ids(t), cls, k)
-            return before * (k + 2) + now
-
-        return codes
-
-    return _gather(train, text_col, make, (k + 1) * (k + 2)).reshape(k + 1, k + 2)
+def place(beside: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(id, word, class): an exchange step of every word by itself."""
 
-
-def steps(ids: np.ndarray, cls: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token, the end too: the class before it (k: none yet) and its own (k: open, k + 1: end)."""
-    now = np.full(len(ids) + 1, k)
-    known = (ids >= 0) & (ids < len(cls))
-    now[:-1][known] = cls[ids[known]]
-    now[-1] = k + 1
-    at = np.where(now < k, np.arange(len(now)), -1)
-    last = np.maximum.accumulate(at)
-    before = np.full(len(now), k)
-    seen = last[:-1]
-    before[1:][seen >= 0] = now[seen[seen >= 0]]
-    return before, now
-
-
-def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
-    """One row for each row of ``docs``: its id, n_tokens, n_known, train_tokens, base_score and score (both log10).
-
-    ``train`` has the rows to learn from; all are counted.  A null or empty text is its end token alone.
-    With no training rows every word is unseen.  Rows that repeat, or have a null id, are scored
-    each by themselves.  Other columns of ``docs`` are not looked at.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for i in range(0, len(whole), 4096):
+                b = whole.iloc[i : i + 4096]
+                counts = np.zeros((len(b), len(weights)))
+                for row, (codes, n) in enumerate(zip(b["codes"], b["n"], strict=True)):
+                    counts[row, codes] = n
+                yield pd.DataFrame({"id": b["id"], "word": b["word"], "class": np.argmax(counts @ weights, axis=1)})
+
+    lists = beside.groupBy("id", "word").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("x"))
+    return lists.select("id", "word", F.col("x.code").alias("codes"), F.col("x.n").alias("n")).mapInPandas(run, "id long, word binary, class int")
+
+
+class Classes(NamedTuple):
+    """The fitted classes: words that travel with their counts and classes, the table (word, c, class) of all others, and
+    by class its number of words and tokens; totals of the training rows."""
+
+    words: Shared
+    listed: list[bytes]
+    freq: np.ndarray
+    cls: np.ndarray
+    others: DataFrame
+    k: int
+    types: np.ndarray
+    mass: np.ndarray
+    tokens: int
+    distinct: int
+    ends: int
+
+
+def fit_classes(train: DataFrame, scratch: Scratch, text_col: str = "text", classes: int = CLASSES) -> Classes:
+    spark = train.sparkSession
     counts = scratch.save(word_counts(train, text_col))
     ends = train.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    all_tokens, all_words = total + ends, distinct + (ends > 0)
-    top = counts.filter(F.octet_length("word") <= KEPT_BYTES).orderBy(F.desc("c"), "word").limit(KEPT).toArrow()
-    words = Shared(spark, top["word"].to_pylist())
-    freq = top["c"].to_numpy().astype(np.float64)
-    n_core, n_classed = min(CORE, len(freq)), min(CLASSED, len(freq))
+    top = counts.orderBy(F.desc("c"), "word").limit(KEPT).toArrow()
+    listed, freq = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
+    words = Shared(spark, listed)
+    n_core = min(CORE, len(freq))
     bigrams = core_bigrams(train, text_col, words, n_core)
-    cls = exchange(bigrams, classes)
-    k = int(cls.max(initial=0)) + 1
-    if n_classed > n_core:
-        cls = np.append(cls, place(beside_classes(train, text_col, words, cls, n_classed, k), bigrams, cls, k))
-    moves = transitions(train, text_col, words, cls, k)
-    alone = (moves.sum(0) + 1.0) / (moves.sum() + k + 2)
-    move = np.log10((moves + PRIOR * alone) / (moves.sum(1, keepdims=True) + PRIOR))
-    in_class = np.bincount(cls, weights=freq[:n_classed], minlength=k)
-    emit = np.log10(freq[:n_classed] / in_class[cls])
-    open_size = float(np.log10(total - freq[:n_classed].sum() + distinct - n_classed + 1.0))
-    base_size = float(np.log10(all_tokens + 1.0 * (all_words + 1)))
-    seen, end_base = np.log10(freq + 1.0), float(np.log10(ends + 1.0))
+    core = exchange(bigrams, classes)
+    k = int(core.max(initial=0)) + 1
+    mass = np.bincount(core, weights=freq[:n_core], minlength=k)
+    usual = int(np.argmax(mass))
+    cls = np.append(core, np.full(len(freq) - n_core, usual))
+    others = counts.limit(0).withColumn("class", F.lit(usual))
+    if len(freq) > n_core:
+        placed = scratch.save(place(beside_classes(train, text_col, words, core, k), placing(bigrams, core, k)))
+        sent = placed.filter("id >= 0").select("id", "class").toArrow()
+        cls[sent["id"].to_numpy()] = sent["class"].to_numpy()
+        if distinct > len(freq):
+            c, w = F.lit(int(freq[-1])), F.lit(listed[-1])
+            rest = counts.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > w)))
+            rest = rest.join(placed.filter("id < 0").select("word", "class"), "word", "left")
+            others = scratch.save(rest.select("word", "c", F.coalesce("class", F.lit(usual)).alias("class")))
+    types, mass = np.bincount(cls, minlength=k).astype(float), np.bincount(cls, weights=freq, minlength=k)
+    for r in others.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # one row a class
+        types[r["class"]] += r["n"]
+        mass[r["class"]] += r["c"]
+    return Classes(words, listed, freq, cls, others, k, types, mass, total + ends, distinct + (ends > 0), ends)
+
+
+#: Codes of a token whose class a join has to tell, and of one that has none.
+ASKED, UNSEEN = 254, 255
+
+
+def code_texts(docs: DataFrame, model: Classes, scratch: Scratch) -> DataFrame:
+    """(i, learn, codes, log_seen, known) of the rows (i, learn, t): the class of each token, the sum of log10(count + 1) and the number of known ones."""
+    words, cls, seen = model.words, model.cls, np.log10(model.freq + 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = _once(words, Lexicon).get
+        of = np.append(cls, ASKED).astype(np.uint8)
         for b in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             out = []
             for t in b["t"]:
                 own = tokens(t)
                 ids = np.fromiter([get(w, -1) for w in own], np.int64, len(own))
-                before, now = steps(ids, cls, k)
-                kept = ids[ids >= 0]
-                wide = kept[kept >= n_classed]
-                lost = np.nonzero(ids < 0)[0]
-                s = move[before, now].sum() + emit[kept[kept < n_classed]].sum() + seen[wide].sum() - open_size * (len(wide) + len(lost))
-                base = seen[kept].sum() + end_base - base_size * (len(ids) + 1)
-                out.append((len(ids) + 1, len(kept) + (ends > 0), float(base), float(s), [own[i] for i in lost]))
-            yield pd.concat([b[["i"]], pd.DataFrame(out, columns=["n", "known", "base", "s", "rest"], index=b.index)], axis=1)
-
-    slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    kind = slim.schema["i"].dataType.simpleString()
-    first = slim.mapInPandas(run, f"i {kind}, n long, known long, base double, s double, rest array<binary>")
+                out.append((of[ids].tobytes(), float(seen[ids[ids >= 0]].sum()), int((ids >= 0).sum()), [own[i] for i in np.flatnonzero(ids < 0)]))
+            yield pd.concat([b[["i", "learn"]], pd.DataFrame(out, columns=["codes", "log_seen", "known", "rest"], index=b.index)], axis=1)
+
+    kind = docs.schema["i"].dataType.simpleString()
+    first = docs.mapInPandas(run, f"i {kind}, learn boolean, codes binary, log_seen double, known long, rest array<binary>")
     first = scratch.save(first.withColumn("r", F.monotonically_increasing_id()))
-    # words that did not travel: their counts, by a join on the word; none of them is frequent
-    rare = first.select("r", F.explode("rest").alias("word")).groupBy("word", "r").agg(F.count("*").alias("m"))
-    rest = (
-        rare.join(counts, "word")
-        .groupBy("r")
-        .agg(F.sum("m").alias("known_rest"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("log_rest"))
+    # words that did not travel; none of them is frequent
+    asked = first.filter(F.size("rest") > 0).select("r", F.posexplode("rest").alias("at", "word")).join(model.others, "word")
+    told = asked.groupBy("r").agg(
+        F.array_sort(F.collect_list(F.struct("at", "class"))).alias("x"), F.sum(F.log10(F.col("c") + 1.0)).alias("log_rest"), F.count("*").alias("more")
     )
-    more = F.coalesce("log_rest", F.lit(0.0))
-    return first.join(rest, "r", "left").select(
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for codes, at, got in zip(b["codes"], b["at"], b["class"], strict=True):
+                x = np.frombuffer(codes, np.uint8).copy()
+                asked = np.flatnonzero(x == ASKED)
+                x[asked] = UNSEEN
+                if at is not None:
+                    x[asked[np.asarray(at, np.int64)]] = got
+                out.append(x.tobytes())
+            yield b[["i", "learn", "log_seen", "known"]].assign(codes=out)
+
+    joined = first.drop("rest").join(told, "r", "left")
+    joined = joined.select(
+        "i", "learn", "codes", (F.col("log_seen") + F.coalesce("log_rest", F.lit(0.0))).alias("log_seen"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("known"),
+        F.col("x.at").alias("at"), F.col("x.class").alias("class"),
+    )
+    return scratch.save(joined.mapInPandas(fill, f"i {kind}, learn boolean, log_seen double, known long, codes binary"))
+
+
+def before_each(codes: np.ndarray, k: int) -> np.ndarray:
+    """For each token and the end: the class of the last token before it that has one, k if there is none."""
+    last = np.maximum.accumulate(np.where(codes < k, np.arange(len(codes)), -1)) if len(codes) else np.zeros(0, np.int64)
+    return np.append(k, np.where(last < 0, k, codes[last].astype(np.int64)) if len(codes) else [])
+
+
+def transitions(coded: DataFrame, k: int) -> np.ndarray:
+    """Counts [class before or k: start, class or k: end] over the rows to learn from."""
+
+    def make():
+        def pairs(codes):
+            x = np.frombuffer(codes, np.uint8).astype(np.int64)
+            before, now = before_each(x, k), np.append(x, k)
+            return (before * (k + 1) + now)[now <= k].astype(np.int64)
+
+        return pairs
+
+    return _gather(coded.filter("learn"), "codes", make, (k + 1) * (k + 1)).reshape(k + 1, k + 1)
+
+
+def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
+    """One row for each row of ``docs``: its id, n_tokens, n_known, train_tokens, base_score and score (both log10).
+
+    ``learn`` says which rows to learn from; all of them are counted.  A null or empty text is its end token alone.
+    With no such rows every word is unseen.  Rows that repeat, or have a null id, are scored
+    each by themselves.  Other columns of ``docs`` are not looked at.
+    """
+    scratch = Scratch(docs.sparkSession, "lm")
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("t"))
+    model = fit_classes(rows.filter("learn"), scratch, "t", classes)
+    coded, k = code_texts(rows, model, scratch), model.k
+    moves = transitions(coded, k)
+    alone = (moves.sum(0) + 1.0) / (moves.sum() + k + 1)
+    chance = (moves + PRIOR * alone) / (moves.sum(1, keepdims=True) + PRIOR)
+    move, size = np.log10(chance), model.mass + model.types + 1.0
+    within = np.append(np.log10(size), 0.0)  # of the class that is left, what its words share; nothing for the end
+    unseen = np.log10((chance[:, :k] / size).sum(1))
+    base_size, end_base, ends = float(np.log10(model.tokens + model.distinct + 1.0)), float(np.log10(model.ends + 1.0)), model.ends
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for codes, log_seen, known in zip(b["codes"], b["log_seen"], b["known"], strict=True):
+                x = np.frombuffer(codes, np.uint8).astype(np.int64)
+                before, now = before_each(x, k).astype(np.int64), np.append(x, k)
+                got = now <= k
+                s = (move[before[got], now[got]] - within[now[got]]).sum() + unseen[before[~got]].sum() + log_seen
+                out.append((len(now), int(known) + (ends > 0), log_seen + end_base - base_size * len(now), float(s)))
+            yield pd.concat([b[["i"]], pd.DataFrame(out, columns=["n", "known", "base", "s"], index=b.index)], axis=1)
+
+    kind = coded.schema["i"].dataType.simpleString()
+    scored = coded.mapInPandas(run, f"i {kind}, n long, known long, base double, s double")
+    return scored.select(
         F.col("i").alias(id_col),
         F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"),
-        F.lit(int(all_tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("s") + more).alias("score"),
+        F.col("known").alias("n_known"),
+        F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        F.col("s").alias("score"),
     )

@@ -60,7 +60,7 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlattice.llm.class_lm import held_out, score_documents
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    scored = score_documents(docs, docs.filter(~held_out()))
+    scored = score_documents(docs, ~held_out())
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from memlattice.llm import class_lm, html_extract, language_id, mixing, pii
 
@@ -52,30 +53,61 @@ def test_language_id(spark):
 
 def test_class_lm(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "KEPT", 40)
-    monkeypatch.setattr(class_lm, "CLASSED", 30)
     monkeypatch.setattr(class_lm, "CORE", 20)
+    monkeypatch.setattr(class_lm, "HELD", 15)
     rng = random.Random(5)
     left, right = [f"a{k}" for k in range(25)], [f"B{k}" for k in range(25)]
     rows = [(i, " ".join(rng.choice(left if (j + i) % 2 else right) for j in range(rng.randrange(0, 60)))) for i in range(200)]
-    rows += [(900, None), (901, ""), (902, "unseen\tWORD a1"), (903, "y " * 20_000)]
+    rows += [(900, None), (901, ""), (902, "unseen\tWORD a1"), (903, "y " * 20_000), (None, "a1 b2"), (5, "a1 unseen b2"), (5, "a3 alone1"), (906, "b1 " + "long" * 40 + " b2 zz " + "long" * 41)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
-    train = df.filter(~class_lm.held_out())
-    got = {r.doc_id: r for r in class_lm.score_documents(df, train, classes=4).collect()}
+    got = class_lm.score_documents(df, ~class_lm.held_out(), classes=4).collect()
     tok = lambda t: [*(w.lower() for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w), None]
+    learnt = [(i, t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
     c = collections.Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            c.update(tok(t))
+    for _, t in learnt:
+        c.update(tok(t))
     n, v = sum(c.values()), len(c)
+    # the classes of the operator, and a model of plain dictionaries over them
+    scratch = class_lm.Scratch(spark, "test")
+    model = class_lm.fit_classes(df.filter(~class_lm.held_out()), scratch, "text", 4)
+    name = lambda w: class_lm.tokens(w)[0]
+    cls = dict(zip(model.listed, model.cls, strict=True)) | {bytes(r["word"]): r["class"] for r in model.others.collect()}
+    assert set(cls) == {name(w) for w in c if w} and len(model.listed) == 40 and len(cls) > 45
+    of = {w: int(cls[name(w)]) for w in c if w}
+    k, moves, size = model.k, collections.Counter(), collections.Counter()
+    for w, m in c.items():
+        if w:
+            size[of[w]] += m + 1
+    for _, t in learnt:
+        before = "start"
+        for w in tok(t):
+            now = of[w] if w else "end"
+            moves[before, now] += 1
+            before = now
+    to, every = [*range(k), "end"], sum(moves.values())
+    alone = {x: (sum(m for (_, b), m in moves.items() if b == x) + 1) / (every + k + 1) for x in to}
+    chance = {(a, x): (moves[a, x] + class_lm.PRIOR * alone[x]) / (sum(moves[a, y] for y in to) + class_lm.PRIOR) for a in [*range(k), "start"] for x in to}
+    for a in [*range(k), "start"]:  # all words, the unseen and the end
+        assert math.isclose(sum(chance[a, of[w]] * (m + 1) / (size[of[w]] + 1) for w, m in c.items() if w) + sum(chance[a, x] / (size[x] + 1) for x in range(k)) + chance[a, "end"], 1)
+    want = collections.Counter()
     for i, t in rows:
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tok(t)), sum(c[w] > 0 for w in tok(t)), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)), rel_tol=1e-9)
-    held = [r for r in got.values() if r.doc_id < 200 and zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
+        s, before = 0.0, "start"
+        for w in tok(t):
+            if w and w not in of:
+                s += math.log10(sum(chance[before, x] / (size[x] + 1) for x in range(k)))
+                continue
+            s += math.log10(chance[before, of[w]] * (c[w] + 1) / (size[of[w]] + 1) if w else chance[before, "end"])
+            before = of[w] if w else before
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t))
+        want[i if i is not None else -1, len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(base, 5), round(s, 5)] += 1
+    assert collections.Counter((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 200 and zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # words alternate, which the classes find
-    empty = class_lm.score_documents(df, train.limit(0)).collect()
+    of_left, of_right = {of[w] for w in left[:8] if w in of}, {of[w.lower()] for w in right[:8] if w.lower() in of}
+    assert not of_left & of_right
+    empty = class_lm.score_documents(df, F.lit(False)).collect()
     assert len(empty) == len(rows) and all(r.n_known == 0 and r.train_tokens == 0 for r in empty)
-    assert class_lm.score_documents(df.limit(0), train).count() == 0
+    assert class_lm.score_documents(df.limit(0), ~class_lm.held_out()).count() == 0
 
 
 def test_exchange_reaches_a_local_optimum():
