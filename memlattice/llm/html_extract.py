@@ -36,6 +36,10 @@ MARKS = frozenset(
     "footer foot bottombar cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations "
     "widget comment comments respond reply replies disqus toolbar pagination pager copyright search complementary contentinfo".split()
 )
+#: The words among them that mark an element of running text.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner banners".split())
+#: Elements nested deeper than this share the path of the one at this depth.
+DEEP = 256
 #: Elements that hold an article.
 ARTICLE = ("article", "main")
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -74,19 +78,23 @@ class Mark:
         self.article, self.container, self.chars = article, False, 0
 
 
-def _marked(attrs: str) -> tuple[str, bool]:
+def _marked(attrs: str, words: frozenset = MARKS) -> tuple[str, bool]:
     """What a path says of class, id and role; whether they mark the element."""
     said, bad = [], False
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
         said.append(re.sub(r"[0-9]+", "0", value.strip()))
-        if any(w.lower() in MARKS for w in _WORDS.findall(_WITH.sub("", value))):
+        if any(w.lower() in words for w in _WORDS.findall(_WITH.sub("", value))):
             bad = True
     return "." + ".".join(said) if said else "", bad
 
 
 def parse(source: str) -> tuple[list[Slot], dict[str, int]]:
-    """The slots in page order and how often each element path occurs; missing and stray end tags are put up with."""
+    """The slots in page order and how often each element path occurs; missing and stray end tags are put up with.
+
+    One pass over the page: after the last ">" there is no tag, so tags that never end are looked for once.  An element of running text
+    is no slot of its own unless it is marked as an advert.
+    """
     slots: list[Slot] = []
     counts: dict[str, int] = {}
     stack: list[tuple[str, str, bool, bool, tuple]] = []  # name, path, dropped, in an article, elements around that words mark
@@ -103,8 +111,12 @@ def parse(source: str) -> tuple[list[Slot], dict[str, int]]:
                 if marks and not dropped:
                     marked.append((slots[-1], marks))
 
-    at, end = 0, len(source)
+    at, end, last = 0, len(source), source.rfind(">")
+    inner: list[list] = []  # open advert elements of running text: depth of the stack, elements of the same name inside
     while at < end:
+        if at > last:
+            held.append(html.unescape(source[at:]))
+            break
         m = _TOKEN.match(source, at)
         if m is None:  # a tag that never ends
             held.append(source[at])
@@ -119,14 +131,31 @@ def parse(source: str) -> tuple[list[Slot], dict[str, int]]:
         name = m[2].lower()
         if m[1]:
             if name in INLINE:
+                if inner and inner[-1][0] == len(stack) and stack[-1][0] == name:
+                    inner[-1][1] -= 1
+                    if not inner[-1][1]:
+                        flush()
+                        inner.pop()
+                        stack.pop()
                 continue
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
+            while inner and inner[-1][0] > len(stack):
+                inner.pop()
             continue
         if name in INLINE:
+            if name in VOID or m[3].endswith("/"):
+                continue
+            if inner and inner[-1][0] == len(stack) and stack[-1][0] == name:
+                inner[-1][1] += 1
+            elif m[3] and _marked(m[3], ADVERTS)[1]:
+                flush()
+                _, path, dropped, article, marks = stack[-1] if stack else ("", "", False, False, ())
+                stack.append((name, path, dropped, article, (*marks, Mark(article))))
+                inner.append([len(stack), 1])
             continue
         flush()
         if name in VOID or m[3].endswith("/"):
@@ -137,14 +166,17 @@ def parse(source: str) -> tuple[list[Slot], dict[str, int]]:
                 break
             if stack[k][0] not in ("p", "li", "td", "th", "dt", "dd", "option"):
                 break
+        while inner and inner[-1][0] > len(stack):
+            inner.pop()
         said, bad = _marked(m[3]) if m[3] else ("", False)
         _, path, dropped, article, marks = stack[-1] if stack else ("", "", False, False, ())
-        path = f"{path}/{name}{said}"
+        if len(stack) < DEEP:
+            path = f"{path}/{name}{said}"
         counts[path] = counts.get(path, 0) + 1
         # a header inside an article may hold its headline
         dropped = dropped or (name in DROPPED and not (name == "header" and article))
         # an article inside another, as of a comment, is no container
-        outer = name in ARTICLE and not any(x[0] == "article" for x in stack)
+        outer = name in ARTICLE and not (article and any(x[0] == "article" for x in stack))
         if outer or (name == "h1" and article):
             for k in marks:
                 k.container = True

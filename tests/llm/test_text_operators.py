@@ -186,6 +186,49 @@ def test_html_words_drop_no_container(spark):
     assert got == dict.fromkeys(range(len(pages)), "Head One two three four")
 
 
+def test_html_odd_pages(spark):
+    story = "<h1>Head</h1><p>One two <b>three</b> four"
+    pages = [
+        f'<article>{story} <span class="ad">BUY <span>NOW</span> it</span>five <i>six</i></p></article>',
+        f'<div class="page-wrap has-sidebar"><article>{story} <a class="advert" href="#">BUY</a>five six</p></article></div>',
+        f'<article class="banner-top">{story} five six</p><p><em class="promo">BUY</p></article>',
+        f'<main class="content related-layout">{story} five six</p></main>',
+    ]
+    deep = "<div>" * 4_000 + "<article>" + story + " five six</p></article>"
+    rows = [(i, f"http://h{i}.org/", p, "") for i, p in enumerate([*pages, deep, deep])]
+    rows += [(10, "http://open.org/", "word " + "<a " * 60_000, ""), (11, "http://open.org/", "<p>a</p>" + "<a '" * 30_001, "")]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert [got[i] for i in range(6)] == ["Head One two three four five six"] * 6
+    assert got[10].startswith("word <a") and got[11].startswith("a")
+
+
+def brute_template(pages):
+    """Texts that stand at the same place on at least 60 % of a host's different pages, and three; the rest of the articles."""
+    paths = [re.findall(r"<(p|div|h1)( class=\"[a-z]+\")?>([^<]*)</", p) for p in pages]
+    need = max(3, 0.6 * len(pages))
+    seen = collections.Counter(x for p in paths for x in set(p))
+    return [" ".join(t for x in p if seen[x] < need for t in x[2].split()) for p in paths]
+
+
+def test_html_template_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for h in range(6):
+        fixed = [f'<{rng.choice(["p", "div"])} class="c{"abcdef"[k]}">Fixed {h} {k}</' for k in range(3)]
+        pages = []
+        for i in range(rng.randrange(6, 14)):
+            parts = [f"<h1>Story {h} {i}</h1>", *(f"<p>Text {rng.random()}</p>" for _ in range(rng.randrange(1, 5)))]
+            for f in fixed:
+                if rng.random() < 0.85:
+                    parts.insert(rng.randrange(len(parts) + 1), f + f[1 : f.index(" ")] + ">")
+            pages.append("".join(parts))
+        for i, (p, t) in enumerate(zip(pages, brute_template(pages), strict=True)):
+            rows.append((100 * h + i, f"http://host{h}.org/{i}", f"<body><article>{p}</article></body>", ""))
+            want[100 * h + i] = t
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == want and any("Fixed" not in t for t in got.values())
+
+
 def brute_base(t):
     luhn = lambda s: sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
     patterns = [
