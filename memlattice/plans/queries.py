@@ -94,14 +94,14 @@ def postings_terms(spark, d):
 @register(
     "with tok as (select doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) as t from documents), st as (select count(*) as n, avg(len(t)) as a from tok), "
     "p as (select doc_id, unnest(t) as term, len(t) as l from tok), df as (select term, count(*) as df from p group by 1), "
-    "q as (select distinct item_id, unnest(list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9_]+'))) as term from benchmark), "
+    "q as (select distinct item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) as term from benchmark), "
     "s as (select item_id as query, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * l / a))) as score from p join q using (term) join df using (term), st group by 1, 2) "
     "select query, doc_id, round(score, 6) as score from (select *, row_number() over (partition by query order by round(score, 6) desc, doc_id) as rn from s) where rn <= 5"
 )
 def multi_query_top5(spark, d):
     """Many queries against the stored index at once: a join on the term, then a top-k a query."""
     docs = W.load(spark, d, "documents").select("doc_id", "text")
-    b = W.load(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.index_tokens(F.substring("text", 1, 60))).alias("term"))
+    b = W.load(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.index_tokens(F.col("text"))).alias("term"))
     s = V.score_postings(V.postings(docs, "doc_id", ["text"]), V.index_statistics(docs, ["text"]), b)
     s = s.select("query", F.col("id").alias("doc_id"), F.round("bm25_score", 6).alias("score"))
     return R.quota(s, ["query"], [F.desc("score"), F.col("doc_id")], 5)
@@ -220,15 +220,16 @@ def vector_index_rows(spark, d):
     return store.vector_index_rows(W.memories(spark, d))
 
 
-_DIFF_T = "select 'm' || doc_id as item_id, substr(text, 1, 40) as vector_text from documents where doc_id % 5 <> 1"
-_DIFF_I = "select 'm' || doc_id as item_id, case when doc_id % 7 = 2 then 'old' else substr(text, 1, 40) end as vector_text from documents where doc_id % 4 <> 3"
+_DIFF_T = "select case when doc_id % 5 = 1 then 'n' else 'm' end || doc_id as item_id, coalesce(text, 'none') as vector_text from documents"
+_DIFF_I = "select case when doc_id % 4 = 3 then 'o' else 'm' end || doc_id as item_id, case when doc_id % 7 = 2 then 'old' else coalesce(text, 'none') end as vector_text from documents"
 
 
-@register(f"with t as ({_DIFF_T}), i as ({_DIFF_I}) select coalesce(t.item_id, i.item_id) as item_id, case when i.item_id is null then 'missing' when t.item_id is null then 'orphan' else 'changed' end as change from t full join i on t.item_id = i.item_id where t.item_id is null or i.item_id is null or t.vector_text <> i.vector_text")
+@register(f"with t as ({_DIFF_T}), i as ({_DIFF_I}) select coalesce(t.item_id, i.item_id) as item_id, case when i.item_id is null then 'missing' when t.item_id is null then 'orphan' else 'changed' end as change from t full join i on t.item_id = i.item_id where (t.item_id is null or i.item_id is null or t.vector_text <> i.vector_text) and coalesce(t.vector_text, 'x') <> ''")
 def vector_sync_diff(spark, d):
-    doc = W.load(spark, d, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id")).alias("item_id"), F.substring("text", 1, 40).alias("vector_text"))
-    index = doc.filter("doc_id % 4 <> 3").withColumn("vector_text", F.when(F.expr("doc_id % 7 = 2"), "old").otherwise(F.col("vector_text")))
-    return V.vector_diff(doc.filter("doc_id % 5 <> 1"), index)
+    doc = W.load(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("none")))
+    truth = doc.select(F.expr("case when doc_id % 5 = 1 then 'n' else 'm' end || doc_id").alias("item_id"), F.col("t").alias("vector_text"))
+    index = doc.select(F.expr("case when doc_id % 4 = 3 then 'o' else 'm' end || doc_id").alias("item_id"), F.when(F.expr("doc_id % 7 = 2"), "old").otherwise(F.col("t")).alias("vector_text"))
+    return V.vector_diff(truth, index)
 
 
 # ---------------------------------------------------------------- lifecycle
@@ -239,11 +240,10 @@ _REC = ", ".join(REC)
 
 def _ids(spark, d, event: str):
     e = W.load(spark, d, "events").filter(F.col("event_type") == event)
-    e = e.filter("event_id % 9 = 0") if event == "purchase" else e
-    return e.select(F.concat(F.lit("m"), F.col("user_id") % 1000).alias("id")).distinct()
+    return e.select(F.concat(F.lit("m"), F.floor(F.col("value") / 2) if event == "purchase" else F.col("user_id") % 1000).alias("id")).distinct()
 
 
-_USEFUL = "useful as (select distinct 'm' || (user_id % 1000) as id from events where event_type = 'purchase' and event_id % 9 = 0)"
+_USEFUL = "useful as (select distinct 'm' || floor(value / 2)::bigint as id from events where event_type = 'purchase')"
 _RECALLED = "recalled as (select distinct 'm' || (user_id % 1000) as id from events where event_type = 'click')"
 
 
@@ -704,11 +704,11 @@ def ids_to_names(spark, d):
     return store.ids_to_names(dim, spark.createDataFrame([(0, 5), (1, 3), (2, 999), (3, 1)], "pos int, id long"))
 
 
-_REG = "reg as (select 's' || page_id as source_id, page_id as note_short_id, 'p' || page_id || '.md' as source_file_path from pages where page_id % 2 = 0)"
+_REG = "reg as (select 's' || page_id as source_id, page_id as note_short_id, 'p' || page_id || '.md' as source_file_path from pages)"
 
 
 @register(
-    f"with {_REG}, new as (select 's' || page_id as source_id, case when page_id % 3 = 0 then 'moved' || page_id || '.md' else 'p' || page_id || '.md' end as p from pages where page_id % 5 = 0), "
+    f"with {_REG}, new as (select case when page_id % 2 = 1 then 'n' else 's' end || page_id as source_id, case when page_id % 3 = 0 then 'moved' || page_id || '.md' else 'p' || page_id || '.md' end as p from pages), "
     "k as (select new.*, coalesce(a.note_short_id, b.note_short_id) as sid from new left join reg a using (source_id) left join reg b on b.source_file_path = new.p), "
     "f as (select source_id, p, coalesce(sid, (select max(note_short_id) from reg) + row_number() over (partition by sid is null order by p)) as sid from k) "
     "select source_id, sid as note_short_id, p as source_file_path from f union all select * from reg where source_id not in (select source_id from f) and source_file_path not in (select p from f) and note_short_id not in (select sid from f)"
@@ -717,9 +717,9 @@ def register_notes(spark, d):
     p = W.load(spark, d, "pages").select("page_id")
     name = F.concat(F.lit("p"), "page_id", F.lit(".md"))
     extra = [F.lit("h").alias("heading"), F.lit(1).alias("total_lines"), F.lit(0.0).alias("updated_at")]
-    reg = p.filter("page_id % 2 = 0").select(F.concat(F.lit("s"), "page_id").alias("source_id"), F.col("page_id").alias("note_short_id"), name.alias("source_file_path"), *extra)
+    reg = p.select(F.concat(F.lit("s"), "page_id").alias("source_id"), F.col("page_id").alias("note_short_id"), name.alias("source_file_path"), *extra)
     moved = F.when(F.expr("page_id % 3 = 0"), F.concat(F.lit("moved"), "page_id", F.lit(".md"))).otherwise(name)
-    new = p.filter("page_id % 5 = 0").select(F.concat(F.lit("s"), "page_id").alias("source_id"), moved.alias("source_file_path"), *extra)
+    new = p.select(F.expr("case when page_id % 2 = 1 then 'n' else 's' end || page_id").alias("source_id"), moved.alias("source_file_path"), *extra)
     return store.register_notes(reg, new).select("source_id", "note_short_id", "source_file_path")
 
 
@@ -731,21 +731,35 @@ def short_id_enrichment(spark, d):
     return store.with_short_ids(n, reg).select("file_id", "note_short_id")
 
 
-@register("select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(coalesce(case when doc_id % 3 = 0 then 'changed text now' else text end, '')), '[a-z0-9_]+'))) as term from documents where doc_id % 7 <> 2) group by 1 having count(*) >= 10")
+@register("select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '') || ' changed ' || coalesce(source, '')), '[a-z0-9_]+'))) as term from documents) group by 1 having count(*) >= 10")
 def index_update(spark, d):
-    docs = W.load(spark, d, "documents").select("doc_id", "text")
-    index = V.postings(docs, "doc_id", ["text"])
-    changed = docs.filter("doc_id % 3 = 0 and doc_id % 7 <> 2").withColumn("text", F.lit("changed text now"))
-    new = V.update_postings(index, changed, docs.filter("doc_id % 7 = 2"), "doc_id", ["text"])
+    """Every document changes, and a copy of every document is deleted."""
+    docs = W.load(spark, d, "documents").select("doc_id", "text", "source")
+    copies = docs.withColumn("doc_id", -1 - F.col("doc_id"))
+    index = V.postings(docs.union(copies), "doc_id", ["text"])
+    changed = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" changed "), F.coalesce("source", F.lit(""))))
+    new = V.update_postings(index, changed, copies, "doc_id", ["text"])
     return new.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 10")
 
 
-@register("with s as (select doc_id, row_number() over (partition by substr(text, 1, 12) order by doc_id) as rn from documents where doc_id % 5 = 1), i as (select doc_id from documents where doc_id % 2 = 0) select 'm' || doc_id as item_id from documents where doc_id % 2 = 0 union select 'm' || doc_id from documents where doc_id % 5 = 1")
+def _letters(t):
+    """An embedder that SQL can state: the length and the numbers of two letters."""
+    return F.array(F.char_length(t), *[F.char_length(t) - F.char_length(F.replace(t, F.lit(c), F.lit(""))) for c in "ea"]).cast("array<float>")
+
+
+_LETTERS = "[length({t})::float, (length({t}) - length(replace({t}, 'e', '')))::float, (length({t}) - length(replace({t}, 'a', '')))::float]"
+
+
+@register(
+    "with d as (select doc_id, coalesce(text, '') as t, case when doc_id % 2 = 0 then 'm' else 'z' end || doc_id as new_id from documents), u as (select 'm' || doc_id as id, t || ' old' as t from d where 'm' || doc_id not in (select new_id from d) union all select new_id, t from d) "
+    f"select id as item_id, t as vector_text, {_LETTERS.format(t='t')} as embedding from u"
+)
 def vector_upsert(spark, d):
-    doc = W.load(spark, d, "documents").select(F.concat(F.lit("m"), "doc_id").alias("item_id"), F.substring("text", 1, 12).alias("vector_text"), "doc_id")
-    embed = V.hashing_embedder(8)
-    index = doc.filter("doc_id % 2 = 0").select("item_id", "vector_text", embed(F.col("vector_text")).alias("embedding"))
-    return V.vector_upsert(index, doc.filter("doc_id % 5 = 1").withColumn("pos", F.col("doc_id")), embed).filter("size(embedding) = 8").select("item_id")
+    """An index of all documents takes in all documents again, some under their id, each twice; the first row of an id wins."""
+    doc = W.load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    index = doc.select(F.concat(F.lit("m"), "doc_id").alias("item_id"), F.concat("t", F.lit(" old")).alias("vector_text")).withColumn("embedding", _letters(F.col("vector_text")))
+    rows = doc.select(F.expr("case when doc_id % 2 = 0 then 'm' else 'z' end || doc_id").alias("item_id"), F.col("t").alias("vector_text"), F.lit(0).alias("pos"))
+    return V.vector_upsert(index, rows.union(rows.withColumn("vector_text", F.lit("late")).withColumn("pos", F.lit(1))), _letters)
 
 
 @register("select vec_id, label from embeddings order by label, vec_id limit 30 offset 60")
@@ -753,9 +767,9 @@ def vector_page(spark, d):
     return R.page(W.load(spark, d, "embeddings").select("vec_id", "label"), [F.col("label"), F.col("vec_id")], 3, 30)
 
 
-@register("select vec_id, round(1.0 - (row_number() over (order by s desc, vec_id) - 1) / (count(*) over () - 1), 6) as share from (select vec_id, (vec_id * 7919) % 101 as s from embeddings where vec_id < 200)")
+@register("select vec_id, round(1.0 - (row_number() over (order by s desc, vec_id) - 1) / (count(*) over () - 1), 6) as share from (select vec_id, (vec_id * 7919) % 101 as s from embeddings)")
 def rank_normalize(spark, d):
-    e = W.load(spark, d, "embeddings").filter("vec_id < 200").select("vec_id", ((F.col("vec_id") * 7919) % 101).alias("s"))
+    e = W.load(spark, d, "embeddings").select("vec_id", ((F.col("vec_id") * 7919) % 101).alias("s"))
     return e.select("vec_id", F.round(V.rank_normalize(e, [F.desc("s"), F.col("vec_id")]), 6).alias("share"))
 
 
@@ -808,9 +822,9 @@ def resonance_codes(spark, d):
     return a.select("k", scoring.resonance_code(dict.fromkeys(scoring.SOUL, F.col("a")), cur).alias("code"))
 
 
-@register("with r as (select vec_id as rank, 'f' || label as source_file_path, 'v' || vec_id as id from embeddings where vec_id < 120) select source_file_path, row_number() over (order by min(rank)) as place, string_agg(id, ',' order by rank) as chunk_ids from r group by 1")
+@register("with r as (select vec_id as rank, 'f' || label as source_file_path, 'v' || vec_id as id from embeddings) select source_file_path, row_number() over (order by min(rank)) as place, string_agg(id, ',' order by rank) as chunk_ids from r group by 1")
 def group_by_file(spark, d):
-    e = W.load(spark, d, "embeddings").filter("vec_id < 120")
+    e = W.load(spark, d, "embeddings")
     return N.by_file(e.select(F.col("vec_id").alias("rank"), F.concat(F.lit("f"), "label").alias("source_file_path"), F.concat(F.lit("v"), "vec_id").alias("id")))
 
 
@@ -819,7 +833,14 @@ def wasted_recalls(spark, d):
     return _ids(spark, d, "click").join(_ids(spark, d, "purchase"), "id", "left_anti")
 
 
-@register()
+@register(
+    f"{sql('mem')}, act as (select event_id, case event_id % 3 when 0 then 'merge' when 1 then 'updata' else 'create' end as action from events), "
+    "named as (select event_id, 0 as pos, 'm' || event_id as id from act where action <> 'create' union all select event_id, 1, 'm' || (event_id + 1) from act where action = 'merge'), "
+    "own as (select * from (select *, row_number() over (partition by id order by event_id, pos) as rn from named) where rn = 1), used as (select own.event_id, mem.* from own join mem using (id)), "
+    "sums as (select event_id, sum(strength)::int as s, max(useful_score) as us from used group by 1) "
+    "select 'merged ' || act.event_id as judgment, coalesce(s, 10)::int as strength, coalesce(us, 0.0) as useful_score from act left join sums using (event_id) where action = 'create' or s is not null "
+    "union all select judgment, strength, useful_score from mem where id not in (select id from used)"
+)
 def memory_actions(spark, d):
     """Merges and updates over whole tables: each event is an action on two memories."""
     m = W.memories(spark, d).drop("tags").withColumn("memory_scope", F.lit("public"))

@@ -16,8 +16,8 @@ _TYPE = "case doc_id % 5 when 0 then '知识记忆' when 1 then '事件记忆' w
 MEM = {
     "id": "'m' || cast(doc_id as string)",
     "memory_type": _TYPE,
-    "judgment": "substr(coalesce(text, ''), 1, 120)",
-    "reasoning": "substr(coalesce(text, ''), 121, 200)",
+    "judgment": "coalesce(text, '')",
+    "reasoning": "'noted in ' || coalesce(source, 'none') || ' as ' || coalesce(lang, 'xx')",
     "strength": "cast(doc_id % 12 as int)",
     "is_active": "doc_id % 7 = 0",
     "useful_count": "cast(coalesce(quality, 0) as int)",
@@ -54,8 +54,8 @@ NOTE = {
     "source_file_path": "coalesce(source, 'none') || '/' || cast(doc_id as string) || '.md'",
     "content": "coalesce(text, '')",
 }
-INDEX = {"relative_path": "'p' || cast(page_id as string) || '.md'", "file_timestamp": "cast(1000 + page_id as bigint)"}
-DISK = {"relative_path": "'p' || cast(page_id as string) || '.md'", "file_timestamp": "cast(1000 + page_id + case when page_id % 5 = 0 then 50 when page_id % 5 = 1 then -5 else 0 end as bigint)"}
+INDEX = {"relative_path": "case when page_id % 6 = 1 then 'gone' else 'p' end || cast(page_id as string) || '.md'", "file_timestamp": "cast(1000 + page_id as bigint)"}
+DISK = {"relative_path": "case when page_id % 7 = 3 then 'live' else 'p' end || cast(page_id as string) || '.md'", "file_timestamp": "cast(1000 + page_id + case when page_id % 5 = 0 then 50 when page_id % 5 = 1 then -5 else 0 end as bigint)"}
 
 
 def _spark(df: DataFrame, cols: dict[str, str]) -> DataFrame:
@@ -84,11 +84,11 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_index(spark: SparkSession, d: str) -> DataFrame:
-    return _spark(load(spark, d, "pages").filter("page_id % 6 <> 1"), INDEX)
+    return _spark(load(spark, d, "pages"), INDEX)
 
 
 def disk_files(spark: SparkSession, d: str) -> DataFrame:
-    return _spark(load(spark, d, "pages").filter("page_id % 7 <> 3"), DISK)
+    return _spark(load(spark, d, "pages"), DISK)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +100,8 @@ SQL = {
     "prof": _duck("prof", PROFILE, "orders"),
     "chat": _duck("chat", CHAT, "conversations"),
     "note": _duck("note", NOTE, "documents"),
-    "idx": _duck("idx", INDEX, "(select * from pages where page_id % 6 <> 1)"),
-    "disk": _duck("disk", DISK, "(select * from pages where page_id % 7 <> 3)"),
+    "idx": _duck("idx", INDEX, "pages"),
+    "disk": _duck("disk", DISK, "pages"),
     "dim": "dim as (select row_number() over (order by name) as id, name from (select distinct unnest(tags) as name from mem))",
     "rel": "rel as (select distinct m.id as memory_id, dim.id as tag_id from (select id, unnest(tags) as name from mem) m join dim using (name))",
 }
