@@ -92,11 +92,20 @@ def within_budget(text: str | None, most: float, from_end: bool = False) -> str:
 
 
 def truncate_tokens(text: Column, most: float, from_end: bool = False) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([within_budget(t, most, from_end) for t in s])
-
-    return run(text)
+    """``within_budget`` of a column, in whole units of 0.3: a character costs one or two, so no more than the first (or last) units matter."""
+    if most < 0:
+        raise ValueError("a budget cannot be negative")
+    units = int(most / 0.3 + 1e-9)
+    if not units:
+        return F.lit("")
+    t = F.coalesce(text, F.lit(""))
+    part = F.reverse(F.right(t, F.lit(units))) if from_end else F.substring(t, 1, units)
+    places = F.when(F.char_length(part) > 0, F.sequence(F.lit(1), F.char_length(part))).otherwise(F.array().cast("array<int>"))
+    costs = F.transform(places, lambda i: F.when(F.ascii(F.substring(part, i, F.lit(1))) < 128, 1).otherwise(2))
+    step = lambda acc, c: F.struct((acc["used"] + c).alias("used"), (acc["n"] + (acc["used"] + c <= units).cast("int")).alias("n"))
+    mixed = F.aggregate(costs, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+    n = F.when(part.rlike(r"[^\x00-\x7F]"), mixed).otherwise(F.char_length(part))
+    return F.right(t, n) if from_end else F.substring(t, F.lit(1), n)
 
 
 def process_query(text: Column, rag: Column, names: list[str], most: float = 500) -> Column:

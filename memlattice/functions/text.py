@@ -51,9 +51,9 @@ def contains_any_part(content: Column, query: Column) -> Column:
     return F.exists(query_parts(F.lower(query)), lambda t: F.contains(F.lower(content), t))
 
 
-def hit_limit(length: Column, base: int) -> Column:
+def hit_limit(length: Column, base: Column) -> Column:
     """Candidates to fetch for a query of so many characters: short CJK queries match much."""
-    return F.when(length <= 1, F.greatest(F.lit(base), F.lit(800))).when(length <= 3, F.greatest(F.lit(base), F.lit(240))).otherwise(F.lit(base))
+    return F.when(length <= 1, F.greatest(base, F.lit(800))).when(length <= 3, F.greatest(base, F.lit(240))).otherwise(base)
 
 
 def like_pattern(keyword: str) -> str:

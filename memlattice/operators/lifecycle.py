@@ -154,7 +154,3 @@ def upsert_by_judgment(records: DataFrame, incoming: DataFrame) -> DataFrame:
 def newest_of_judgment(records: DataFrame) -> DataFrame:
     """Of rows with one judgment the newest."""
     return first_wins(records, ["judgment"], [F.desc("created_at"), F.desc("updated_at"), F.col("id")])
-
-
-def by_age(records: DataFrame) -> Window:
-    return Window.orderBy("created_at", "id")

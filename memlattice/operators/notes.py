@@ -101,6 +101,11 @@ def replace_file_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     return chunks.join(new.select("file_id").distinct(), "file_id", "left_anti").select(*new.columns).unionByName(new)
 
 
+def delete_files(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The file index without some paths."""
+    return index.join(gone.select("relative_path").distinct(), "relative_path", "left_anti")
+
+
 def bump_timestamps(index: DataFrame, seen: DataFrame) -> DataFrame:
     """The file index with later timestamps taken over."""
     s = seen.groupBy("relative_path").agg(F.max("file_timestamp").alias("__t"))

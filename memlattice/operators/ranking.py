@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def top_of_each(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each key, null being a key like others: one pass over the rows."""
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__rn", rn).filter(F.col("__rn") <= most).drop("__rn")
+
+
 def quota(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each key; a null key is not limited.  Ranks below the limit are cut before the shuffle."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

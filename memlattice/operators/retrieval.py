@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import scoring, text
-from memlattice.operators.ranking import first_wins, quota
+from memlattice.operators.ranking import first_wins, quota, top_of_each
 from memlattice.schemas import PUBLIC
 
 _CJK = re.compile("[一-鿿]+|[a-z0-9_]+")
@@ -45,30 +45,40 @@ def scope_filter(scope: str, column: str = "memory_scope") -> Column:
     return F.col(column).isin(*sorted({scope.strip(), PUBLIC}))
 
 
+def _score_columns(docs: DataFrame, id_col: str, fields: list[str], queries: list[str], keep: list[str]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """The documents that hold a term of one of the queries (id, kept columns, what scoring needs), and for each query its score and
+    whether all its required terms are there.  The text is tokenised once for all queries."""
+    asked = [query_terms(q) for q in queries]
+    terms = list(dict.fromkeys(t for required, optional in asked for t in optional + required))
+    wanted, n = F.array(*[F.lit(t) for t in terms]).cast("array<string>"), range(len(fields))
+    rows = docs.select(F.col(id_col).alias("id"), *keep, *[text.index_tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
+    rows = rows.select("id", *keep, *[F.array_intersect(f"t{i}", wanted).alias(f"h{i}") for i in n], *[F.size(f"t{i}").alias(f"l{i}") for i in n])
+    number = {(i, t): k for k, (i, t) in enumerate((i, t) for i in n for t in terms)}
+    counts = [F.count_if(F.array_contains(f"h{i}", t)).alias(f"n{k}") for (i, t), k in number.items()]
+    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"l{i}").alias(f"avg{i}") for i in n], *counts)
+    joined = rows.filter(F.size(F.concat(*[F.col(f"h{i}") for i in n])) > 0).crossJoin(F.broadcast(stats))  # one row
+    have = F.array_distinct(F.concat(*[F.col(f"h{i}") for i in n]))
+    out = []
+    for required, optional in asked:
+        term = lambda i, t: scoring.bm25_term(F.col("n"), F.col(f"n{number[i, t]}"), F.col(f"l{i}"), F.col(f"avg{i}"))
+        score = sum((F.when(F.array_contains(f"h{i}", t), term(i, t)).otherwise(0.0) for i in n for t in optional), F.lit(0.0))
+        out.append((score, F.size(F.array_except(F.array(*[F.lit(t) for t in required]).cast("array<string>"), have)) == 0))
+    return joined, out
+
+
 def score_documents(docs: DataFrame, id_col: str, fields: list[str], query: str) -> DataFrame:
     """(id, bm25_score, strict) of the documents that hold a term of the query."""
-    required, terms = query_terms(query)
-    if not terms:
-        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("bm25_score"), F.lit(False).alias("strict")).filter(F.lit(False))
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms + required)])
-    rows = docs.select(F.col(id_col).alias("id"), *[text.index_tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
-    rows = rows.select("id", *[F.array_intersect(f"t{i}", wanted).alias(f"h{i}") for i in range(len(fields))], *[F.size(f"t{i}").alias(f"l{i}") for i in range(len(fields))])
-    pairs = [(i, t) for i in range(len(fields)) for t in terms]
-    counts = [F.count_if(F.array_contains(f"h{i}", t)).alias(f"n{k}") for k, (i, t) in enumerate(pairs)]
-    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"l{i}").alias(f"avg{i}") for i in range(len(fields))], *counts)
-    joined = rows.filter(F.size(F.concat(*[F.col(f"h{i}") for i in range(len(fields))])) > 0).crossJoin(F.broadcast(stats))  # one row
-    score = sum(
-        (
-            F.when(F.array_contains(f"h{i}", t), scoring.bm25_term(F.col("n"), F.col(f"n{k}"), F.col(f"l{i}"), F.col(f"avg{i}"))).otherwise(0.0)
-            for k, (i, t) in enumerate(pairs)
-        ),
-        F.lit(0.0),
-    )
-    have = F.array_union("h0", "h0") if len(fields) == 1 else F.array_distinct(F.concat(*[F.col(f"h{i}") for i in range(len(fields))]))
-    strict = F.size(F.array_except(F.array(*[F.lit(t) for t in required]), have)) == 0
+    joined, [(score, strict)] = _score_columns(docs, id_col, fields, [query], [])
     return joined.select("id", score.alias("bm25_score"), strict.alias("strict")).filter("bm25_score > 0")
 
 
+def score_many(docs: DataFrame, id_col: str, fields: list[str], queries: list[str], keep: list[str]) -> DataFrame:
+    """(id, kept columns, query, bm25_score, strict) of a few queries, in one pass over the text."""
+    joined, each = _score_columns(docs, id_col, fields, queries, keep)
+    found = F.array(*[F.struct(F.lit(q).alias("query"), score.alias("bm25_score"), strict.alias("strict")) for q, (score, strict) in zip(queries, each, strict=True)])
+    return joined.select("id", *keep, F.explode(found).alias("x")).select("id", *keep, "x.*").filter("bm25_score > 0")
+
+
 def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """The inverted index: (field, term, id, length)."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text.index_tokens(F.col(f)).alias("tokens")) for f in fields]))
@@ -84,9 +94,10 @@ def index_statistics(docs: DataFrame, fields: list[str]) -> DataFrame:
 
 def score_postings(index: DataFrame, statistics: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id, bm25_score) for a table of queries (query, term): the postings meet the terms in a join."""
-    freq = index.groupBy("field", "term").agg(F.count("*").alias("df"))
     asked = queries.select("query", "term").distinct()
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi").join(freq, ["field", "term"]).join(F.broadcast(statistics), "field")
+    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
+    freq = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
+    hit = hit.join(freq, ["field", "term"]).join(F.broadcast(statistics), "field")
     each = hit.withColumn("s", scoring.bm25_term(F.col("n"), F.col("df"), F.col("length"), F.col("average")))
     return each.join(asked, "term").groupBy("query", "id").agg(F.sum("s").alias("bm25_score"))
 
@@ -177,6 +188,19 @@ def rerank(candidates: DataFrame, query: str, scorer: Scorer, text_col: str = "t
     return rows.withColumn("final_score", F.when(high > 0, F.col("rerank_score") / high).otherwise(F.col("share"))).drop("share").withColumn("score_kind", F.lit("rerank"))
 
 
+def rerank_once(candidates: DataFrame, query: str, scorer: Scorer) -> DataFrame | None:
+    """(id, final_score, score_kind) of a short list of candidates, or nothing if the scorer fails.  The scores are fetched here, so the scorer
+    is asked once and cannot fail later."""
+    ranked = rerank(candidates, query, scorer).select("id", "final_score", "score_kind")
+    try:
+        rows = ranked.collect()
+    except Exception as e:  # the scorer is the caller's
+        if "PythonException" not in type(e).__name__ and not isinstance(e, ValueError):
+            raise
+        return None
+    return candidates.sparkSession.createDataFrame(rows, ranked.schema)
+
+
 def normalize_rerank_response(payload) -> list[tuple[int, float]]:
     """(index, score) pairs of a reranker's answer: a list, or an object that has it under results, data, data.results or items."""
     if isinstance(payload, dict):
@@ -210,14 +234,8 @@ def search_with_strategy(
         ids = vectors.select("id", F.lit(0).alias("src"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")).union(ids)
     ids = first_wins(ids, ["id"], [F.col("src"), F.col("rank")])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col or fields[-1]).alias("text"))
-    try:
-        ranked = rerank(ids.join(texts, "id", "left"), query, scorer).orderBy(F.desc("final_score"), "id")
-        ranked.limit(1).collect()
-        return ranked.select(*cols)
-    except Exception as e:  # the scorer is the caller's
-        if "PythonException" not in type(e).__name__ and not isinstance(e, ValueError):
-            raise
-        return plain.select(*cols)
+    ranked = rerank_once(ids.join(texts, "id", "left"), query, scorer)
+    return plain.select(*cols) if ranked is None else ranked.orderBy(F.desc("final_score"), "id").select(*cols)
 
 
 def recall(memories: DataFrame, query: str, limit: int, scope: str, vectors: DataFrame | None = None, scorer: Scorer | None = None, scope_mode: str = "pre") -> DataFrame:
@@ -294,30 +312,81 @@ def ordered_lookup(memories: DataFrame, ids: list[str], scope: str) -> DataFrame
     return memories.filter(scope_filter(scope)).join(F.broadcast(asked), "id").orderBy("pos").drop("pos")
 
 
-def note_search(chunks: DataFrame, query: str, limit: int, per_file: int = 2, base: int = 50) -> DataFrame:
-    """Chunks for a query of one or more terms: each term is searched, chunks with more terms first, ``per_file`` a file."""
+#: Files that a note search looks for at least, and the most chunks of a stage that it goes through.
+LEAST_FILES, MOST_HITS = 50, 20_000
+
+
+def fetch_ceiling(term: str, n: int) -> int:
+    """Chunks of a stage that are gone through for n results: more for a short CJK term, which many chunks hold."""
+    compact = re.sub(r"\s+", "", term)
+    base, cjk = max(50, 8 * n), re.search("[一-鿿]", compact)
+    hits = max(base, 800) if cjk and len(compact) <= 1 else max(base, 240) if cjk and len(compact) <= 3 else base
+    return min(MOST_HITS, 8 * hits)
+
+
+def term_hits(rows: DataFrame, terms: list[str], n: int, per_file: int) -> DataFrame:
+    """(query, id, file_id, score) for each term by itself, in one pass: strict hits, then others, ``per_file`` of a file over both, up to the chunk
+    that makes it enough files, ``n`` chunks at most."""
+    scored = score_many(rows, "id", ["content", "source_file_path"], terms, ["file_id"])
+    scored = scored.select("query", "id", "file_id", F.when(F.col("strict"), 0).otherwise(1).alias("stage"), F.col("bm25_score").alias("score"))
+    ceilings = {t: fetch_ceiling(t, n) for t in terms}
+    best = F.row_number().over(Window.partitionBy("query", "stage").orderBy(F.desc("score"), "id"))
+    own = F.create_map(*[F.lit(x) for kv in ceilings.items() for x in kv])[F.col("query")]
+    cut = scored.withColumn("rn", best).filter(F.col("rn") <= max(ceilings.values())).filter(F.col("rn") <= own).drop("rn")
+    # from here on at most 2 * MOST_HITS rows a term
+    order = [F.col("stage"), F.desc("score"), F.col("id")]
+    ranked = cut.withColumn("rn", F.row_number().over(Window.partitionBy("query", "file_id").orderBy(*order))).filter(F.col("rn") <= per_file)
+    of_query = Window.partitionBy("query").orderBy(*order)
+    files = F.sum((F.col("rn") == 1).cast("int")).over(of_query.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ranked.withColumn("files", F.coalesce(files, F.lit(0))).withColumn("place", F.row_number().over(of_query))
+    return ranked.filter((F.col("files") < max(n, LEAST_FILES)) & (F.col("place") <= n)).select("query", "id", "file_id", "score")
+
+
+def note_search(chunks: DataFrame, query: str, limit: int, per_file: int = 2, base: int = 50, scorer: Scorer | None = None) -> DataFrame:
+    """Chunks for a query of one or more terms: each term is searched, chunks with more terms first, then higher scores, ``per_file`` a file.
+
+    A scorer reranks what was found; if it fails the order stays.
+    """
     rows = chunks.withColumn("id", F.concat_ws("#", "file_id", "chunk_index"))
-    parts = [p for p in re.split(r"\s*\|\s*|\s+", query.strip()) if p]
+    parts = list(dict.fromkeys(p for p in re.split(r"\s*\|\s*|\s+", query.strip()) if p and query_terms(p)[1]))
     if not parts:
         return rows.withColumn("matched", F.lit(0)).withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    hits = None
-    for p in dict.fromkeys(parts):
-        n = max(3 * limit, base)
-        h = staged_search(rows, "id", ["content", "source_file_path"], p, n).select("id", F.lit(p).alias("term"), F.col("bm25_score").alias("score"), "stage")
-        hits = h if hits is None else hits.union(h)
-    best = hits.groupBy("id").agg(F.count_distinct("term").alias("matched"), F.max("score").alias("score"), F.min("stage").alias("stage"))
+    hits = term_hits(rows, parts, limit if len(parts) == 1 else max(3 * limit, base), per_file)
+    best = hits.groupBy("id").agg(F.count_distinct("query").alias("matched"), F.max("score").alias("score"))
     found = rows.join(F.broadcast(best), "id")
-    order = [F.desc("matched"), F.col("stage"), F.desc("score"), F.col("id")]
-    return quota(found, ["file_id"], order, per_file).orderBy(*order).limit(limit)
+    order = [F.desc("matched"), F.desc("score"), F.col("id")]
+    found = top_of_each(found, ["file_id"], order, per_file)
+    if scorer is not None:
+        ranked = rerank_once(found.select("id", F.col("content").alias("text")), query, scorer)
+        if ranked is not None:
+            scored = found.drop("score").join(F.broadcast(ranked.select("id", F.col("final_score").alias("score"))), "id")
+            return scored.orderBy(F.desc("score"), "id").limit(limit)
+    return found.orderBy(*order).limit(limit)
 
 
 def notes_until_files(ranked: DataFrame, files: int, per_file: int) -> DataFrame:
-    """Of ranked chunks (file_id, rank) up to ``per_file`` a file, ending with the chunk that makes it ``files`` files."""
+    """Of ranked chunks (file_id, rank) up to ``per_file`` a file, ending with the chunk that makes it ``files`` files.
+
+    Only the first ranks of the files are put in order, of which ``files`` are kept.
+    """
     capped = quota(ranked, ["file_id"], [F.col("rank")], per_file)
-    first = F.row_number().over(Window.partitionBy("file_id").orderBy("rank")) == 1
-    capped = capped.withColumn("new", first.cast("int"))
-    so_far = F.sum("new").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    return capped.withColumn("so_far", F.coalesce(so_far, F.lit(0))).filter(F.col("so_far") < files).drop("new", "so_far")
+    firsts = ranked.groupBy("file_id").agg(F.min("rank").alias("rank")).orderBy("rank").limit(files)
+    last = firsts.agg(F.max("rank").alias("last"), F.count("*").alias("files"))
+    return capped.crossJoin(F.broadcast(last)).filter((F.col("files") < files) | (F.col("rank") <= F.col("last"))).drop("last", "files")
+
+
+def active_recall(memories: DataFrame, query: str, scope: str, now: float, limit: int = 50, **options) -> DataFrame:
+    """What the recall tool shows: active memories of a comprehensive recall, grouped by type in order of first appearance."""
+    found = comprehensive_recall(memories, query, limit, scope, now, **options).filter("is_active")
+    found = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), F.desc("final_score"), "id")))  # limit rows
+    return found.withColumn("place", F.min("rank").over(Window.partitionBy("memory_type"))).orderBy("place", "rank")
+
+
+def vector_documents(vectors: DataFrame, docs: DataFrame, id_col: str, vec_col: str, query_vector: list[float], k: int, threshold: float = -1.0, offset: int = 0) -> DataFrame:
+    """The nearest vectors with their documents (id), distance (1 - score) and a number as vector_id, counted from ``offset``."""
+    top = vector_top_k(vectors, id_col, vec_col, query_vector, k, threshold)
+    top = top.withColumn("distance", 1.0 - F.col("score")).withColumn("vector_id", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1 + offset)  # k rows
+    return docs.join(F.broadcast(top), "id")
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
@@ -362,6 +431,13 @@ def vector_upsert(index: DataFrame, rows: DataFrame, embed: Callable[[Column], C
     return index.join(new.select("item_id"), "item_id", "left_anti").select("item_id", "vector_text", "embedding").unionByName(new.select("item_id", "vector_text", "embedding"))
 
 
+def follow_records(index: DataFrame, records: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """The index (item_id, vector_text, embedding) after the memories changed, as by feedback: rows of memories that are gone go, new and
+    changed texts are embedded, all others stay as they are."""
+    rows = records.select(F.col("id").alias("item_id"), F.col("vector_text")).filter("vector_text != ''")
+    return vector_sync(rows, index.join(rows.select("item_id"), "item_id", "left_semi"), embed)
+
+
 def vector_sync(truth: DataFrame, index: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """The index after missing and changed rows are embedded and orphans gone."""
     diff = vector_diff(truth, index)

@@ -93,6 +93,29 @@ def with_tags(records: DataFrame, dimension: DataFrame, bridge: DataFrame) -> Da
     return records.join(tags_of(dimension, bridge), "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
+def newest_first(tagged: DataFrame) -> DataFrame:
+    """All memories for a back-fill of vectors, newest first."""
+    return tagged.orderBy(F.desc("created_at"), "id")
+
+
+def memory_ids(records: DataFrame) -> DataFrame:
+    """All ids, oldest first."""
+    return records.select("id", "created_at").orderBy("created_at", "id").select("id")
+
+
+def note_by_short_id(registry: DataFrame, short_id: int) -> DataFrame:
+    """The note with that number, if there is one."""
+    return registry.filter(F.col("note_short_id") == short_id).limit(1)
+
+
+def allocate_file_ids(index: DataFrame, paths: DataFrame) -> DataFrame:
+    """The file index (id, relative_path) with ids for paths that have none yet: after the highest, in path order."""
+    wanted = paths.select("relative_path").distinct().join(index.select("relative_path"), "relative_path", "left_anti")
+    top = index.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    fresh = number(wanted, [F.col("relative_path")], "n", 1).crossJoin(F.broadcast(top))  # one row
+    return index.select("id", "relative_path").unionByName(fresh.select((F.col("top") + F.col("n")).alias("id"), "relative_path"))
+
+
 def memories_by_ids(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.select("id").distinct(), "id", "left_semi")
 

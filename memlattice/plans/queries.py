@@ -198,9 +198,78 @@ def _chunks(spark, d):
     return N.chunk_notes(W.notes(spark, d))
 
 
-@register()
+def _stored_chunks(spark, d):
+    """Documents as the chunks of a few files."""
+    return W.load(spark, d, "documents").select(
+        F.expr("coalesce(source, 'none') || '/' || (doc_id % 40) || '.md'").alias("file_id"), F.expr("coalesce(source, 'none') || '/' || (doc_id % 40) || '.md'").alias("source_file_path"),
+        F.col("doc_id").alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content"),
+    )
+
+
+_SC = "sc as (select file_id || '#' || doc_id as id, file_id, file_id as source_file_path, doc_id as chunk_index, content from (select coalesce(source, 'none') || '/' || (doc_id % 40) || '.md' as file_id, doc_id, coalesce(text, '') as content from documents))"
+
+
+def note_sql(terms: list[str], limit: int, per_file: int = 2) -> str:
+    """CTEs up to found(id, file_id, matched, score), ordered by matched, score and id."""
+    n = limit if len(terms) == 1 else max(3 * limit, 50)
+    files, parts = max(n, V.LEAST_FILES), [_SC]
+    for k, t in enumerate(terms):
+        each = bm25_sql("sc", "id", ["content", "source_file_path"], t).replace("tok as", f"tok{k} as").replace("from tok)", f"from tok{k})").replace("from tok, st", f"from tok{k}, st{k}")
+        parts.append(each.replace("st as (", f"st{k} as (").replace("scored as", f"scored{k} as"))
+    union = " union all ".join(f"select {k} as q, id, bm25_score, strict from scored{k}" for k in range(len(terms)))
+    ceiling = " ".join(f"when {k} then {V.fetch_ceiling(t, n)}" for k, t in enumerate(terms))
+    order = "stage, bm25_score desc, id"
+    parts += [
+        f"h0 as (select u.*, file_id, case when strict then 0 else 1 end as stage from ({union}) u join sc using (id))",
+        f"h1 as (select * from (select *, row_number() over (partition by q, stage order by bm25_score desc, id) as rn from h0) where rn <= case q {ceiling} end)",
+        f"h2 as (select * from (select * exclude (rn), row_number() over (partition by q, file_id order by {order}) as rn from h1) where rn <= {per_file})",
+        f"h3 as (select *, sum((rn = 1)::int) over (partition by q order by {order} rows between unbounded preceding and 1 preceding) as so_far, row_number() over (partition by q order by {order}) as place from h2)",
+        f"h4 as (select * from h3 where coalesce(so_far, 0) < {files} and place <= {n})",
+        "h5 as (select id, file_id, count(distinct q) as matched, max(bm25_score) as score from h4 group by 1, 2)",
+        f"found as (select * from (select *, row_number() over (partition by file_id order by matched desc, score desc, id) as rn from h5) where rn <= {per_file})",
+    ]
+    return "with " + ", ".join(parts)
+
+
+@register(note_sql(["the", "benchmark", "with"], 20) + " select id, file_id, matched, round(score, 6) as score from found order by matched desc, found.score desc, id limit 20")
 def note_search_terms(spark, d):
-    return V.note_search(_chunks(spark, d), "the benchmark|with", 20).select("id", "file_id", "matched", r6("score"))
+    return V.note_search(_stored_chunks(spark, d), "the benchmark|with", 20).select("id", "file_id", "matched", r6("score"))
+
+
+@register(note_sql(["und"], 30) + " select id, file_id, round(score, 6) as score from found order by found.score desc, id limit 30")
+def note_search_one(spark, d):
+    return V.note_search(_stored_chunks(spark, d), "und", 30).select("id", "file_id", r6("score"))
+
+
+@register(note_sql(["the", "with"], 10) + ", r as (select id, file_id, length(content) as l from found join sc using (id, file_id)) select id, file_id, round(l / (max(l) over ())::double, 6) as score from r order by l desc, id limit 10")
+def note_search_reranked(spark, d):
+    length = lambda q, docs: [float(len(x)) for x in docs]
+    return V.note_search(_stored_chunks(spark, d), "the with", 10, scorer=length).select("id", "file_id", r6("score"))
+
+
+@register(note_sql(["the", "with"], 50) + ", top as (select * from found order by matched desc, score desc, id limit 50), hits as (select top.*, row_number() over (order by matched desc, score desc, top.id) as rank from top join sc using (id) where contains(lower(content), 'the') or contains(lower(content), 'with')) select file_id as source_file_path, row_number() over (order by min(rank)) as place, string_agg(id, ',' order by rank) as chunk_ids from hits group by 1")
+def recall_tool_notes(spark, d):
+    """Notes as the recall tool shows them: found, filtered by their content, grouped by file."""
+    found = V.note_search(_stored_chunks(spark, d), "the with", 50)
+    found = found.filter(text.contains_any_part(F.col("content"), F.lit("the with")))
+    rank = F.row_number().over(Window.orderBy(F.desc("matched"), F.desc("score"), "id"))
+    return N.by_file(found.withColumn("rank", rank))
+
+
+@register(
+    _COMP.replace(staged_sql(600), staged_sql(3000)).replace("rank <= 600", "rank <= 3000").replace("limit 30)", "limit 150)")
+    + ", s as (select id, memory_type, sim, fs, is_active from c order by sim desc, fs desc, id limit 50), a as (select *, row_number() over (order by sim desc, fs desc, id) as rank from s where is_active) select id, memory_type, rank, min(rank) over (partition by memory_type) as place from a"
+)
+def recall_tool_memories(spark, d):
+    """Memories as the recall tool shows them: active ones of fifty, by type."""
+    return V.active_recall(W.memories(spark, d), QUERY, "a", NOW, 50).select("id", "memory_type", "rank", "place")
+
+
+@register(f"with {_VQ}, v as (select vec_id, {_COS} as s from embeddings, q order by s desc, vec_id limit 25) select doc_id, round(s, 6) as score, round(1.0 - s, 6) as distance, row_number() over (order by s desc, 'm' || vec_id) - 1 + 100 as vector_id, length(text) as chars from v join documents on doc_id = vec_id".replace("order by s desc, vec_id limit 25", "order by s desc, 'm' || vec_id limit 25"))
+def vector_documents(spark, d):
+    docs = W.load(spark, d, "documents").select(F.concat(F.lit("m"), "doc_id").alias("id"), "doc_id", F.char_length("text").alias("chars"))
+    found = V.vector_documents(W.vectors(spark, d), docs, "id", "embedding", _query_vector(spark, d), 25, offset=100)
+    return found.select("doc_id", r6("score"), r6("distance"), "vector_id", "chars")
 
 
 @register("select label, vec_id, rank from (select label, vec_id, row_number() over (partition by label order by vec_id) as rank from embeddings where label is not null) where rank <= 2")
@@ -426,9 +495,9 @@ def profile_recall(spark, d):
     return browse.profile_recall(W.profile_memories(spark, d), ["000000001", "000000002", "000000004", "000000010"], "a", 5).select("id", "user_id", "attribute")
 
 
-@register(f"{sql('prof')}, {_PV}, a as (select user_id, attribute, count(*) as n from pv group by 1, 2), n as (select user_id, max_by(nickname, updated_at * 1e9 + substr(id, 2)::bigint) as nickname from pv group by 1), b as (select user_id, sum(n)::bigint as memory_count, string_agg(attribute || ':' || n, ',' order by attribute || ':' || n) as attributes from a group by 1) select user_id, memory_count, attributes from b")
+@register(f"{sql('prof')}, {_PV}, a as (select user_id, attribute, count(*) as n from pv group by 1, 2), n as (select user_id, arg_max(nickname, [lpad(cast(updated_at::bigint as varchar), 8, '0'), id]) filter (nickname <> '') as nickname from pv group by 1), b as (select user_id, sum(n)::bigint as memory_count, string_agg(attribute || ':' || n, ',' order by attribute || ':' || n) as attributes from a group by 1) select user_id, memory_count, attributes, coalesce(nickname, '') as nickname from b left join n using (user_id)")
 def profile_stats(spark, d):
-    return browse.profile_stats(W.profile_memories(spark, d)).select("user_id", "memory_count", "attributes")
+    return browse.profile_stats(W.profile_memories(spark, d)).select("user_id", "memory_count", "attributes", "nickname")
 
 
 @register(f"{sql('prof')} select id, tags[1] as user_id, case when tags[2] = 'other' then '' else tags[2] end as attribute, tags[2] <> 'other' as is_profile from prof")
@@ -600,7 +669,13 @@ def token_estimate(spark, d):
     return W.load(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@register()
+_FITS = "len(list_filter(range(1, length({t}) + 1), lambda i: 2 * i - length(regexp_replace({p}, '[^\\x00-\\x7F]', '', 'g')) <= 166))"
+
+
+@register(
+    "with t as (select doc_id, coalesce(text, '') as text, substr(coalesce(text, ''), 1, 166) as h, right(coalesce(text, ''), 166) as e from documents) "
+    f"select doc_id, substr(text, 1, {_FITS.format(t='h', p='substr(h, 1, i::bigint)')}) as head, right(text, {_FITS.format(t='e', p='right(e, i::bigint)')}) as tail from t"
+)
 def token_truncate(spark, d):
     t = W.load(spark, d, "documents")
     return t.select("doc_id", jsonscan.truncate_tokens(F.col("text"), 50).alias("head"), jsonscan.truncate_tokens(F.col("text"), 50, True).alias("tail"))
@@ -833,6 +908,12 @@ def wasted_recalls(spark, d):
     return _ids(spark, d, "click").join(_ids(spark, d, "purchase"), "id", "left_anti")
 
 
+def _actions(spark, d):
+    e = W.load(spark, d, "events")
+    mem = F.struct(F.lit("knowledge").alias("type"), F.concat(F.lit("merged "), "event_id").alias("judgment"), F.lit("").alias("reasoning"), F.array(F.lit("t")).alias("tags"))
+    return e.select(F.col("event_id").alias("action_no"), F.when(F.expr("event_id % 3 = 0"), "merge").when(F.expr("event_id % 3 = 1"), "updata").otherwise("create").alias("action"), F.when(F.expr("event_id % 3 = 0"), F.array(F.concat(F.lit("m"), F.col("event_id")), F.concat(F.lit("m"), F.col("event_id") + 1))).otherwise(F.array(F.concat(F.lit("m"), F.col("event_id")))).alias("source_memory_ids"), mem.alias("memory"))
+
+
 @register(
     f"{sql('mem')}, act as (select event_id, case event_id % 3 when 0 then 'merge' when 1 then 'updata' else 'create' end as action from events), "
     "named as (select event_id, 0 as pos, 'm' || event_id as id from act where action <> 'create' union all select event_id, 1, 'm' || (event_id + 1) from act where action = 'merge'), "
@@ -844,7 +925,130 @@ def wasted_recalls(spark, d):
 def memory_actions(spark, d):
     """Merges and updates over whole tables: each event is an action on two memories."""
     m = W.memories(spark, d).drop("tags").withColumn("memory_scope", F.lit("public"))
-    e = W.load(spark, d, "events")
-    mem = F.struct(F.lit("knowledge").alias("type"), F.concat(F.lit("merged "), "event_id").alias("judgment"), F.lit("").alias("reasoning"), F.array(F.lit("t")).alias("tags"))
-    acts = e.select(F.col("event_id").alias("action_no"), F.when(F.expr("event_id % 3 = 0"), "merge").when(F.expr("event_id % 3 = 1"), "updata").otherwise("create").alias("action"), F.when(F.expr("event_id % 3 = 0"), F.array(F.concat(F.lit("m"), F.col("event_id")), F.concat(F.lit("m"), F.col("event_id") + 1))).otherwise(F.array(F.concat(F.lit("m"), F.col("event_id")))).alias("source_memory_ids"), mem.alias("memory"))
-    return L.apply_actions(m, L.normalize_actions(acts), NOW).select("judgment", "strength", "useful_score")
+    return L.apply_actions(m, L.normalize_actions(_actions(spark, d)), NOW).select("judgment", "strength", "useful_score")
+
+
+# ---------------------------------------------------------------- scans, lookups and upkeep
+
+
+@register(f"{sql('mem')} select id, created_at from mem")
+def newest_first(spark, d):
+    return store.newest_first(W.memories(spark, d)).select("id", "created_at")
+
+
+@register(f"{sql('mem')} select id from mem")
+def memory_ids(spark, d):
+    return store.memory_ids(W.memories(spark, d))
+
+
+def _registry(spark, d):
+    p = W.load(spark, d, "pages")
+    return p.select(F.concat(F.lit("s"), "page_id").alias("source_id"), F.col("page_id").alias("note_short_id"), F.concat(F.lit("p"), F.floor(F.col("page_id") / 2), F.lit(".md")).alias("source_file_path"))
+
+
+@register("select 's' || page_id as source_id, page_id as note_short_id from pages where page_id = 17")
+def note_by_short_id(spark, d):
+    return store.note_by_short_id(_registry(spark, d), 17).select("source_id", "note_short_id")
+
+
+@register("select 'p' || (page_id // 2) || '.md' as source_file_path, min(page_id) as note_short_id from pages group by 1")
+def short_ids_of_paths(spark, d):
+    reg = _registry(spark, d)
+    return store.short_ids_of_paths(reg, reg.select("source_file_path"))
+
+
+@register(f"{sql('idx', 'disk')}, i as (select row_number() over (order by relative_path) as id, relative_path from idx), f as (select relative_path, row_number() over (order by relative_path) as n from (select distinct relative_path from disk) where relative_path not in (select relative_path from idx)) select * from i union all select (select max(id) from i) + n, relative_path from f")
+def allocate_file_ids(spark, d):
+    index = store.number(W.file_index(spark, d).select("relative_path"), [F.col("relative_path")], "id", 1)
+    return store.allocate_file_ids(index, W.disk_files(spark, d))
+
+
+@register(f"{sql('idx', 'disk')} select relative_path, file_timestamp from idx where relative_path not in (select relative_path from disk)")
+def delete_files(spark, d):
+    return N.delete_files(W.file_index(spark, d), W.disk_files(spark, d))
+
+
+@register(f"{sql('mem')} select id from (select *, row_number() over (partition by judgment order by created_at desc, updated_at desc, id) as rn from mem) where rn = 1")
+def newest_of_judgment(spark, d):
+    return L.newest_of_judgment(W.memories(spark, d)).select("id")
+
+
+@register("select distinct 'm' || (user_id % 1000) as id from events where event_type = 'click' and exists (select 1 from documents where doc_id = user_id % 1000)")
+def memories_by_ids(spark, d):
+    return store.memories_by_ids(W.memories(spark, d), _ids(spark, d, "click")).select("id")
+
+
+@register(f"{sql('mem', 'dim')} select distinct trim(name) as name from dim where trim(name) <> ''")
+def all_tag_names(spark, d):
+    return store.all_tag_names(store.tag_dimension(W.memories(spark, d)))
+
+
+@register(f"{sql('mem')} select id, strength from mem")
+def drop_deprecated(spark, d):
+    return store.drop_deprecated(W.memories(spark, d).select("id", "strength", F.lit(1).alias("old")), ["old", "never"])
+
+
+@register(f"{sql('mem')} select id, judgment, '' as reasoning, strength, memory_type, created_at from mem")
+def decode_memory(spark, d):
+    m = W.memories(spark, d)
+    old = F.struct("id", F.col("judgment").alias("content"), "strength", "memory_type", "created_at")
+    new = F.struct("id", "judgment", "strength", "memory_type", "created_at")
+    rows = m.select(F.when(F.expr("strength % 2 = 0"), F.to_json(old)).otherwise(F.to_json(new)).alias("value"))
+    return store.decode_memory(spark, rows).select("id", "judgment", "reasoning", "strength", "memory_type", "created_at")
+
+
+@register(_STRAT + f", {staged_sql(400)}, g as (select id, bm25_normalized_score as final_score from staged order by rank limit 400) select id, round(final_score, 6) as final_score from g where final_score >= 0.5 order by g.final_score desc, id limit 20")
+def simple_recall(spark, d):
+    return V.simple_recall(W.memories(spark, d), "the", ["and", "src1"], 20, "a").select("id", r6("final_score"))
+
+
+@register(f"{sql('note')}, n as (select file_id, 0 as chunk_index, 'new ' || file_id as content from note where length(content) % 2 = 0) select file_id, chunk_index, content from n union all select file_id, 0, content from note where file_id not in (select file_id from n)")
+def replace_file_chunks(spark, d):
+    old = W.notes(spark, d).select("file_id", F.lit(0).alias("chunk_index"), "content")
+    new = old.filter("char_length(content) % 2 = 0").withColumn("content", F.concat(F.lit("new "), "file_id"))
+    return N.replace_file_chunks(old, new)
+
+
+@register(f"with {_SC} select id, content, source_file_path, chunk_index as a, chunk_index + 3 as b from sc")
+def result_shape(spark, d):
+    c = _stored_chunks(spark, d).withColumn("line_start", F.col("chunk_index")).withColumn("line_end", F.col("chunk_index") + 3)
+    return N.result_shape(c).select("id", "content", "source_file_path", F.col("lines.line_start").alias("a"), F.col("lines.line_end").alias("b"))
+
+
+@register("select file_id, chunk_index, max(line_end) as line_end from (select coalesce(source, 'none') as file_id, doc_id % 3 as chunk_index, doc_id as line_end from documents) group by 1, 2")
+def newest_chunks(spark, d):
+    c = W.load(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("file_id"), (F.col("doc_id") % 3).alias("chunk_index"), F.col("doc_id").alias("line_end"))
+    return N.newest_chunks(c)
+
+
+@register(f"{sql('mem')}, {_ST} select session, st.id, judgment from st join mem on mem.id = 'm' || st.id")
+def session_hydrate(spark, d):
+    """Session references with their memories; those to memories that are gone fall away."""
+    cache = _state(spark, d).withColumn("id", F.concat(F.lit("m"), "id")).select("session", "id")
+    return stateful.hydrate(cache, W.memories(spark, d).select("id", "judgment")).select("session", F.expr("substr(id, 2)").alias("id"), "judgment")
+
+
+@register("select part, regexp_replace(trim(name), '[^A-Za-z0-9_.-]+', '_', 'g') as clean, trim(name) || ' ' || part || ' key' as rag from (select p_partkey as part, ' ' || p_name || ' / v1 ' as name from part)")
+def names_and_rag(spark, d):
+    p = W.load(spark, d, "part").select(F.col("p_partkey").alias("part"), F.concat(F.lit(" "), "p_name", F.lit(" / v1 ")).alias("name"))
+    rag = text.rag_query(F.array(F.trim("name")), F.array(F.col("part").cast("string"), F.lit("capped")), F.array(F.lit("key"), F.lit("capped")), 1)
+    return p.select("part", text.clean_model_name(F.col("name")).alias("clean"), rag.alias("rag"))
+
+
+@register(
+    ORACLES["memory_actions"].split("select 'merged '")[0]
+    + f", now as (select 'merged ' || act.event_id as vector_text from act left join sums using (event_id) where action = 'create' or s is not null union all select judgment from mem where id not in (select id from used) and judgment <> '') select vector_text, {_LETTERS.format(t='vector_text')} as embedding from now"
+)
+def feedback_index(spark, d):
+    """The vector index after the actions: rows of merged memories are gone, new texts embedded."""
+    m = W.memories(spark, d).drop("tags").withColumn("memory_scope", F.lit("public"))
+    index = m.select(F.col("id").alias("item_id"), F.col("judgment").alias("vector_text")).filter("vector_text != ''")
+    index = index.withColumn("embedding", _letters(F.col("vector_text")))
+    after = L.apply_actions(m, L.normalize_actions(_actions(spark, d)), NOW)
+    return V.follow_records(index, after.withColumn("vector_text", F.col("judgment")), _letters).select("vector_text", "embedding")
+
+
+@register("select n, base, (case when n <= 1 then greatest(base, 800) when n <= 3 then greatest(base, 240) else base end)::int as hits from (select distinct (l_linenumber - 1)::int as n, (l_quantity * 10)::int as base from lineitem)")
+def hit_limits(spark, d):
+    x = W.load(spark, d, "lineitem").select((F.col("l_linenumber") - 1).cast("int").alias("n"), (F.col("l_quantity") * 10).cast("int").alias("base")).distinct()
+    return x.select("n", "base", text.hit_limit(F.col("n"), F.col("base")).alias("hits"))

@@ -32,6 +32,13 @@ def test_note_search(spark):
     assert [r.file_id for r in got][0] == "b" and len(got) == 2
     assert [r.file_id for r in V.note_search(chunks, "旅行", 10).collect()] == ["t"]
     assert V.note_search(chunks, "  ", 10).count() == 0
+    # a scorer turns the order round; one that fails leaves it
+    turned = V.note_search(chunks, "alpha|beta", 10, scorer=lambda q, docs: [-float(len(x)) for x in docs]).collect()
+    assert len(turned) >= 2 and [len(r.content) for r in turned] == sorted(len(r.content) for r in turned)
+    def broken(q, docs):
+        raise RuntimeError("no answer")
+    assert [r.id for r in V.note_search(chunks, "alpha|beta", 10, scorer=broken).collect()] == [r.id for r in V.note_search(chunks, "alpha|beta", 10).collect()]
+    assert V.fetch_ceiling("猫", 6) == 6400 and V.fetch_ceiling("红烧", 6) == 1920 and V.fetch_ceiling("ab", 6) == 400
     assert V.note_search(chunks.filter("file_id = 'zz'"), "alpha", 10).count() == 0
 
 

@@ -36,7 +36,7 @@ def test_ngrams_and_driver_twin(spark, given, index, required):
 
 
 def test_hit_limit(spark):
-    assert [one(spark, text.hit_limit(F.lit(n), 50)) for n in (1, 2, 40)] == [800, 240, 50]
+    assert [one(spark, text.hit_limit(F.lit(n), F.lit(50))) for n in (1, 2, 40)] == [800, 240, 50]
 
 
 def test_tags(spark):
