@@ -100,11 +100,9 @@ def truncate_tokens(text: Column, most: float, from_end: bool = False) -> Column
         return F.lit("")
     t = F.coalesce(text, F.lit(""))
     part = F.reverse(F.right(t, F.lit(units))) if from_end else F.substring(t, 1, units)
-    places = F.when(F.char_length(part) > 0, F.sequence(F.lit(1), F.char_length(part))).otherwise(F.array().cast("array<int>"))
-    costs = F.transform(places, lambda i: F.when(F.ascii(F.substring(part, i, F.lit(1))) < 128, 1).otherwise(2))
-    step = lambda acc, c: F.struct((acc["used"] + c).alias("used"), (acc["n"] + (acc["used"] + c <= units).cast("int")).alias("n"))
-    mixed = F.aggregate(costs, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
-    n = F.when(part.rlike(r"[^\x00-\x7F]"), mixed).otherwise(F.char_length(part))
+    # a character of one unit becomes a, one of two units bc: what is cut after so many units has as many characters as a and c
+    costs = F.regexp_replace(F.regexp_replace(part, r"[\x00-\x7F]", "a"), r"[^\x00-\x7F]", "bc")
+    n = F.char_length(F.replace(F.substring(costs, 1, units), F.lit("b"), F.lit("")))
     return F.right(t, n) if from_end else F.substring(t, F.lit(1), n)
 
 

@@ -247,7 +247,7 @@ def recall(memories: DataFrame, query: str, limit: int, scope: str, vectors: Dat
     rows = pool.withColumn("tags_text", F.array_join("tags", " "))
     found = search_with_strategy(rows, "id", ["tags_text", "judgment"], query, max(20, 20 * limit), vectors, scorer)
     good = found.filter((F.col("score_kind") == "rrf") | (F.col("final_score") >= 0.5))
-    joined = memories.join(F.broadcast(good), "id")  # at most a few times limit rows
+    joined = pool.join(F.broadcast(good), "id")  # at most a few times limit rows; vectors may name memories that the scope does not see
     joined = joined if scope_mode == "pre" else joined.filter(scope_filter(scope))
     return joined.orderBy(F.desc("final_score"), "id").limit(limit)
 

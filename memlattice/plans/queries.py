@@ -107,6 +107,49 @@ def multi_query_top5(spark, d):
     return R.quota(s, ["query"], [F.desc("score"), F.col("doc_id")], 5)
 
 
+#: Names of parts with letters made CJK characters, so that whole tables of CJK text are searched.
+_ABC, _HAN = "abcdefghijklmnopqrstuvwxyz", "红烧肉猫测试旅行天地人山水火木金土日月星风云雨雪花草"
+_CJK = (
+    f"cj as (select 'p' || p_partkey as id, translate(p_name, '{_ABC}', '{_HAN}') || case p_partkey % 3 when 0 then ' Ｐ９' when 1 then ' “v1”' else '' end as body from part), "
+    "tk as (select id, regexp_extract_all(replace(lower(body), 'ｐ９', 'p9'), '[一-鿿]+|[a-z0-9_]+') as w from cj), "
+    "ct as (select id, list_distinct(flatten([case when regexp_matches(x, '^[一-鿿]') then list_concat([substr(x, i, 1) for i in range(1, length(x) + 1)], [substr(x, i, 2) for i in range(1, length(x))]) else [x] end for x in w])) as terms, "
+    "list_distinct(flatten([case when regexp_matches(x, '^[一-鿿]') and length(x) > 2 then [substr(x, i, 2) for i in range(1, length(x))] else [x] end for x in w])) as required from tk)"
+)
+
+
+def _cjk(spark, d):
+    p = W.load(spark, d, "part")
+    tail = F.expr("case p_partkey % 3 when 0 then ' Ｐ９' when 1 then ' “v1”' else '' end")
+    return p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat(F.translate("p_name", _ABC, _HAN), tail).alias("body"))
+
+
+@register(f"with {_CJK} select id, list_sort(terms) as terms, list_sort(required) as required from ct")
+def cjk_terms(spark, d):
+    return _cjk(spark, d).select("id", F.array_sort(text.index_tokens(F.col("body"))).alias("terms"), F.array_sort(text.required_terms(F.col("body"))).alias("required"))
+
+
+def cjk_sql(query: str) -> str:
+    """CTEs up to scored(id, bm25_score, strict) over the CJK names."""
+    required, terms = V.query_terms(query)
+    stats = ", ".join(f"count(*) filter (list_contains(terms, '{t}')) as n{k}" for k, t in enumerate(terms))
+    score = " + ".join(f"case when list_contains(terms, '{t}') then ln(1 + (n - n{k} + 0.5) / (n{k} + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(terms) / a)) else 0 end" for k, t in enumerate(terms))
+    strict = " and ".join(f"list_contains(terms, '{t}')" for t in required)
+    return f"{_CJK}, st as (select count(*) as n, avg(len(terms)) as a, {stats} from ct), scored as (select * from (select id, {score} as bm25_score, {strict} as strict from ct, st) where bm25_score > 0)"
+
+
+_CJK_QUERY = "red bolt".translate(str.maketrans(_ABC, _HAN))
+
+
+@register(f"with {cjk_sql(_CJK_QUERY)}, {staged_sql(25)} select id, stage, round(bm25_score, 6) as bm25_score, rank from staged")
+def cjk_search(spark, d):
+    return V.staged_search(_cjk(spark, d), "id", ["body"], _CJK_QUERY, 25).select("id", "stage", r6("bm25_score"), "rank")
+
+
+@register(f"with {_CJK} select id, replace(replace(replace(body, 'Ｐ９', 'p9'), ' “v1”', ' \"v1'), 'x', 'x') as body from cj")
+def cjk_normalised(spark, d):
+    return _cjk(spark, d).select("id", text.normalize_search_text(F.col("body")).alias("body"))
+
+
 _VQ = "q as (select embedding as e from embeddings where vec_id = 0)"
 _COS = "list_cosine_similarity(embedding::double[], e::double[])"
 
@@ -182,7 +225,11 @@ def recall_by_type(spark, d):
     return V.recall_by_type(W.memories(spark, d), QUERY, 30, "a", "事件记忆").select("id", r6("final_score"))
 
 
-@register()
+@register(
+    _STRAT + f", {staged_sql(200)}, {_VQ}, v as (select 'm' || vec_id as id, {_COS} as score from embeddings, q order by score desc, id limit 30), "
+    "c as (select id from v union select id from staged), r as (select c.id, length(coalesce(pool.judgment, c.id)) as l from c left join pool using (id)), f as (select id, l / (max(l) over ())::double as final_score from r) "
+    "select id, round(final_score, 6) as final_score, 'rerank' as score_kind from f where f.final_score >= 0.5 and id in (select id from pool) order by f.final_score desc, id limit 10"
+)
 def recall_reranked(spark, d):
     v = V.vector_top_k(W.vectors(spark, d), "id", "embedding", _query_vector(spark, d), 30)
     length = lambda q, docs: [float(len(x)) for x in docs]
@@ -681,7 +728,7 @@ def token_truncate(spark, d):
     return t.select("doc_id", jsonscan.truncate_tokens(F.col("text"), 50).alias("head"), jsonscan.truncate_tokens(F.col("text"), 50, True).alias("tail"))
 
 
-@register()
+@register("select event_id, props as found from events")
 def json_extract(spark, d):
     e = W.load(spark, d, "events")
     said = F.concat(F.lit('so {"a": 1} ---JSON--- ```json {"feedback_data": '), F.col("props"), F.lit("} ```"))
@@ -694,7 +741,18 @@ def _steps(spark, d):
     return e.select((F.col("user_id") % 20).cast("string").alias("key"), F.col("event_id").cast("double").alias("ts"), F.lit(0).alias("seq"), code.alias("code"), F.when(F.expr("event_id % 3 = 0"), "reflect").otherwise("resonate").alias("mode"))
 
 
-@register()
+_ENERGY = ", ".join(
+    f"greatest(-20, least(20, e{i} + (case when substr(code, {i + 1}, 1) = '1' then 1 else -1 end) * s * exp(-0.1 * abs(e{i} - {mid})) + ({mid} - e{i}) * 0.1)) as e{i}"
+    for i, (_, mid, _) in enumerate(scoring.SOUL.values())
+)
+
+
+@register(
+    "with recursive log as (select cast(user_id % 20 as varchar) as key, bin(event_id % 16 + 16)[2:] as code, case when event_id % 3 = 0 then 1.0 else 0.3 end::double as s, row_number() over (partition by user_id % 20 order by event_id) as n from events), "
+    "run as (select key, 0::bigint as n, 0::double as e0, 0::double as e1, 0::double as e2, 0::double as e3 from (select distinct key from log) "
+    f"union all select log.key, log.n, {_ENERGY} from run join log on log.key = run.key and log.n = run.n + 1) "
+    "select key, round(e0, 6) as recall, round(e1, 6) as impression, round(e2, 6) as expression, round(e3, 6) as creativity from run where (key, n) in (select (key, max(n)) from log group by key)"
+)
 def soul_fold(spark, d):
     return stateful.fold_soul(_steps(spark, d)).select("key", r6("recall"), r6("impression"), r6("expression"), r6("creativity"))
 
