@@ -7,10 +7,11 @@ nearest pivot).  A vector y can have partners in cell i only if
 * d(y, p_i) - R_i <= r (triangle inequality; R_i is the radius of cell i), and
 * (d(y, p_i)^2 - d(y, p_home)^2) / (2 d(p_i, p_home)) <= r (distance to the border between the cells),
 
-so it is copied to those cells only.  Cells are cut by a hash of the id into blocks of about BLOCK
-rows; the two blocks of every pair that may hold partners meet in a task of their own, which
-compares them by a matrix product in double precision.  Memory is bounded by two blocks, whatever a
-cell holds.  A task returns sums: partners of each vector, and a spanning forest of its
+so it is copied to those cells only.  Pivots grow with the vectors, one for ROWS_PER_PIVOT of them, so cells are small and their bounds
+tight.  Neighbouring small cells make up a tile of at most BLOCK rows, a larger cell is cut by a hash of the id into several: a vector goes to a
+tile once, if it reaches one of its cells, and so to as many as there are BLOCKs at most.  The two tiles of every pair that may hold partners meet in a
+task of their own, which compares them by a matrix product in double precision.  Memory is bounded by two tiles, whatever a
+cell holds, and by the MAX_PIVOTS pivots and their distances.  A task returns sums: partners of each vector, and a spanning forest of its
 links, so a dense cluster of n vectors gives n rows and not n^2.
 """
 
@@ -29,9 +30,12 @@ from memlattice.llm.components import connected_components
 
 THRESHOLD = 0.9
 BLOCK = 4096
-ROWS_PER_PIVOT = 8192
-MAX_PIVOTS = 256
+ROWS_PER_PIVOT = 64
+#: Pivots travel with the tasks, as do the distances between them: 8 MB for so many.
+MAX_PIVOTS = 1024
 SLACK = 1e-6
+#: Rows that are routed at a time.
+SLICE = 1024
 
 
 def usable(vec: str):
@@ -55,6 +59,52 @@ def _chords(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
 
 
+class Tiles:
+    """Cells in an order in which neighbours follow each other, cut into groups: several small cells in a tile, or one cell in several tiles."""
+
+    def __init__(self, rows: np.ndarray, between: np.ndarray, block: int):
+        left, self.order = np.ones(len(rows), bool), [0]
+        left[0] = False
+        while left.any():
+            nearest = np.where(left, between[self.order[-1]], np.inf).argmin()
+            left[nearest] = False
+            self.order.append(int(nearest))
+        starts, width, size = [], [], block + 1
+        self.group = np.zeros(len(rows), np.int64)
+        for place, cell in enumerate(self.order):
+            if size + rows[cell] > block:
+                starts.append(place)
+                width.append(max(1, -(-int(rows[cell]) // block)))
+                size = 0
+            size += int(rows[cell])
+            self.group[cell] = len(starts) - 1
+        self.starts, self.width = np.array(starts), np.array(width)
+        self.first = np.concatenate([[0], np.cumsum(self.width)])
+
+    def own(self, cell: np.ndarray, h: np.ndarray) -> np.ndarray:
+        group = self.group[cell]
+        return self.first[group] + h % self.width[group]
+
+    def reached(self, near: np.ndarray) -> list[np.ndarray]:
+        """For each row the tiles of the cells that it is near."""
+        row, group = np.nonzero(np.logical_or.reduceat(near[:, self.order], self.starts, axis=1))
+        width = self.width[group]
+        tile = np.repeat(self.first[group], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        return np.split(tile, np.cumsum(np.bincount(row, weights=width, minlength=len(near)).astype(np.int64))[:-1])
+
+
+def near_cells(d: np.ndarray, cell: np.ndarray, between: np.ndarray, radius: np.ndarray, r: float) -> np.ndarray:
+    """Which cells may hold partners of the vectors, from their distances to the pivots: both bounds, and a vector's own cell."""
+    each = np.arange(len(d))
+    mine = d[each, cell][:, None]
+    gap = between[cell]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        border = np.where(gap > 1e-9, (d * d - mine * mine) / (2 * gap), -np.inf)
+    near = (d - radius[None, :] <= r) & (border <= r)
+    near[each, cell] = True
+    return near
+
+
 def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the links (rows by columns) connect, at most one a node."""
     rows, cols = np.nonzero(links.any(1))[0], np.nonzero(links.any(0))[0]
@@ -101,7 +151,7 @@ def embedding_links(df: DataFrame, id_col: str, vec_col: str, threshold: float =
 
 
 def _links_of_dim(scratch: Scratch, part: DataFrame, n: int, kind: str, threshold: float, r: float) -> DataFrame:
-    n_pivots = max(1, min(MAX_PIVOTS, n // ROWS_PER_PIVOT))
+    n_pivots = max(1, min(MAX_PIVOTS, -(-n // ROWS_PER_PIVOT)))
     chosen = part.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     pivots = _unit([bytes(x["x"]) for x in chosen], kind)
     between = _chords(pivots, pivots)
@@ -113,26 +163,19 @@ def _links_of_dim(scratch: Scratch, part: DataFrame, n: int, kind: str, threshol
             yield pd.DataFrame({"cell": cell, "d": d[np.arange(len(b)), cell]})
 
     stats = part.select("x").mapInPandas(home, "cell int, d double").groupBy("cell").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()
-    radius, blocks = np.full(n_pivots, -np.inf), np.zeros(n_pivots, np.int64)
+    radius, rows = np.full(n_pivots, -np.inf), np.zeros(n_pivots, np.int64)
     for s in stats:  # one row for each pivot at most
-        radius[s["cell"]], blocks[s["cell"]] = s["r"], -(-s["n"] // BLOCK)
-    first = np.concatenate([[0], np.cumsum(blocks)])
+        radius[s["cell"]], rows[s["cell"]] = s["r"], s["n"]
+    tiles = Tiles(rows, between, BLOCK)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            d = _chords(_unit(list(b["x"]), kind), pivots)
-            cell = d.argmin(1)
-            mine = d[np.arange(len(b)), cell][:, None]
-            gap = between[cell]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                border = np.where(gap > 1e-9, (d * d - mine * mine) / (2 * gap), -np.inf)
-            near = (d - radius[None, :] <= r) & (border <= r) & (blocks > 0)[None, :]
-            near[np.arange(len(b)), cell] = True
-            tile = first[cell] + b["h"].to_numpy() % blocks[cell]
-            to = [np.concatenate([np.arange(first[i], first[i + 1]) for i in np.nonzero(row)[0]]) for row in near]
-            yield pd.DataFrame({"id": b["id"], "x": b["x"], "tile": tile, "to": to})
+        for whole in batches:
+            for i in range(0, len(whole), SLICE):
+                b = whole.iloc[i : i + SLICE]
+                d = _chords(_unit(list(b["x"]), kind), pivots)
+                cell = d.argmin(1)
+                near = near_cells(d, cell, between, radius, r)
+                yield pd.DataFrame({"id": b["id"], "x": b["x"], "tile": tiles.own(cell, b["h"].to_numpy()), "to": tiles.reached(near)})
 
     with_hash = part.select("id", "x", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)).alias("h"))
     routed = with_hash.mapInPandas(route, "id long, x binary, tile long, to array<long>").select("id", "x", "tile", F.explode("to").alias("to"))

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from memlattice.llm import repeats
+from memlattice.llm import embedding_dedup as embedding_module, repeats
 from memlattice.llm.components import connected_components
 from memlattice.llm.embedding_dedup import embedding_dedup
 from memlattice.llm.exact_dedup import exact_dedup
@@ -147,6 +147,32 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_with_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(embedding_module, "ROWS_PER_PIVOT", 16)
+    monkeypatch.setattr(embedding_module, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(25, 8))
+    x = np.concatenate([base[rng.integers(25, size=300)] + 0.12 * rng.normal(size=(300, 8)), np.tile(base[0], (60, 1)) + 0.02 * rng.normal(size=(60, 8)), rng.normal(size=(60, 8))])
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup(df).collect()}
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (v @ v.T) >= 0.9
+    np.fill_diagonal(link, False)
+    want = roots(range(len(x)), lambda a, b: link[a, b])
+    assert all(got[i].n_links == link[i].sum() and got[i].component_id == want[i] for i in range(len(x)))
+    # 27 pivots: the bounds keep most vectors from most tiles, and no partner is kept away
+    pivots = v[rng.permutation(len(v))[:27]]
+    d = embedding_module._chords(v, pivots)
+    cell = d.argmin(1)
+    radius, rows = np.array([d[cell == k, k].max(initial=-np.inf) for k in range(27)]), np.bincount(cell, minlength=27)
+    between = embedding_module._chords(pivots, pivots)
+    near = embedding_module.near_cells(d, cell, between, radius, np.sqrt(0.2) + 1e-6)
+    assert near.mean() < 0.5 and all(near[a, cell[b]] for a, b in zip(*np.nonzero(link), strict=True))
+    tiles = embedding_module.Tiles(rows, between, 16)
+    reached, own = tiles.reached(near), tiles.own(cell, np.arange(len(v)))
+    assert max(np.bincount(own)) <= 24 and all(own[b] in reached[a] for a, b in zip(*np.nonzero(link), strict=True))
+
+
 def brute_repeats(rows, n=100):
     seen, out = set(), {}
     for i, text in sorted(rows):
