@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from memlattice.llm.common import worker_state
 
 #: Pre-tokens whose ids a worker keeps; the older half goes when there are more.
-CACHE = 200_000
+CACHE = 400_000
 #: Longer pre-tokens are rarely repeated and are not kept.
 CACHED_CHARS = 40
 #: Unicode's White_Space property, which is what ``\s`` means to the pattern's home library.
