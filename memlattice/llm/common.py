@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[Scratch] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Removes, at the end, the tables that operators called inside have written to the shared folder."""
+    mark = len(_made)
+    yield
+    for s in _made[mark:]:
+        s.remove()
+    del _made[mark:]
+
+
 class Scratch:
     """Parquet tables in the shared folder.
 
@@ -45,6 +60,7 @@ class Scratch:
         self.spark = share_path(spark)
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        _made.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -57,9 +73,12 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.remove(path)
+
+    def remove(self, path: str | None = None) -> None:
+        """Deletes one table, or all of them."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.base)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _state: dict = {}
