@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.llm.bpe import bpe_round_trip
-from memlattice.llm.common import Scratch, table
+from memlattice.llm.common import Scratch, table, temporary
 from memlattice.llm.exact_dedup import exact_dedup
 from memlattice.llm.language_id import UNDETERMINED, identify_language
 from memlattice.llm.mixing import mix
@@ -22,7 +22,8 @@ NEAR = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a text without letters is rejected."""
+    """Documents whose language can be told; null texts and texts without letters are rejected.  Repeated rows are told alike, ties go to the
+    language first by code point."""
     return identify_language(docs).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
@@ -46,12 +47,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources, a row for each copy that it takes."""
+    """The mix of the sources, a row for each copy that it takes.  Texts without words are never taken; repeated rows are documents of their own."""
     return mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and the hash of the bytes that they decode to."""
+    """Token ids of every row, and the hash of the bytes that they decode to.  A null text has no ids; repeated rows are coded each."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_round_trip(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"), with_ids=True)
 
@@ -69,8 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage has written for itself, and its input, go when its result is there."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with temporary():
+            before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return docs
