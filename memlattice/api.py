@@ -161,3 +161,4 @@ class MemoryStore:
         self._write(memory_tag_rel=rel, records=kept)
         if backup:
             store.export_snapshot(t.read("records"), t.read("global_tags"), t.read("memory_tag_rel"), f"{backup}/{time.strftime('%Y%m%d')}")
+            files.prune_backup_folders(self.spark, backup)

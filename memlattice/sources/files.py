@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,16 @@ def prune_backups(spark: SparkSession, folder: str, keep: int = 3) -> list[str]:
     return old
 
 
+def prune_backup_folders(spark: SparkSession, folder: str, keep: int = 3) -> list[str]:
+    """Deletes all but the newest backups that are folders named by their day (eight digits); returns what went."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = sorted((s.getPath() for s in fs.listStatus(p) if s.isDirectory() and re.fullmatch("[0-9]{8}", s.getPath().getName())), key=lambda x: x.getName(), reverse=True)
+    for old in days[keep:]:
+        fs.delete(old, True)
+    return [x.getName() for x in days[keep:]]
+
+
 def write_note(spark: SparkSession, folder: str, name: str, body: str) -> str:
     """Writes one note file through the file system that the folder is on."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -81,3 +81,6 @@ def test_files(spark, tmp_path):
     assert files.preview_backup(spark, str(back / "2.json")).first().active == 2
     assert len(files.prune_backups(spark, str(back), 3)) == 1 and sorted(os.listdir(back))[0] == "1.json"
     assert spark.range(1).select(F.lit(1)).count() == 1
+    for day in ("20240101", "20240102", "20240103", "20240104", "other"):
+        os.makedirs(back / day)
+    assert files.prune_backup_folders(spark, str(back), 3) == ["20240101"] and os.path.isdir(back / "other")
