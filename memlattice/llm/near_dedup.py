@@ -14,6 +14,9 @@ Only connected components are wanted, so members of one posting list are first c
 class that shares most tokens with others.  Members that are then still in different components are all
 compared with each other, by an exact prefix join on their full sets: a large group of near
 copies costs a row a member, and no link is lost.
+
+A token is heavy if it has more than a HEAVY-th of the shared postings, so there are at most HEAVY such tokens: what a join
+by token needs of them travels to the postings, which stay where they are, and only the others are shuffled by token.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ SIMILARITY, MISSED = 0.85, 1e-8
 #: Bytes of text that are hashed at a time, and documents whose sets a task holds before it hands them on.
 CHUNK = 1 << 18
 SLICE = 512
+#: Heavy tokens at most, and the postings up to which a token is never one.
+HEAVY, LIGHT = 100_000, 1_000
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -199,27 +204,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class has a number of its own: documents that repeat an id may have different sets
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))
     posts = classes.select("node", F.explode("sig").alias("tok"))
-    common = posts.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1")
-    shared = posts.join(common, "tok")
+    shared, bound = _shared(posts, scratch)
     by_node = Window.partitionBy("node")
     ranked = shared.withColumn("own", F.count("*").over(by_node)).filter(F.col("own") >= link.matches)
     ranked = ranked.withColumn("rn", F.row_number().over(by_node.orderBy("freq", "tok")))
     # lists of the shared tokens; the first own - matches + 1 are what is left of the prefix
-    lists = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("x"), F.sum("freq").alias("score"))
-    lists = scratch.save(lists.select("node", F.col("x.tok").alias("toks"), "score").join(classes.select("node", "n"), "node"))
-    prefix = lists.select("node", "n", "score", F.explode(F.slice("toks", F.lit(1), F.size("toks") - link.matches + 1)).alias("tok"))
+    lists = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rn", "tok", "freq"))).alias("x"), F.sum("freq").alias("score"))
+    lists = scratch.save(lists.select("node", F.col("x.tok").alias("toks"), F.col("x.freq").alias("freqs"), "score").join(classes.select("node", "n"), "node"))
+    first = F.slice(F.arrays_zip("toks", "freqs"), F.lit(1), F.size("toks") - link.matches + 1)
+    prefix = lists.select("node", "n", "score", F.explode(first).alias("p"))
+    prefix = prefix.select("node", "n", "score", F.col("p.toks").alias("tok"), F.col("p.freqs").alias("freq"))
     # the hub of a list is the class that shares most with others
     lead = F.max_by(F.struct("node", "n"), F.struct("score", F.negate("node"))).alias("lead")
-    hubs = prefix.groupBy("tok").agg(F.count("*").alias("k"), lead).filter("k > 1").drop("k")
-    star = prefix.join(hubs, "tok").filter("node != lead.node").filter(_close(F.col("n"), F.col("lead.n"), link))
+    hubs = prefix.groupBy("tok").agg(F.max("freq").alias("freq"), F.count("*").alias("k"), lead).filter("k > 1").drop("k")
+    posted = scratch.save(_by_token(prefix, hubs, bound).select("node", "n", "tok", "freq", "lead"))
+    star = posted.filter("node != lead.node").filter(_close(F.col("n"), F.col("lead.n"), link))
     star = star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-    wanted = classes.select("node", "id", "f1", "f2").join(prefix.join(hubs, "tok", "left_semi").select("node").distinct(), "node", "left_semi")
+    wanted = classes.select("node", "id", "f1", "f2").join(posted.select("node").distinct(), "node", "left_semi")
     sets = scratch.save(_sets(docs, wanted, id_col, text_col))
     links = scratch.save(_confirm(star, lists, sets, link))
     roots = scratch.save(connected_components(links))
-    labelled = prefix.join(hubs.select("tok"), "tok").join(roots, "node", "left")
+    labelled = posted.select("node", "tok", "freq").join(roots, "node", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "node"))
-    apart = scratch.save(_apart(labelled, sets, link).join(star, ["a", "b"], "left_anti"))
+    apart = scratch.save(_apart(labelled, bound, sets, link, scratch).join(star, ["a", "b"], "left_anti"))
     more = scratch.save(_confirm(apart, lists, sets, link))
     if not more.isEmpty():
         roots = scratch.save(connected_components(links.union(more)))
@@ -235,24 +242,42 @@ def _close(a, b, link: Link):
     return F.least(a, b) * link.below >= F.greatest(a, b) * link.above
 
 
-def _apart(labelled: DataFrame, sets: DataFrame, link: Link) -> DataFrame:
+def _shared(posts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The postings of tokens that several nodes have, with their number ``freq``; and the number beyond which a token is heavy."""
+    common = scratch.save(posts.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1"))
+    bound = max(LIGHT, (common.agg(F.sum("freq")).first()[0] or 0) // HEAVY)
+    heavy = F.broadcast(common.filter(F.col("freq") > bound))
+    light = posts.join(heavy.select("tok"), "tok", "left_anti").join(common.filter(F.col("freq") <= bound), "tok")
+    return light.unionByName(posts.join(heavy, "tok")), bound
+
+
+def _by_token(posts: DataFrame, tokens: DataFrame, bound: int, how: str = "inner") -> DataFrame:
+    """Postings joined with a row a token; both sides have its ``freq``.  At most HEAVY rows travel."""
+    light, heavy = F.col("freq") <= bound, F.col("freq") > bound
+    found = posts.filter(light).join(tokens.filter(light).drop("freq"), "tok", how)
+    return found.unionByName(posts.filter(heavy).join(F.broadcast(tokens.filter(heavy).drop("freq")), "tok", how))
+
+
+def _apart(labelled: DataFrame, bound: int, sets: DataFrame, link: Link, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) in different components that share a posting list and may be linked: all those that are.
 
     Sets with Jaccard j or more share one of their |a| - o + 1 and |b| - o + 1 rarest shingles, o being the overlap that j
     asks of their sizes.  What an edited copy has in common with its many relatives are frequent shingles, so copies
     that are too far from each other do not even meet here.
     """
-    mixed = labelled.groupBy("tok").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r != s").select("tok")
-    members = labelled.join(mixed, "tok", "left_semi").select("node", "root").distinct()
-    posts = sets.join(members, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
-    common = posts.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1")
+    mixed = labelled.groupBy("tok").agg(F.max("freq").alias("freq"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r != s").select("tok", "freq")
+    members = _by_token(labelled, mixed, bound, "left_semi").select("node", "root").distinct()
+    held = scratch.save(sets.join(members, "node"))
+    posts = held.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
+    shared, bound = _shared(posts, scratch)
     by_node = Window.partitionBy("node")
-    ranked = posts.join(common, "tok").withColumn("own", F.count("*").over(by_node)).withColumn("rn", F.row_number().over(by_node.orderBy("freq", "tok")))
+    ranked = shared.withColumn("own", F.count("*").over(by_node)).withColumn("rn", F.row_number().over(by_node.orderBy("freq", "tok")))
     # place in the rarest-first order: shingles that the set has alone come before the shared ones
     ranked = ranked.withColumn("at", F.col("n") - F.col("own") + F.col("rn") - 1).filter(F.col("at") * link.below <= F.col("n") * (link.below - link.above))
-    per_root = ranked.groupBy("tok", "root").agg(F.count("*").alias("m"))
-    main = per_root.groupBy("tok").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).filter("roots > 1")
-    rest = ranked.join(main.select("tok", "main"), "tok").select("tok", "node", "n", "at", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    per_root = ranked.groupBy("tok", "root").agg(F.max("freq").alias("freq"), F.count("*").alias("m"))
+    main = per_root.groupBy("tok").agg(F.max("freq").alias("freq"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"))
+    main = main.filter("roots > 1").drop("roots")
+    rest = _by_token(ranked, main, bound).select("tok", "node", "n", "at", "root", (F.col("root") == F.col("main")).alias("in_main"))
     x = rest.filter("not in_main").select("tok", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "root")])
     y = rest.select("tok", "in_main", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "root")])
     overlap = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(link.above) / F.lit(link.above + link.below))

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from memlattice.llm import embedding_dedup as embedding_module, repeats
+from memlattice.llm import embedding_dedup as embedding_module, near_dedup as near_module, repeats
 from memlattice.llm.components import connected_components
 from memlattice.llm.embedding_dedup import embedding_dedup
 from memlattice.llm.exact_dedup import exact_dedup
@@ -60,8 +60,10 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_dedup_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "light"), [(1, 1000), (2, 1000), (1, 3), (2, 8)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, seed, light):
+    """With few postings that a light token may have, most joins by token take the way of the heavy ones."""
+    monkeypatch.setattr(near_module, "LIGHT", light)
     rows = corpus(seed) + [(900, None), (901, ""), (902, " \n"), (903, "a b c"), (904, "A\tb c"), (905, "one"), (906, "ünï " * 7000), (907, "ünï " * 7000 + "x")]
     sets = {i: shingles(t) for i, t in rows}
 
