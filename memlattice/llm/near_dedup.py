@@ -17,6 +17,7 @@ copies costs a row a member, and no link is lost.
 
 A token is heavy if it has more than a HEAVY-th of the shared postings, so there are at most HEAVY such tokens: what a join
 by token needs of them travels to the postings, which stay where they are, and only the others are shuffled by token.
+Pairs of members of one list are made in tiles of about TILE by TILE members, a task's share being tiles, not lists.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.llm.common import Scratch
@@ -43,6 +44,8 @@ CHUNK = 1 << 18
 SLICE = 512
 #: Heavy tokens at most, and the postings up to which a token is never one.
 HEAVY, LIGHT = 100_000, 1_000
+#: Members of a list on either side of a tile.
+TILE = 1_000
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -275,11 +278,11 @@ def _apart(labelled: DataFrame, bound: int, sets: DataFrame, link: Link, scratch
     # place in the rarest-first order: shingles that the set has alone come before the shared ones
     ranked = ranked.withColumn("at", F.col("n") - F.col("own") + F.col("rn") - 1).filter(F.col("at") * link.below <= F.col("n") * (link.below - link.above))
     per_root = ranked.groupBy("tok", "root").agg(F.max("freq").alias("freq"), F.count("*").alias("m"))
-    main = per_root.groupBy("tok").agg(F.max("freq").alias("freq"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"))
+    main = per_root.groupBy("tok").agg(F.max("freq").alias("freq"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main"), *_tiles("m"))
     main = main.filter("roots > 1").drop("roots")
-    rest = _by_token(ranked, main, bound).select("tok", "node", "n", "at", "root", (F.col("root") == F.col("main")).alias("in_main"))
-    x = rest.filter("not in_main").select("tok", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "root")])
-    y = rest.select("tok", "in_main", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "root")])
+    rest = _by_token(ranked, main, bound).withColumn("in_main", F.col("root") == F.col("main"))
+    x = rest.filter("not in_main").select("tok", _own("rows").alias("i"), _every("columns").alias("j"), *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "root")])
+    y = rest.select("tok", _every("rows").alias("i"), _own("columns").alias("j"), "in_main", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "root")])
     overlap = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(link.above) / F.lit(link.above + link.below))
     pair = (
         (F.col("root_x") != F.col("root_y"))
@@ -288,7 +291,20 @@ def _apart(labelled: DataFrame, bound: int, sets: DataFrame, link: Link, scratch
         & (F.col("at_x") + overlap <= F.col("n_x"))
         & (F.col("at_y") + overlap <= F.col("n_y"))
     )
-    return x.join(y, "tok").filter(pair).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    return x.join(y, ["tok", "i", "j"]).filter(pair).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _tiles(m: str) -> list[Column]:
+    """Rows and columns of tiles of a list with ``m`` members a root: rows are of members outside the largest root, columns of all."""
+    return [F.ceil(k / TILE).cast("int").alias(name) for k, name in ((F.sum(m) - F.max(m), "rows"), (F.sum(m), "columns"))]
+
+
+def _own(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
 
 def _confirm(pairs: DataFrame, lists: DataFrame, sets: DataFrame, link: Link) -> DataFrame:

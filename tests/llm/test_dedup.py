@@ -60,10 +60,11 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "light"), [(1, 1000), (2, 1000), (1, 3), (2, 8)])
-def test_near_dedup_equals_brute_force(spark, monkeypatch, seed, light):
-    """With few postings that a light token may have, most joins by token take the way of the heavy ones."""
+@pytest.mark.parametrize(("seed", "light", "tile"), [(1, 1000, 1000), (2, 1000, 2), (1, 3, 1), (2, 8, 1000)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, seed, light, tile):
+    """With few postings that a light token may have, most joins by token take the way of the heavy ones; small tiles cut every list."""
     monkeypatch.setattr(near_module, "LIGHT", light)
+    monkeypatch.setattr(near_module, "TILE", tile)
     rows = corpus(seed) + [(900, None), (901, ""), (902, " \n"), (903, "a b c"), (904, "A\tb c"), (905, "one"), (906, "ünï " * 7000), (907, "ünï " * 7000 + "x")]
     sets = {i: shingles(t) for i, t in rows}
 
