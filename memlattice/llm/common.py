@@ -94,3 +94,8 @@ def worker_state(key, make):
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def word_pattern_count(name: str):
+    """How many words of WORD a text has."""
+    return F.size(F.regexp_extract_all(F.col(name), F.lit(f"({WORD})"), F.lit(1))).cast("long")
