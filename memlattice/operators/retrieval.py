@@ -1,9 +1,9 @@
 """Full-text search, vector search, fusion and the recall pipelines built of them.
 
-A search scores every document in one pass over the text: only the query's own terms are kept of a
-document's term list, so nothing is shuffled but the one row of corpus statistics, and top-k is
-``TakeOrderedAndProject``.  Where many queries or a stored index are wanted, ``postings`` and ``score_postings`` do the
-same by a join on the term.
+A search reads and tokenises the text once: of a document's term list only the query's own terms and the length are kept, and these narrow
+rows are written down, since the corpus statistics and the scores both need them.  Nothing is shuffled but the one row of statistics, and top-k is
+``TakeOrderedAndProject``.  Where many queries are wanted, ``postings`` and ``score_postings`` do the same by a join on the term; ``chunk_index`` keeps
+the postings of notes on disk.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import scoring, text
+from memlattice.operators.chunk_index import FIELDS, ChunkIndex
 from memlattice.operators.ranking import first_wins, quota, top_of_each
 from memlattice.schemas import PUBLIC
+from memlattice.session import cut_lineage
 
 _CJK = re.compile("[一-鿿]+|[a-z0-9_]+")
 
@@ -45,17 +47,29 @@ def scope_filter(scope: str, column: str = "memory_scope") -> Column:
     return F.col(column).isin(*sorted({scope.strip(), PUBLIC}))
 
 
-def _score_columns(docs: DataFrame, id_col: str, fields: list[str], queries: list[str], keep: list[str]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
-    """The documents that hold a term of one of the queries (id, kept columns, what scoring needs), and for each query its score and
-    whether all its required terms are there.  The text is tokenised once for all queries."""
+def terms_of(queries: list[str]) -> list[str]:
+    """All terms of some queries, in order."""
     asked = [query_terms(q) for q in queries]
-    terms = list(dict.fromkeys(t for required, optional in asked for t in optional + required))
+    return list(dict.fromkeys(t for required, optional in asked for t in optional + required))
+
+
+def text_hits(docs: DataFrame, id_col: str, fields: list[str], terms: list[str], keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, kept columns, for each field the terms h that it holds and its length l) of every document, and the one row of corpus statistics.
+
+    The text is read and tokenised once: only these narrow rows are used from here on.
+    """
     wanted, n = F.array(*[F.lit(t) for t in terms]).cast("array<string>"), range(len(fields))
     rows = docs.select(F.col(id_col).alias("id"), *keep, *[text.index_tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
-    rows = rows.select("id", *keep, *[F.array_intersect(f"t{i}", wanted).alias(f"h{i}") for i in n], *[F.size(f"t{i}").alias(f"l{i}") for i in n])
+    rows = cut_lineage(rows.select("id", *keep, *[F.array_intersect(f"t{i}", wanted).alias(f"h{i}") for i in n], *[F.size(f"t{i}").alias(f"l{i}") for i in n]))
+    number = [(i, t) for i in n for t in terms]
+    counts = [F.count_if(F.array_contains(f"h{i}", t)).alias(f"n{k}") for k, (i, t) in enumerate(number)]
+    return rows, rows.agg(F.count("*").alias("n"), *[F.avg(f"l{i}").alias(f"avg{i}") for i in n], *counts)
+
+
+def _score_columns(rows: DataFrame, stats: DataFrame, queries: list[str], n_fields: int) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """The rows that hold a term beside the statistics, and for each query its score and whether all its required terms are there."""
+    asked, terms, n = [query_terms(q) for q in queries], terms_of(queries), range(n_fields)
     number = {(i, t): k for k, (i, t) in enumerate((i, t) for i in n for t in terms)}
-    counts = [F.count_if(F.array_contains(f"h{i}", t)).alias(f"n{k}") for (i, t), k in number.items()]
-    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"l{i}").alias(f"avg{i}") for i in n], *counts)
     joined = rows.filter(F.size(F.concat(*[F.col(f"h{i}") for i in n])) > 0).crossJoin(F.broadcast(stats))  # one row
     have = F.array_distinct(F.concat(*[F.col(f"h{i}") for i in n]))
     out = []
@@ -66,15 +80,15 @@ def _score_columns(docs: DataFrame, id_col: str, fields: list[str], queries: lis
     return joined, out
 
 
-def score_documents(docs: DataFrame, id_col: str, fields: list[str], query: str) -> DataFrame:
-    """(id, bm25_score, strict) of the documents that hold a term of the query."""
-    joined, [(score, strict)] = _score_columns(docs, id_col, fields, [query], [])
-    return joined.select("id", score.alias("bm25_score"), strict.alias("strict")).filter("bm25_score > 0")
+def score_documents(docs: DataFrame, id_col: str, fields: list[str], query: str, keep: list[str] = ()) -> DataFrame:
+    """(id, kept columns, bm25_score, strict) of the documents that hold a term of the query."""
+    joined, [(score, strict)] = _score_columns(*text_hits(docs, id_col, fields, terms_of([query]), list(keep)), [query], len(fields))
+    return joined.select("id", *keep, score.alias("bm25_score"), strict.alias("strict")).filter("bm25_score > 0")
 
 
-def score_many(docs: DataFrame, id_col: str, fields: list[str], queries: list[str], keep: list[str]) -> DataFrame:
-    """(id, kept columns, query, bm25_score, strict) of a few queries, in one pass over the text."""
-    joined, each = _score_columns(docs, id_col, fields, queries, keep)
+def score_many(rows: DataFrame, stats: DataFrame, queries: list[str], keep: list[str], n_fields: int) -> DataFrame:
+    """(id, kept columns, query, bm25_score, strict) of a few queries, from the hits of a text or of a stored index."""
+    joined, each = _score_columns(rows, stats, queries, n_fields)
     found = F.array(*[F.struct(F.lit(q).alias("query"), score.alias("bm25_score"), strict.alias("strict")) for q, (score, strict) in zip(queries, each, strict=True)])
     return joined.select("id", *keep, F.explode(found).alias("x")).select("id", *keep, "x.*").filter("bm25_score > 0")
 
@@ -324,10 +338,10 @@ def fetch_ceiling(term: str, n: int) -> int:
     return min(MOST_HITS, 8 * hits)
 
 
-def term_hits(rows: DataFrame, terms: list[str], n: int, per_file: int) -> DataFrame:
-    """(query, id, file_id, score) for each term by itself, in one pass: strict hits, then others, ``per_file`` of a file over both, up to the chunk
+def term_hits(rows: DataFrame, stats: DataFrame, terms: list[str], n: int, per_file: int) -> DataFrame:
+    """(query, id, file_id, score) for each term by itself, in one pass over the hits: strict ones, then others, ``per_file`` of a file over both, up to the chunk
     that makes it enough files, ``n`` chunks at most."""
-    scored = score_many(rows, "id", ["content", "source_file_path"], terms, ["file_id"])
+    scored = score_many(rows, stats, terms, ["file_id"], len(FIELDS))
     scored = scored.select("query", "id", "file_id", F.when(F.col("strict"), 0).otherwise(1).alias("stage"), F.col("bm25_score").alias("score"))
     ceilings = {t: fetch_ceiling(t, n) for t in terms}
     best = F.row_number().over(Window.partitionBy("query", "stage").orderBy(F.desc("score"), "id"))
@@ -342,16 +356,17 @@ def term_hits(rows: DataFrame, terms: list[str], n: int, per_file: int) -> DataF
     return ranked.filter((F.col("files") < max(n, LEAST_FILES)) & (F.col("place") <= n)).select("query", "id", "file_id", "score")
 
 
-def note_search(chunks: DataFrame, query: str, limit: int, per_file: int = 2, base: int = 50, scorer: Scorer | None = None) -> DataFrame:
+def note_search(chunks: DataFrame, query: str, limit: int, per_file: int = 2, base: int = 50, scorer: Scorer | None = None, index: ChunkIndex | None = None) -> DataFrame:
     """Chunks for a query of one or more terms: each term is searched, chunks with more terms first, then higher scores, ``per_file`` a file.
 
-    A scorer reranks what was found; if it fails the order stays.
+    With a stored index no chunk is tokenised; its postings must be those of ``chunks``.  A scorer reranks what was found; if it fails the order stays.
     """
     rows = chunks.withColumn("id", F.concat_ws("#", "file_id", "chunk_index"))
     parts = list(dict.fromkeys(p for p in re.split(r"\s*\|\s*|\s+", query.strip()) if p and query_terms(p)[1]))
     if not parts:
         return rows.withColumn("matched", F.lit(0)).withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    hits = term_hits(rows, parts, limit if len(parts) == 1 else max(3 * limit, base), per_file)
+    found = text_hits(rows, "id", list(FIELDS), terms_of(parts), ["file_id"]) if index is None else index.hits(terms_of(parts))
+    hits = term_hits(*found, parts, limit if len(parts) == 1 else max(3 * limit, base), per_file)
     best = hits.groupBy("id").agg(F.count_distinct("query").alias("matched"), F.max("score").alias("score"))
     found = rows.join(F.broadcast(best), "id")
     order = [F.desc("matched"), F.desc("score"), F.col("id")]

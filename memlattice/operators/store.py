@@ -129,16 +129,17 @@ def all_tag_names(dimension: DataFrame) -> DataFrame:
     return dimension.select(F.trim("name").alias("name")).filter("name != ''").distinct()
 
 
-def register_notes(registry: DataFrame, notes: DataFrame) -> DataFrame:
+def register_notes(registry: DataFrame, notes: DataFrame, first: int = 0) -> DataFrame:
     """The note registry after an upsert (source_id, source_file_path, heading, total_lines, updated_at).
 
-    A short id is taken over by source id, else by path, else comes after the highest; rows that the new ones displace go.
+    A short id is taken over by source id, else by path, else comes after the highest, from ``first`` on (so that numbers of deleted notes are
+    not given again); rows that the new ones displace go.
     """
     new = notes.withColumn("source_file_path", normal_path(F.col("source_file_path")))
     by_id = registry.select("source_id", F.col("note_short_id").alias("a"))
     by_path = registry.groupBy("source_file_path").agg(F.min("note_short_id").alias("b"))
     known = new.join(by_id, "source_id", "left").join(by_path, "source_file_path", "left").withColumn("note_short_id", F.coalesce("a", "b")).drop("a", "b")
-    top = registry.agg(F.coalesce(F.max("note_short_id"), F.lit(-1)).alias("top"))
+    top = registry.agg(F.greatest(F.max("note_short_id"), F.lit(first - 1)).alias("top"))
     fresh = number(known.filter("note_short_id is null").drop("note_short_id"), [F.col("source_file_path")], "n", 1)
     fresh = fresh.crossJoin(F.broadcast(top)).withColumn("note_short_id", F.col("top") + F.col("n")).drop("top", "n")
     all_new = known.filter("note_short_id is not null").unionByName(fresh)

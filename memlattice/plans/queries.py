@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from memlattice.functions import jsonscan, scoring, tags as T, text
 from memlattice.operators import browse, chat as C, lifecycle as L, notes as N, ranking as R, retrieval as V, simulate as S, store
+from memlattice.operators.chunk_index import ChunkIndex
 from memlattice.plans import views as W
 from memlattice.plans.views import NOW, sql
-from memlattice.session import share_path
+from memlattice.session import cut_lineage, share_path, shared_folder
 from memlattice.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,8 +82,7 @@ def bm25_only(spark, d):
 
 @register(f"{sql('mem')}, {_MT}, {bm25_sql('mt', 'id', _FIELDS, QUERY)} select s.id, round(bm25_score, 6) as bm25_score from scored s join mem using (id) where memory_scope in ('a', 'public') order by s.bm25_score desc, id limit 25")
 def bm25_recall(spark, d):
-    m = _mt(spark, d)
-    hits = V.score_documents(m, "id", _FIELDS, QUERY).join(m.filter(V.scope_filter("a")).select("id"), "id")
+    hits = V.score_documents(_mt(spark, d), "id", _FIELDS, QUERY, ["memory_scope"]).filter(V.scope_filter("a"))
     return hits.orderBy(F.desc("bm25_score"), "id").limit(25).select("id", r6("bm25_score"))
 
 
@@ -294,6 +295,26 @@ def note_search_reranked(spark, d):
     return V.note_search(_stored_chunks(spark, d), "the with", 10, scorer=length).select("id", "file_id", r6("score"))
 
 
+#: The notes after a sync: every fifth file is gone, every third of the others has new text.
+_EDITED = "try_cast(split_part(split_part(file_id, '/', 2), '.', 1) as int)"
+_SYNCED = _SC + f", synced as (select * replace (case when {_EDITED} % 3 = 0 then 'edited benchmark ' || content || ' und' else content end as content) from sc where {_EDITED} % 5 <> 0)"
+
+
+@register(note_sql(["the", "edited", "und"], 20).replace(_SC, _SYNCED).replace("from sc)", "from synced)").replace("join sc using", "join synced using") + " select id, file_id, matched, round(score, 6) as score from found order by matched desc, found.score desc, id limit 20")
+def note_index_search(spark, d):
+    """A search over the stored index after files were replaced and deleted, before and after its segments became one."""
+    chunks = _stored_chunks(spark, d)
+    number = F.element_at(F.split(F.element_at(F.split("file_id", "/"), 2), "\\."), 1).try_cast("int")
+    edited = chunks.filter((number % 3 == 0) & (number % 5 != 0)).withColumn("content", F.concat(F.lit("edited benchmark "), "content", F.lit(" und")))
+    gone = chunks.filter(number % 5 == 0).select("file_id")
+    first = ChunkIndex(spark, f"{shared_folder(spark)}/chunk-index-{uuid.uuid4().hex}").build(chunks)
+    index = first.replace(edited, gone).compact()
+    now = chunks.join(gone.distinct(), "file_id", "left_anti").join(edited.select("file_id").distinct(), "file_id", "left_anti").unionByName(edited)
+    found = cut_lineage(V.note_search(now, "the|edited|und", 20, index=index).select("id", "file_id", "matched", r6("score")))
+    index.remove()
+    return found
+
+
 @register(note_sql(["the", "with"], 50) + ", top as (select * from found order by matched desc, score desc, id limit 50), hits as (select top.*, row_number() over (order by matched desc, score desc, top.id) as rank from top join sc using (id) where contains(lower(content), 'the') or contains(lower(content), 'with')) select file_id as source_file_path, row_number() over (order by min(rank)) as place, string_agg(id, ',' order by rank) as chunk_ids from hits group by 1")
 def recall_tool_notes(spark, d):
     """Notes as the recall tool shows them: found, filtered by their content, grouped by file."""

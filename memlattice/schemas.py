@@ -21,6 +21,7 @@ NOTE_REGISTRY = _table(source_id=_S, note_short_id=_L, source_file_path=_S, head
 NOTE_CHUNK = _table(file_id=_S, source_file_path=_S, chunk_index=_I, line_start=_I, line_end=_I, content=_S)
 FILE_INDEX = _table(id=_L, relative_path=_S, file_timestamp=_L)
 VECTOR_ROW = _table(item_id=_S, vector_text=_S, embedding=ArrayType(FloatType()), dimension=_I, updated_at=_D)
+VECTORS = _table(item_id=_S, vector_text=_S, embedding=ArrayType(FloatType()))
 SESSION_REFERENCE = _table(session=_S, id=_S, memory_type=_S, priority=_I, added_at=_D, user_id=_S)
 CHAT_RECORD = _table(session=_S, seq=_L, role=_S, content=_S, sender_id=_S, sender_name=_S, ts=_D, is_processed=_B)
 MEMORY_ACTION = _table(
