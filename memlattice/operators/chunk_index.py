@@ -22,7 +22,7 @@ FIELDS = ("content", "source_file_path")
 BUCKETS = 64
 #: Segments from which on a commit compacts.
 MOST_SEGMENTS = 8
-POSTINGS = "term string, field int, file_id string, chunk_index int, length int, bucket int"
+POSTINGS = "term string, field int, file_id string, chunk_index long, length int, bucket int"
 FILES = "file_id string, chunks long, total0 long, total1 long"
 
 
@@ -33,7 +33,7 @@ def bucket_of(term, buckets: int = BUCKETS):
 def chunk_postings(chunks: DataFrame) -> DataFrame:
     """(file_id, chunk_index, field, length, terms) of chunks, a row a field; each chunk is tokenised once."""
     each = F.array(*[F.struct(F.lit(i).alias("field"), text.index_tokens(F.col(f)).alias("terms")) for i, f in enumerate(FIELDS)])
-    return chunks.select("file_id", "chunk_index", F.explode(each).alias("x")).select("file_id", "chunk_index", "x.field", F.size("x.terms").alias("length"), "x.terms")
+    return chunks.select("file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.explode(each).alias("x")).select("file_id", "chunk_index", "x.field", F.size("x.terms").alias("length"), "x.terms")
 
 
 class ChunkIndex:
@@ -73,7 +73,7 @@ class ChunkIndex:
         return self._with([*self.segments, self._write(chunks, deleted)])
 
     def delete(self, files: DataFrame) -> ChunkIndex:
-        return self.replace(self.spark.createDataFrame([], "file_id string, source_file_path string, chunk_index int, content string"), files)
+        return self.replace(self.spark.createDataFrame([], "file_id string, source_file_path string, chunk_index long, content string"), files)
 
     def compact(self) -> ChunkIndex:
         """The same index in one segment: living postings are copied, no text is read."""
