@@ -184,7 +184,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         groups.kept[r["l"]] = r["n"]
 
     pairs = _pairs(classes, numbered, groups, width)
-    ranked = _terms(terms, classes, groups, ranks)
+    ranked = _terms(scratch, terms, classes, groups, ranks)
     other = numbered.select(F.col("g").alias("item_g"), F.col("source").alias("item"))
     order = Window.partitionBy("g").orderBy(F.desc("value"), "item")
     pairs = pairs.join(other, pairs["t"] == other["item_g"]).select("g", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
@@ -208,7 +208,7 @@ def _pairs(classes: DataFrame, numbered: DataFrame, groups: Groups, width: int)
     return every.groupBy("g", F.col("item").alias("t")).agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
 
 
-def _terms(terms: DataFrame, classes: DataFrame, groups: Groups, ranks: int) -> DataFrame:
+def _terms(scratch: Scratch, terms: DataFrame, classes: DataFrame, groups: Groups, ranks: int) -> DataFrame:
     """(g, item, value, rank) of the first terms of every group."""
     total, lang_total = groups.total(), groups.lang_total()
 
@@ -227,7 +227,7 @@ def _terms(terms: DataFrame, classes: DataFrame, groups: Groups, ranks: int) ->
     key = ["l", "gs", "cs"]
     scored = classes.mapInPandas(score, "l int, gs array<int>, cs array<long>, g int, value long")
     best = _cut(scored, ["g"], [F.desc("value")], F.rank, ranks, F.xxhash64(*key))
-    best = best.select(*key, "g", "value")
+    best = scratch.save(best.select(*key, "g", "value"))
     firsts = _cut(terms.join(best.select(*key).distinct(), key, "left_semi"), key, ["term"], F.row_number, ranks, F.xxhash64("term"))
     found = firsts.select(*key, "term").join(best, key).select("g", F.col("term").cast("string").alias("item"), "value")
     return _cut(found, ["g"], [F.desc("value"), "item"], F.row_number, ranks, F.xxhash64("item"))
