@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions.text import first_heading, line_count
@@ -15,65 +12,76 @@ from memlattice.schemas import FILE_INDEX_VERSION
 MAX_CHUNK_CHARS = 220
 
 
-def chunk_lines(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """(first, last) line numbers, from 1, of the chunks of a note.
+#: Lines folded at a time: what a fold has found is copied at every step, so a long note is folded in slices.
+SLICE = 256
+#: Kinds of line, and what a chunk that is open consists of.
+_TEXT, _ROW, _CODE, _BARE, _BLANK, _NOTHING = 1, 2, 3, 4, 5, 0
+BLANK = r"^[\x09-\x0D\x1C-\x20\x85\p{Z}]*$"
+_SPANS = "array<struct<a:int,b:int>>"
+_STATE = f"struct<kind:int,at:int,size:int,spans:{_SPANS}>"
+_WHOLE = f"struct<kind:int,at:int,size:int,spans:array<{_SPANS}>>"
+
+
+def _line_kind(line: Column) -> Column:
+    fence = F.startswith(line, F.lit("```"))
+    bare = fence & F.substring(line, 4, 1 << 30).rlike(BLANK)
+    return F.when(bare, _BARE).when(fence, _CODE).when(F.startswith(line, F.lit("|")), _ROW).when(line.rlike(BLANK), _BLANK).otherwise(_TEXT)
+
+
+def _step(most: int):
+    """The state after a line (n from 1, kind, size): what chunk is open since which line, its size, and the spans that were closed.
 
     Fenced blocks (to the end if unclosed) and runs of table lines are chunks of their own; otherwise a blank line
     ends a chunk, and so does a line that would take it over ``most`` characters.
     """
-    n, i = len(lines), 0
-    open_at, size = None, 0
-    while i < n:
-        line = lines[i]
-        fence, row = line.startswith("```"), line.startswith("|")
-        stop = fence or row or not line.strip() or (open_at is not None and size + len(line) > most)
-        if stop and open_at is not None:
-            yield open_at + 1, i
-            open_at, size = None, 0
-        if fence:
-            j = i + 1
-            while j < n and not (lines[j].startswith("```") and not lines[j][3:].strip()):
-                j += 1
-            yield i + 1, min(j + 1, n)
-            i = j + 1
-        elif row:
-            j = i
-            while j < n and lines[j].startswith("|"):
-                j += 1
-            yield i + 1, j
-            i = j
-        else:
-            if line.strip():
-                open_at = i if open_at is None else open_at
-                size += len(line)
-            i += 1
-    if open_at is not None:
-        yield open_at + 1, n
-
-
-def chunk_text(content: str | None, path: str, most: int = MAX_CHUNK_CHARS) -> list[tuple[int, int, int, str]]:
-    """(chunk_index, line_start, line_end, content); the first begins with the path, as line 0."""
-    lines = (content or "").split("\n")
-    spans = [(a, b, "\n".join(lines[a - 1 : b])) for a, b in chunk_lines(lines, most)]
-    spans = [s for s in spans if s[2].strip()]
-    if not spans:
-        return [(1, 0, 0, path)]
-    out = [(k, a, b, t) for k, (a, b, t) in enumerate(spans, 1)]
-    _, _, end, text = out[0]
-    out[0] = (1, 0, end, f"{path}\n{text}")
-    return out
 
+    def after(s: Column, x: Column) -> Column:
+        kind, line = s["kind"], x["kind"]
+        coding, fence = kind == _CODE, line.isin(_CODE, _BARE)
+        goes_on = ((kind == _ROW) & (line == _ROW)) | ((kind == _TEXT) & (line == _TEXT) & (s["size"] + x["size"] <= most))
+        ends = F.when(coding, line == _BARE).otherwise((kind != _NOTHING) & ~goes_on)
+        last = F.when(coding, x["n"]).otherwise(x["n"] - 1)
+        spans = F.when(ends, F.concat(s["spans"], F.array(F.struct(s["at"].alias("a"), last.alias("b"))).cast(_SPANS))).otherwise(s["spans"])
+        stays = (coding & ~ends) | (~coding & goes_on)
+        begins = F.when(fence, _CODE).when(line == _BLANK, _NOTHING).otherwise(line)
+        new = F.when(stays, kind).when(coding, _NOTHING).otherwise(begins)
+        size = F.when(stays, s["size"] + x["size"]).otherwise(x["size"])
+        return F.struct(new.alias("kind"), F.when(stays, s["at"]).otherwise(x["n"]).alias("at"), size.alias("size"), spans.alias("spans")).cast(_STATE)
+
+    return after
 
-def chunk_notes(notes: DataFrame, most: int = MAX_CHUNK_CHARS) -> DataFrame:
-    """Chunks of notes (file_id, source_file_path, content): notes are independent, so nothing is shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(f, p, *c) for f, p, t in zip(b["file_id"], b["source_file_path"], b["content"]) for c in chunk_text(t, p or "", most)]
-            yield pd.DataFrame(rows, columns=["file_id", "source_file_path", "chunk_index", "line_start", "line_end", "content"])
+def chunk_spans(lines: Column, most: int = MAX_CHUNK_CHARS) -> Column:
+    """(a, b), first and last line from 1, of the chunks of a note, from its lines: a fold over slices, each a fold over its lines."""
+    n = F.size(lines)
+    facts = F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), _line_kind(line).alias("kind"), F.char_length(line).alias("size")))
+    slices = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SLICE).cast("int")), lambda k: F.slice(facts, k * SLICE + 1, SLICE))
+    nothing = F.struct(F.lit(_NOTHING).alias("kind"), F.lit(0).alias("at"), F.lit(0).alias("size"))
 
-    slim = notes.select("file_id", "source_file_path", "content")
-    return slim.mapInPandas(run, "file_id string, source_file_path string, chunk_index int, line_start int, line_end int, content string")
+    def over(s: Column, part: Column) -> Column:
+        start = F.struct(s["kind"].alias("kind"), s["at"].alias("at"), s["size"].alias("size"), F.array().cast(_SPANS).alias("spans")).cast(_STATE)
+        got = F.aggregate(part, start, _step(most))
+        # one more level of lambda, so that the slice is folded once and not once a field
+        return F.element_at(F.transform(F.array(got), lambda g: F.struct(g["kind"].alias("kind"), g["at"].alias("at"), g["size"].alias("size"), F.concat(s["spans"], F.array(g["spans"])).alias("spans")).cast(_WHOLE)), 1)
+
+    none = F.struct(nothing["kind"].alias("kind"), nothing["at"].alias("at"), nothing["size"].alias("size"), F.array().cast(f"array<{_SPANS}>").alias("spans")).cast(_WHOLE)
+    still = lambda s: F.filter(F.array(F.struct(s["at"].alias("a"), n.alias("b"))), lambda _: s["kind"] != _NOTHING).cast(_SPANS)
+    return F.aggregate(slices, none, over, lambda s: F.concat(F.flatten(s["spans"]), still(s)))
+
+
+def chunk_notes(notes: DataFrame, most: int = MAX_CHUNK_CHARS) -> DataFrame:
+    """Chunks of notes (file_id, source_file_path, content), in the JVM and inside the row of the note: nothing is shuffled.
+
+    The first chunk begins with the path, as line 0; a note without text is its path alone.
+    """
+    path = F.coalesce("source_file_path", F.lit(""))
+    rows = notes.select("file_id", "source_file_path", F.split(F.coalesce("content", F.lit("")), "\n", -1).alias("lines"))
+    rows = rows.select("file_id", "source_file_path", "lines", chunk_spans(F.col("lines"), most).alias("spans"))
+    body = lambda s: F.array_join(F.slice("lines", s["a"], s["b"] - s["a"] + 1), "\n")
+    chunk = lambda i, a, b, text: F.struct(i.cast("int").alias("chunk_index"), a.cast("int").alias("line_start"), b.cast("int").alias("line_end"), text.alias("content"))
+    each = F.transform("spans", lambda s, i: chunk(i + 1, F.when(i == 0, 0).otherwise(s["a"]), s["b"], F.when(i == 0, F.concat(path, F.lit("\n"), body(s))).otherwise(body(s))))
+    alone = F.array(chunk(F.lit(1), F.lit(0), F.lit(0), path))
+    return rows.select("file_id", "source_file_path", F.explode(F.when(F.size("spans") > 0, each).otherwise(alone)).alias("c")).select("file_id", "source_file_path", "c.*")
 
 
 def file_diff(index: DataFrame, disk: DataFrame) -> DataFrame:

@@ -595,14 +595,33 @@ def file_timestamps(spark, d):
     return N.bump_timestamps(W.file_index(spark, d), W.disk_files(spark, d))
 
 
-@register()
+#: Line states by gaps and islands: a bare fence swaps inside and outside, a fence with a name leads inside; text is then cut by a recursion over its pieces.
+_CHUNKED = (
+    "ln as (select file_id, source_file_path as path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from note), "
+    f"l1 as (select *, starts_with(line, '```') as fence, starts_with(line, '```') and regexp_matches(substr(line, 4), '{N.BLANK}') as bare, starts_with(line, '|') as tab, regexp_matches(line, '{N.BLANK}') as blank, length(line) as len from ln), "
+    "l2 as (select *, sum(bare::int) over (partition by file_id order by n) as bares from l1), "
+    "l3 as (select *, coalesce(bares - last_value(case when fence and not bare then bares end ignore nulls) over (partition by file_id order by n) + 1, bares) % 2 = 1 as inside from l2), "
+    "l4 as (select *, coalesce(lag(inside) over (partition by file_id order by n), false) as before from l3), "
+    "l5 as (select *, case when before or fence then 'code' when tab then 'row' when blank then 'none' else 'text' end as kind from l4), "
+    "l6 as (select *, case when kind = 'code' then not before else kind <> 'none' and kind is distinct from lag(kind) over (partition by file_id order by n) end as begins from l5), "
+    "l7 as (select *, sum(begins::int) over (partition by file_id order by n) as g from l6), "
+    "l8 as (select *, sum(len) over (partition by file_id, g order by n) as upto from l7 where kind <> 'none'), "
+    f"cut as (select file_id, g, n, upto - len as off from l8 where begins union all select c.file_id, c.g, x.n, x.upto - x.len from cut c, lateral (select n, upto, len from l8 t where t.file_id = c.file_id and t.g = c.g and t.kind = 'text' and t.n > c.n and t.upto - c.off > {N.MAX_CHUNK_CHARS} order by n limit 1) x), "
+    "piece as (select l8.file_id, path, l8.n, line, (select max(c.n) from cut c where c.file_id = l8.file_id and c.g = l8.g and c.n <= l8.n) as a from l8), "
+    "span as (select file_id, any_value(path) as path, a, max(n) as b, string_agg(line, chr(10) order by n) as body, row_number() over (partition by file_id order by a) as k from piece group by file_id, a), "
+    "chunk as (select file_id, path as source_file_path, k::int as chunk_index, (case when k = 1 then 0 else a end)::int as line_start, b::int as line_end, case when k = 1 then path || chr(10) || body else body end as content from span "
+    "union all select file_id, source_file_path, 1, 0, 0, source_file_path from note where file_id not in (select file_id from span))"
+)
+
+
+@register(f"{sql('note').replace('with ', 'with recursive ', 1)}, {_CHUNKED} select file_id, source_file_path, chunk_index, line_start, line_end, content from chunk")
 def chunk_documents(spark, d):
     return _chunks(spark, d)
 
 
-@register(f"{sql('note')} select count(*)::bigint as total_files from note")
+@register(f"{sql('note').replace('with ', 'with recursive ', 1)}, {_CHUNKED} select count(*)::bigint as total_chunks, count(distinct file_id)::bigint as total_files from chunk")
 def chunk_stats(spark, d):
-    return N.chunk_stats(_chunks(spark, d)).select("total_files")
+    return N.chunk_stats(_chunks(spark, d))
 
 
 _LINES = "lines as (select file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from note)"

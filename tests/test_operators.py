@@ -133,13 +133,61 @@ def test_judgment_upsert(spark):
     assert got == {"j1": ("o2", "updated"), "j2": ("o3", "skipped"), "j3": ("n4", "inserted"), "j9": ("o9", "kept")}
 
 
-def chunk(t, most=220):
-    return [(a, b) for _, a, b, _ in N.chunk_text(t, "p.md", most)]
-
-
-def test_chunker(spark):
-    assert N.chunk_text("", "p.md") == [(1, 0, 0, "p.md")] == N.chunk_text(" \n ", "p.md")
-    assert N.chunk_text("Hello world", "p.md") == [(1, 0, 1, "p.md\nHello world")]
+def line_loop(content, most):
+    """The chunks of a note, line by line."""
+    lines, spans, kind, at, size = content.split("\n"), [], None, 0, 0
+    for n, line in enumerate(lines, 1):
+        fence, row, blank = line.startswith("```"), line.startswith("|"), not line.strip()
+        if kind == "code":
+            if fence and not line[3:].strip():
+                spans.append((at, n))
+                kind = None
+            continue
+        if (kind == "row" and row) or (kind == "text" and not (fence or row or blank) and size + len(line) <= most):
+            size += len(line)
+            continue
+        if kind:
+            spans.append((at, n - 1))
+        kind, at, size = "code" if fence else "row" if row else None if blank else "text", n, len(line)
+    if kind:
+        spans.append((at, len(lines)))
+    return spans
+
+
+@pytest.mark.parametrize("length,most", [(4, 220), (3, 2)])
+def test_chunker_against_a_line_loop(spark, monkeypatch, length, most):
+    import random
+
+    monkeypatch.setattr(N, "SLICE", length)
+    rng = random.Random(length)
+    kinds = ["text", "文字 text", "", " \t", "\u3000", "```", "```py", "``` ", "|a|", "| ", "x" * 300]
+    notes = [(str(k), None if k % 7 == 0 else "p.md", "\n".join(rng.choice(kinds) for _ in range(rng.randrange(0, 25)))) for k in range(200)]
+    notes.append(("long", "p.md", "\n".join(["line"] * 3000)))
+    got = {}
+    for r in N.chunk_notes(spark.createDataFrame(notes, "file_id string, source_file_path string, content string"), most).collect():
+        got.setdefault(r.file_id, []).append((r.chunk_index, r.line_start, r.line_end, r.content))
+    for i, path, content in notes:
+        lines, path = content.split("\n"), path or ""
+        want = [(k, a, b, "\n".join(lines[a - 1 : b])) for k, (a, b) in enumerate(line_loop(content, most), 1)]
+        want = [(1, 0, want[0][2], f"{path}\n{want[0][3]}"), *want[1:]] if want else [(1, 0, 0, path)]
+        assert sorted(got[i]) == want, i
+
+
+@pytest.fixture
+def chunker(spark):
+    def run(t, path="p.md", most=220):
+        rows = N.chunk_notes(spark.createDataFrame([("f", path, t)], "file_id string, source_file_path string, content string"), most).collect()
+        return sorted((r.chunk_index, r.line_start, r.line_end, r.content) for r in rows)
+
+    return run
+
+
+def test_chunker(spark, chunker):
+    def chunk(t, most=220):
+        return [(a, b) for _, a, b, _ in chunker(t, most=most)]
+
+    assert chunker("") == [(1, 0, 0, "p.md")] == chunker(" \n ") == chunker(None)
+    assert chunker("Hello world") == [(1, 0, 1, "p.md\nHello world")]
     assert chunk("a\n\nb\n\nc") == [(0, 1), (3, 3), (5, 5)]
     assert chunk("1\n2\n3\n\n4\n5") == [(0, 3), (5, 6)]
     assert chunk("intro\n\n```py\nx = 1\n\n```\nout") == [(0, 1), (3, 6), (7, 7)]
