@@ -31,8 +31,9 @@ def _grams(part: Column, n: int) -> Column:
 def index_tokens(text: Column) -> Column:
     """Distinct index terms in order of appearance: words of letters, digits and ``_`` whole, CJK runs as 1- and 2-grams."""
     each = F.transform(_parts(text), lambda p: F.when(p.rlike(_CJK), F.concat(_grams(p, 1), _grams(p, 2))).otherwise(F.array(p)))
-    # a text without CJK has no runs to cut
-    return F.array_distinct(F.when(F.coalesce(text, F.lit("")).rlike("[一-鿿]"), F.flatten(each)).otherwise(_parts(text)))
+    # without CJK there are no runs to cut, without full-width forms nothing to narrow, and quotes are in no term
+    plain = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+    return F.array_distinct(F.when(text.isNull(), F.array().cast("array<string>")).when(text.rlike("[一-鿿！-～]"), F.flatten(each)).otherwise(plain))
 
 
 def required_terms(text: Column) -> Column:
