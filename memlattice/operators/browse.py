@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from memlattice.functions import tags as T
 from memlattice.functions.text import like_pattern
+from memlattice.operators.chat import users
 from memlattice.operators.ranking import quota
 from memlattice.operators.retrieval import scope_filter
+from memlattice.schemas import PUBLIC
 
 
 def keyword_filter(memories: DataFrame, keyword: str) -> DataFrame:
@@ -56,6 +58,21 @@ def profile_recall(memories: DataFrame, users: list[str], scope: str, most: int
     return quota(found, ["user_id"], order, most).orderBy(*order)
 
 
+def session_profiles(turns: DataFrame, memories: DataFrame, scope: str = PUBLIC, most: int = 30) -> DataFrame:
+    """(session, sender_id, latest_name and the profile entries) of the users who spoke in each session: ``most`` a user, active and recent ones first.
+
+    Entries are cut to ``most`` a user before they meet the sessions.
+    """
+    found = profiles(memories.filter(scope_filter(scope)))
+    best = quota(found, ["user_id"], [F.desc("is_active"), F.desc("updated_at"), F.col("id")], most)
+    return users(turns).join(best, F.col("sender_id") == F.col("user_id")).drop("first_seq")
+
+
+def profile_detail(memories: DataFrame, user: str) -> DataFrame:
+    """All profile entries of one user, by attribute, active and recent ones first."""
+    return profiles(memories).filter(F.col("user_id") == user).orderBy("attribute", F.desc("is_active"), F.desc("updated_at"), "id")
+
+
 def tag_pair_memories(dimension: DataFrame, bridge: DataFrame) -> DataFrame:
     """Ids of memories with a user-id tag and an attribute tag: two semi joins, so nothing multiplies."""
     user = dimension.filter(T.is_user_id(F.col("name"))).select(F.col("id").alias("tag_id"))

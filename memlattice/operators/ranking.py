@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,28 @@ def capacity_evict(state: DataFrame, capacity: dict[str, int], default: int) ->
     return state.withColumn("__rn", rn).filter(F.col("__rn") <= cap).drop("__rn")
 
 
+class Knowledge(NamedTuple):
+    """Capacities of one type of reference: about no user, and about users, who share theirs equally (0: as many as there are)."""
+
+    kind: str
+    regular: int
+    shared: int
+
+
+def knowledge_capacity(state: DataFrame, knowledge: Knowledge) -> DataFrame:
+    """References that stay when one type is split: those about no user up to a capacity by highest (priority, added_at), those about a user up to the user's
+    equal share of another capacity by highest priority, the earliest added first.  Other types stay."""
+    of_user = (F.col("memory_type") == knowledge.kind) & (F.coalesce("user_id", F.lit("")) != "")
+    rows = state.withColumn("__own", F.when(of_user, 2).when(F.col("memory_type") == knowledge.kind, 1).otherwise(0))
+    by_user = Window.partitionBy("session", "__own", "user_id").orderBy(F.desc("priority"), "added_at", "id")
+    regular = Window.partitionBy("session", "__own").orderBy(F.desc("priority"), F.desc("added_at"), F.desc("id"))
+    users = rows.filter("__own = 2").groupBy("session").agg(F.count_distinct("user_id").alias("__users"))
+    ranked = rows.withColumn("__u", F.row_number().over(by_user)).withColumn("__r", F.row_number().over(regular)).join(users, "session", "left")
+    share = F.lit(True) if knowledge.shared <= 0 else F.col("__u") <= F.floor(F.lit(knowledge.shared) / F.col("__users"))
+    stays = F.when(F.col("__own") == 2, share).when(F.col("__own") == 1, F.col("__r") <= knowledge.regular).otherwise(True)
+    return ranked.filter(stays).select(*state.columns)
+
+
 def shared_capacity(state: DataFrame, total: int) -> DataFrame:
     """User profiles that stay: every user of a session has an equal whole share (one at least) of ``total``."""
     order = [F.desc("priority"), F.desc("added_at"), F.desc("id")]

@@ -724,6 +724,36 @@ def shared_capacity(spark, d):
     return R.shared_capacity(_state(spark, d), 14).select("session", "id", "user_id")
 
 
+@register(
+    f"with {_ST}, o as (select * replace (case when event_id % 3 = 0 then '' else user_id end as user_id) from (select st.*, st.id::bigint as event_id from st)), n as (select session, count(distinct user_id) as n from o where memory_type = 'click' and user_id <> '' group by 1), "
+    "r as (select o.*, n, row_number() over (partition by session, memory_type, user_id = '' order by priority desc, added_at desc, id desc) as own, row_number() over (partition by session, memory_type, user_id order by priority desc, added_at, id) as mine from o left join n using (session)) "
+    "select session, id, memory_type, user_id from r where case when memory_type <> 'click' then true when user_id = '' then own <= 4 else mine <= 10 // n end"
+)
+def knowledge_capacity(spark, d):
+    """One type split into references about no user and about users, who share a capacity."""
+    s = _state(spark, d).withColumn("user_id", F.when(F.col("id").cast("long") % 3 == 0, "").otherwise(F.col("user_id")))
+    return R.knowledge_capacity(s, R.Knowledge("click", 4, 10)).select("session", "id", "memory_type", "user_id")
+
+
+_SPEAKERS = "case when sender_id <> '' then lpad(cast(cast(sender_id as int) - 99999 as {}), 9, '0') else '' end"
+
+
+@register(
+    f"{sql('prof', 'chat')}, {_PV}, r as (select *, row_number() over (partition by user_id order by is_active desc, updated_at desc, id) as rn from pv where memory_scope in ('a', 'public')), "
+    f"u as (select session, s as user_id, coalesce(arg_max(sender_name, seq) filter (trim(coalesce(sender_name, '')) <> ''), '') as latest_name from (select *, {_SPEAKERS.format('varchar')} as s from chat) where role = 'user' and s <> '' group by 1, 2) "
+    "select session, user_id, latest_name, id, attribute from u join r using (user_id) where rn <= 5"
+)
+def session_profiles(spark, d):
+    """The profiles of the users who speak in every session."""
+    turns = W.chat(spark, d).withColumn("sender_id", F.expr(_SPEAKERS.format("string")))
+    return browse.session_profiles(turns, W.profile_memories(spark, d), "a", 5).select("session", "user_id", "latest_name", "id", "attribute")
+
+
+@register(f"{sql('prof')}, {_PV} select id, attribute, is_active from pv where user_id = '000000010'")
+def profile_detail(spark, d):
+    return browse.profile_detail(W.profile_memories(spark, d), "000000010").select("id", "attribute", "is_active")
+
+
 @register(f"with {_ST}, c as (select *, case memory_type when 'click' then 300 else 500 end as capacity from st) select memory_type, count(*) as current, capacity, round(count(*) / capacity, 4) as usage, count(*) filter (priority >= 5) as high, count(*) filter (priority < 5) as low from c group by memory_type, capacity")
 def session_stats(spark, d):
     return browse.session_stats(_state(spark, d), {"click": 300}, 500)

@@ -1,108 +1,175 @@
 """Keyed streaming state: reflection buffers, session caches and soul states.
 
-Each is ``groupBy(key).applyInPandasWithState``: state lives in the state store beside the shuffle partition of
-its key, is checkpointed with the stream, and times out by processing time.  The folds are plain functions of
-(state, ordered events), so that batch tests and the streams run the same code.
+Reflection buffers and session caches are ``transformWithState`` operators: what a session holds is one row of state a turn or a reference,
+so a trigger reads and writes the rows that it touches and not the whole buffer, and idle sessions wake by timers.  Their state needs the RocksDB
+provider (``keep_state_in_rocksdb``).  State lives in the state store beside the shuffle partition of its key and is checkpointed with the stream.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from memlattice.functions.scoring import ENERGY_LIMIT, REFLECT, RESONATE, SOUL
 from memlattice.operators.chat import IDLE_SECONDS, TURNS
+from memlattice.operators.ranking import Knowledge
 
 BATCHES = "session string, batch_no long, trigger string, seqs string, n int"
+REFERENCES = "session string, id string, memory_type string, priority int, added_at double, user_id string"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Reflection(StatefulProcessor):
+    """Turns of a session until they are a batch, and batches until they are acknowledged."""
+
+    def __init__(self, most: int, idle: float):
+        self.most, self.idle = most, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # a turn is a row, by what orders turns; those of a batch that failed come before all others by a lower round
+        self.turns = handle.getMapState("turns", "round long, ts double, seq long", "held boolean")
+        self.flying = handle.getMapState("flying", "batch_no long", "rounds array<long>, ts array<double>, seq array<long>")
+        self.numbers = handle.getValueState("numbers", "held long, batch_no long, lowest long, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, no, lowest, timer = self.numbers.get() or (0, 0, 0, -1)
+        new, acks = [], []
+        for f in rows:
+            for r in f.itertuples(index=False):
+                if pd.notna(r.ack):
+                    acks.append((int(r.ack), bool(r.ok)))
+                else:
+                    new.append((0, float(r.ts), int(r.seq)))
+        for ack, ok in acks:
+            if self.flying.containsKey((ack,)):
+                rounds, ts, seq = self.flying.getValue((ack,))
+                self.flying.removeKey((ack,))
+                if not ok:
+                    lowest -= 1
+                    for t, q in zip(ts, seq, strict=True):
+                        self.turns.updateValue((lowest, float(t), int(q)), (True,))
+                    held += len(ts)
+        out = []
+        for turn in sorted(set(new)):
+            if not self.turns.containsKey(turn):
+                self.turns.updateValue(turn, (True,))
+                held += 1
+                if held >= self.most:
+                    no, held = self._release(key, "count", no, held, out)
+        while held >= self.most:
+            no, held = self._release(key, "count", no, held, out)
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000) if held else -1
+        if timer >= 0:
+            self.handle.registerTimer(timer)
+        self.numbers.update((held, no, lowest, timer))
+        yield _batches(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, no, lowest, _ = self.numbers.get() or (0, 0, 0, -1)
+        out = []
+        while held:
+            no, held = self._release(key, "idle", no, held, out)
+        self.numbers.update((held, no, lowest, -1))
+        yield _batches(out)
 
+    def _release(self, key: tuple, trigger: str, no: int, held: int, out: list) -> tuple[int, int]:
+        batch = sorted(tuple(k) for k in self.turns.keys())[: self.most]  # as many as a buffer holds
+        for turn in batch:
+            self.turns.removeKey(turn)
+        self.flying.updateValue((no + 1,), ([t[0] for t in batch], [t[1] for t in batch], [t[2] for t in batch]))
+        out.append((key[0], no + 1, trigger, ",".join(str(t[2]) for t in batch), len(batch)))
+        return no + 1, held - len(batch)
 
-def take_turns(held: list, turns: list, most: int) -> tuple[list, list]:
-    """Adds turns (seq, ts) to the buffer; returns it and the batches that are full.  A turn that is held already is not added again."""
-    full = []
-    for t in sorted(map(tuple, turns), key=lambda t: (t[1], t[0])):
-        if t in held:
-            continue
-        held = [*held, t]
-        if len(held) == most:
-            full.append(held)
-            held = []
-    return held, full
+    def close(self) -> None:
+        pass
+
+
+def _batches(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["session", "batch_no", "trigger", "seqs", "n"])
 
 
 def reflection_stream(turns: DataFrame, most: int = TURNS, idle: float = IDLE_SECONDS) -> DataFrame:
     """Batches to reflect on, from a stream of (session, seq, ts) and acknowledgements (session, ack long, ok boolean).
 
-    A batch is released when ``most`` turns are in, or when nothing came for ``idle`` seconds.  It stays in the state
-    until an acknowledgement arrives: ok drops it, a failure puts its turns back at the head of the buffer.
+    A batch is released when ``most`` turns are in, or when nothing came for ``idle`` seconds.  A turn that is held already is not added again.  A batch stays in
+    the state until an acknowledgement arrives: ok drops it, a failure puts its turns back at the head of the buffer.
     """
+    return turns.groupBy("session").transformWithStateInPandas(Reflection(most, idle), StructType.fromDDL(BATCHES), "Append", "ProcessingTime")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, flying, no = state.get if state.exists else ("[]", "{}", 0)
-        held, flying = [tuple(t) for t in json.loads(held)], {int(k): [tuple(t) for t in v] for k, v in json.loads(flying).items()}
-        out = []
 
-        def release(batch: list, trigger: str) -> None:
-            nonlocal no
-            no += 1
-            flying[no] = batch
-            out.append((key[0], no, trigger, ",".join(str(int(t[0])) for t in batch), len(batch)))
-
-        if state.hasTimedOut:
-            if held:
-                release(held, "idle")
-                held = []
-        else:
-            turns_in = []
-            for f in frames:
-                for r in f.itertuples(index=False):
-                    if pd.notna(r.ack):
-                        back = flying.pop(int(r.ack), [])
-                        held = held if r.ok else back + held
-                    else:
-                        turns_in.append((int(r.seq), float(r.ts)))
-            held, full = take_turns(held, turns_in, most)
-            for batch in full:
-                release(batch, "count")
-        state.update((json.dumps(held), json.dumps(flying), no))
-        if held:
-            state.setTimeoutDuration(int(idle * 1000))
-        if out:
-            yield pd.DataFrame(out, columns=["session", "batch_no", "trigger", "seqs", "n"])
-
-    return turns.groupBy("session").applyInPandasWithState(run, BATCHES, "held string, flying string, no long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def keep_best(held: list, new: list, capacity: dict[str, int], default: int) -> list:
-    """References (id, type, priority, added_at, user_id) after new ones came: newest of an id, then the highest (priority, added_at) of a type."""
-    latest = {}
-    for r in [*held, *new]:
-        if r[0] not in latest or r[3] >= latest[r[0]][3]:
-            latest[r[0]] = tuple(r)
-    kept, used = [], {}
-    for r in sorted(latest.values(), key=lambda r: (r[2], r[3], r[0]), reverse=True):
+class Cache(StatefulProcessor):
+    """References of a session, a row of state each."""
+
+    def __init__(self, capacity: dict[str, int], default: int, knowledge: Knowledge | None):
+        self.capacity, self.default, self.knowledge = capacity, default, knowledge
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", "id string", "memory_type string, priority int, added_at double, user_id string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for f in rows:
+            for r in f.itertuples(index=False):
+                at = float(r.added_at)
+                if not self.held.containsKey((r.id,)) or at >= self.held.getValue((r.id,))[2]:
+                    self.held.updateValue((r.id,), (r.memory_type, int(r.priority), at, r.user_id))
+        every = [(k[0], *v) for k, v in self.held.iterator()]  # as many as the capacities, and what came
+        kept = keep_best(every, self.capacity, self.default, self.knowledge)
+        for gone in {r[0] for r in every} - {r[0] for r in kept}:
+            self.held.removeKey((gone,))
+        yield pd.DataFrame([(key[0], *r) for r in kept], columns=["session", "id", "memory_type", "priority", "added_at", "user_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def keep_best(held: list, capacity: dict[str, int], default: int, knowledge: Knowledge | None = None) -> list:
+    """Of references (id, type, priority, added_at, user_id) the highest (priority, added_at) of each type.
+
+    With ``knowledge`` references of its type are of two kinds: those about no user have a capacity of their own, those about a user share
+    another one equally, so the shares of all users shrink when one joins.
+    """
+    kept, used, shared = [], {}, {}
+    for r in sorted(held, key=lambda r: (r[2], r[3], r[0]), reverse=True):
+        if knowledge is not None and r[1] == knowledge.kind and r[4]:
+            shared.setdefault(r[4], []).append(r)
+            continue
         used[r[1]] = used.get(r[1], 0) + 1
-        if used[r[1]] <= capacity.get(r[1], default):
+        if used[r[1]] <= (knowledge.regular if knowledge is not None and r[1] == knowledge.kind else capacity.get(r[1], default)):
             kept.append(r)
+    for mine in shared.values():
+        mine.sort(key=lambda r: (-r[2], r[3], r[0]))
+        kept += mine if knowledge.shared <= 0 else mine[: knowledge.shared // len(shared)]
     return kept
 
 
-def session_cache_stream(references: DataFrame, capacity: dict[str, int], default: int) -> DataFrame:
-    """After each trigger the whole cache of every session that changed, from a stream of references."""
-    schema = "session string, id string, memory_type string, priority int, added_at double, user_id string"
+def session_cache_stream(references: DataFrame, capacity: dict[str, int], default: int, knowledge: Knowledge | None = None) -> DataFrame:
+    """After each trigger the whole cache of every session that changed, from a stream of references.  Of an id the newest reference counts."""
+    return references.groupBy("session").transformWithStateInPandas(Cache(capacity, default, knowledge), StructType.fromDDL(REFERENCES), "Append", "None")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in json.loads(state.get[0])] if state.exists else []
-        new = [(r.id, r.memory_type, int(r.priority), float(r.added_at), r.user_id) for f in frames for r in f.itertuples(index=False)]
-        held = keep_best(held, new, capacity, default)
-        state.update((json.dumps(held),))
-        yield pd.DataFrame([(key[0], *r) for r in held], columns=["session", "id", "memory_type", "priority", "added_at", "user_id"])
 
-    return references.groupBy("session").applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+def profile_refresh_stream(turns: DataFrame, profiles, refresh, **trigger):
+    """A stream of chat turns (CHAT_RECORD) that gives, for every batch, the profiles of the users who spoke in each session, as the store is then.
+
+    ``profiles()`` reads the current profile memories and ``refresh(batch_no, rows)`` takes (session, user_id, memory columns); a session in which no user spoke has
+    no rows.  The profiles are read anew with each batch and met in a join, so a change between two batches is seen by the second.
+    """
+    from memlattice.operators.browse import session_profiles
+
+    run = lambda batch, no: refresh(no, session_profiles(batch, profiles()))
+    return turns.writeStream.foreachBatch(run).trigger(**(trigger or {"availableNow": True}))
 
 
 def hydrate(cache: DataFrame, memories: DataFrame) -> DataFrame:
