@@ -24,7 +24,11 @@ def feed(spark, tmp_path, name, batches, schema, build):
     q = build(stream).writeStream.foreachBatch(lambda df, i: out.extend((i, r) for r in df.collect())).outputMode("append")
     q = q.option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
     try:  # a stream with timers has no end of its own
-        q.processAllAvailable()
+        for _ in range(240):
+            if q.exception() is not None or sum(p["numInputRows"] for p in q.recentProgress) >= sum(map(len, batches)):
+                break
+            time.sleep(0.25)
+        assert q.exception() is None
     finally:
         q.stop()
     return out
