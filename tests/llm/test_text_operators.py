@@ -15,20 +15,80 @@ from memlattice.llm import class_lm, html_extract, language_id, mixing, pii
 
 def test_cross_parsing():
     a = language_id.suffix_automaton("abcabd")
-    assert language_id.phrases(a, "abcabd") == 1 and language_id.phrases(a, "abdabc") == 2
-    assert language_id.phrases(a, "xxab") == 3 and language_id.phrases(a, "") == 0
+    assert language_id.phrases(a, "abcabd") == (1, 0) and language_id.phrases(a, "abdabc") == (2, 0)
+    assert language_id.phrases(a, "xxab") == (1, 2) and language_id.phrases(a, "") == (0, 0)
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(400))
     auto = language_id.suffix_automaton(text)
     for _ in range(300):
         probe = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40)))
-        count, i = 0, 0
-        while i < len(probe):
-            j = i + 1
-            while j < len(probe) and probe[i : j + 1] in text:
-                j += 1
-            count, i = count + 1, j
-        assert language_id.phrases(auto, probe) == count
+        assert language_id.phrases(auto, probe) == cut_greedily(probe, text)
+
+
+def cut_greedily(probe, text):
+    count, unseen, i = 0, 0, 0
+    while i < len(probe):
+        j = i + 1
+        while j < len(probe) and probe[i : j + 1] in text:
+            j += 1
+        count, unseen, i = count + (probe[i] in text), unseen + (probe[i] not in text), j
+    return count, unseen
+
+
+def told(text, samples):
+    """The language by plain substring search."""
+    text = language_id.fold(text)
+    rate = {}
+    for k, sample in sorted(samples.items()):
+        count, unseen = cut_greedily(text, sample)
+        rate[k] = (count * math.log2(len(sample) + 2) + unseen * language_id.UNSEEN) / len(text)
+    return min(rate, key=rate.get)
+
+
+def labelled_rows(seed, n=40, kinds=("xx", "yy", "zz")):
+    rng = random.Random(seed)
+    syllables = {"xx": ["the", "ing", "er", "an"], "yy": ["eau", "que", "lle", "oi"], "zz": ["sch", "ung", "ein", "ver"]}
+    say = lambda k: " ".join("".join(rng.choice(syllables[k]) for _ in range(3)) for _ in range(30))
+    return [(i, say(k), k) for i, k in enumerate(list(kinds) * n)]
+
+
+LABELLED = "doc_id long, text string, lang string"
+
+
+def test_tiny_samples_do_not_win(spark):
+    rows = labelled_rows(4)
+    docs = spark.createDataFrame(rows, LABELLED)
+    told_by = lambda train: {r.doc_id: r.lang_pred for r in language_id.identify_language(docs, labelled=train).collect()}
+    before = told_by(docs)
+    for tiny in ("ok", "the", "Der Hund ist da xyz.", "a b c d e f g h i j k l m n o p q r s t u v w x y z"):
+        assert told_by(docs.union(spark.createDataFrame([(10**6, tiny, "tiny")], LABELLED))) == before == {i: k for i, _, k in rows}
+
+
+def test_ids_do_not_matter_for_what_is_learned(spark):
+    rows = labelled_rows(5)
+    want = language_id.sample(spark.createDataFrame(rows, LABELLED), "text", "lang")
+    assert language_id.sample(spark.createDataFrame([(None, t, k) for _, t, k in rows], LABELLED), "text", "lang") == want
+    copies = [(i % 3, t, k) for i, t, k in rows] + [(7, rows[0][1], "xx")] * 3000  # more rows than are ranked, nearly all the same
+    assert language_id.sample(spark.createDataFrame(copies, LABELLED), "text", "lang") == want
+
+
+def test_predictions_against_substring_search(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CHARS_PER_LANGUAGE", 900)
+    rows = labelled_rows(6, 12)
+    rng = random.Random(6)
+    mixed = [(1000 + k, "".join(rng.choice([w, w.upper(), f"{w}, 7!"]) + " " for w in " ".join(t for _, t, _ in rng.sample(rows, 2)).split()), None) for k in range(30)]
+    samples = language_id.sample(spark.createDataFrame(rows, LABELLED), "text", "lang")
+    assert all(0 < len(v) <= 900 for v in samples.values())
+    got = language_id.identify_language(spark.createDataFrame(rows + mixed, LABELLED), labelled=spark.createDataFrame(rows, LABELLED)).collect()
+    assert [r.lang_pred for r in got] == [told(r.text, samples) for r in got]
+
+
+def test_room_is_filled_with_longer_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CHARS_PER_LANGUAGE", 6000)
+    rows = [(0, "kurz", "de"), *[(i, f"lang{chr(96 + i)} " * (200 + 10 * i), "de") for i in range(1, 6)], (9, "only " * 4000, "en")]
+    got = language_id.sample(spark.createDataFrame(rows, LABELLED), "text", "lang")
+    assert got["de"].startswith("kurz") and 4000 < len(got["de"]) <= 6000 and "langa" in got["de"] and "lange" not in got["de"]
+    assert got["en"] == language_id.fold("only " * 4000)  # its shortest text, whole
 
 
 def test_language_id(spark):
@@ -46,7 +106,7 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got) and named[(902, "")].lang_pred == "und" and named[(901, "12 34 !")].score == 0.0
     # a language of long texts only is learned from the shortest
     far = spark.createDataFrame([(2000 + i, "qua " * (900 + i), "qq") for i in range(3)] + [(i, t, k) for i, k, t in rows], "doc_id long, text string, lang string")
-    assert language_id.sample(far, "doc_id", "text", "lang")["qq"] == "qua " * 900
+    assert language_id.sample(far, "text", "lang")["qq"].startswith("qua " * 900)
     assert {r.lang_pred for r in language_id.identify_language(df.filter("lang is null")).collect()} == {"und"}  # nothing to learn from
     assert language_id.identify_language(df.limit(0)).count() == 0
 
