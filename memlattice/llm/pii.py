@@ -9,8 +9,8 @@ Sanchez and Batet).  Contexts, not copies of one context, count as support; they
 p(e, t) is the share of documents that hold both, near each other or not.
 
 All of it is DataFrame functions.  Matches are rows, never lists that travel with other rows, and one sort of a document's terms and entities
-tells which terms are inside spans: work is n log n in a document's matches.  An entity looks only at the terms within REACH, and
-documents that hold a pair apart are only counted where that can decide, from the side of the term.
+tells which terms are inside spans: work is n log n in a document's matches.  An entity looks only at the terms within REACH long ones and WIDE of any length, which it
+meets by blocks of WIDE terms, and documents that hold a pair apart are only counted where that can decide, from the side of the term.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from memlattice.llm.common import Scratch, text_or_empty
 ALPHA = 0.9
 #: Different contexts that must show an entity and a term together.
 SUPPORT = 2
-#: Terms of LONG letters or more on either side of an entity that, with the shorter ones between them, count as its context.
-REACH, LONG = 8, 3
+#: Terms of LONG letters or more on either side of an entity that, with the shorter ones between them, count as its context, and how many terms of any length
+#: that may be on either side.
+REACH, LONG, WIDE = 8, 3, 32
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"\p{L}++"
 
@@ -121,14 +122,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     begins = F.min(F.when(F.col("entity").isNotNull(), F.col("start"))).over(later)
     mixed = mixed.withColumn("begins", begins).withColumn("ends", ends)
     mixed = mixed.filter(F.col("entity").isNotNull() | ((F.coalesce("ends", "start") <= F.col("start")) & (F.coalesce("begins", "end") >= F.col("end")))).drop("begins", "ends")
-    mixed = scratch.save(mixed.withColumn("n", F.count(F.when(F.char_length("term") >= LONG, 1)).over(back)))
-    term = mixed.filter("term is not null").select("row", "start", "end", "term", "n")
-    # an entity asks for the terms of every place within reach
-    asks = mixed.filter("entity is not null").select("row", "entity", F.col("n").alias("at")).distinct()
-    asks = asks.select("*", F.explode(F.sequence(F.lit(-reach + 1), F.lit(reach))).alias("offset")).withColumn("n", F.col("at") + F.col("offset"))
-    near = asks.join(term.select("row", "n", "start", "term"), ["row", "n"])
-    # a context is what stands around one occurrence of an entity
-    around = near.groupBy("row", "entity", "at").agg(F.array_sort(F.collect_list(F.struct("offset", "start", "term"))).alias("x"))
+    mixed = mixed.withColumn("n", F.count(F.when(F.char_length("term") >= LONG, 1)).over(back)).withColumn("m", F.count("term").over(back))
+    mixed = scratch.save(mixed)
+    term = mixed.filter("term is not null").select("row", "start", "end", "term", "n", "m")
+    # an entity at place m asks for the blocks that its neighbours may be in: at most three times WIDE terms, however short they are
+    asks = mixed.filter("entity is not null").select("row", "entity", F.col("n").alias("at"), F.col("m").alias("place")).distinct()
+    asks = asks.select("*", F.explode(F.array(*[F.floor(F.col("place") / WIDE) + d for d in (-1, 0, 1)])).alias("block"))
+    blocks = term.select("row", F.floor(F.col("m") / WIDE).alias("block"), "n", "m", "start", "term")
+    near = asks.join(blocks, ["row", "block"]).withColumn("offset", F.col("n") - F.col("at"))
+    near = near.filter(F.col("offset").between(-reach + 1, reach) & (F.col("m") - F.col("place")).between(1 - WIDE, WIDE))
+    # a context is what stands around the occurrences of an entity between two long terms
+    around = near.groupBy("row", "entity", "at").agg(F.array_sort(F.collect_set(F.struct("offset", "start", "term"))).alias("x"))
     context = F.xxhash64(F.transform("x", lambda y: F.struct(y["offset"], y["term"])))
     around = scratch.save(around.select("row", "entity", context.alias("context"), F.array_distinct("x.term").alias("terms")))
     seen = around.select("row", "entity", "context", F.explode("terms").alias("term"))

@@ -401,3 +401,68 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path)).cache()
         assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0), str(tmp_path)).count() == 0
     assert sorted(r.doc_id for r in docs.collect()) == sorted(got)
+
+
+def disclosed(rows, alpha=pii.ALPHA, support=pii.SUPPORT, reach=pii.REACH, wide=pii.WIDE):
+    """doc_id: spans of the terms that disclose an entity, by plain loops; e-mail addresses are the only entities."""
+    docs, contexts, near, holds = {}, {}, {}, {}
+    for i, text in rows:
+        spans = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        terms = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text) if not any(a < m.end() and m.start() < b for a, b in spans)]
+        docs[i] = terms
+        for a, b in spans:
+            e = text[a:b].lower()
+            holds.setdefault(e, set()).add(i)
+            place = sum(t[0] < a for t in terms)
+            at = sum(t[0] < a and len(t[2]) >= 3 for t in terms)
+            for m, t in enumerate(terms, 1):
+                n = sum(len(u[2]) >= 3 for u in terms[:m])
+                if -reach < n - at <= reach and -wide < m - place <= wide:
+                    contexts.setdefault((i, e, at), set()).add((n - at, t[0], t[2]))
+    seen = {}
+    for (i, e, _), around in contexts.items():
+        shape = tuple((o, t) for o, _, t in sorted(around))
+        for _, _, t in around:
+            seen.setdefault((e, t), set()).add(shape)
+            near.setdefault((e, t), set()).add(i)
+    total = len(rows)
+    words = {i: {w.lower() for w in re.findall(r"[^\W\d_]+", text)} for i, text in rows}
+    gone = {}
+    for (e, t), shapes in seen.items():
+        df_e, df_t = len(holds[e]), sum(t in w for w in words.values())
+        both = sum(any(u[2] == t for u in docs[i]) for i in holds[e])
+        if len(shapes) >= support and df_e < total and math.log2(both * total / (df_e * df_t)) >= alpha * math.log2(total / df_e):
+            for i in holds[e]:
+                gone.setdefault(i, set()).update((a, b) for a, b, u in docs[i] if u == t)
+    return {i: sorted(g) for i, g in gone.items() if g}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_disclosing_terms_against_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    common, rows = ["the", "a", "of", "x", "in", "note", "mail", "and"], []
+    for i in range(60):
+        who = rng.randrange(5)
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            text += [rng.choice(common) for _ in range(rng.randrange(0, 45))]
+            text += [f"Roe{chr(97 + who)}"] * rng.choice([0, 1]) + [f"p{who}@x.org"] + [f"Li{chr(97 + who)}"] * rng.choice([0, 1])
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(rng.choice(common) for _ in range(30))) for i in range(40)]
+    want = disclosed(rows)
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want and {r.doc_id: sorted((s.start, s.end) for s in r.terms) for r in got if r.terms} == want
+
+
+def test_many_entities_between_short_terms_take_linear_time(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"u{k}@x.org " + " ".join(rng.choice(["ab", "cd", "ef"]) for _ in range(10)) for k in range(n))
+        begun = time.time()
+        assert len(pii.find_pii(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).filter("doc_id = 1").first().base) == n
+        return time.time() - begun
+
+    rng = random.Random(3)
+    took(20)
+    assert took(3200) < 6 * took(400) + 10
