@@ -215,11 +215,12 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     roots = connected_components(edges)
     rows = df.drop("n_links", "component_id", "kept")
     key = F.col(id_col).cast("long")
-    out = rows.join(counts.withColumnRenamed("id", "__c"), key == F.col("__c"), "left").join(roots, key == F.col("node"), "left")
-    component = F.coalesce("root", key)
+    counts, roots = counts.select(F.col("id").alias("__c"), F.col("n_links").alias("__n")), roots.select(F.col("node").alias("__v"), F.col("root").alias("__r"))
+    out = rows.join(counts, key == F.col("__c"), "left").join(roots, key == F.col("__v"), "left")
+    component = F.coalesce("__r", key)
     return out.select(
         *[F.col(c) for c in rows.columns],
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == key, F.lit(False)).alias("kept"),
     )

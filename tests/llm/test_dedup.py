@@ -137,7 +137,7 @@ def test_embedding_dedup(spark):
     base = rng.normal(size=(8, 6))
     x = [list(map(float, base[rng.integers(8)] * rng.uniform(0.1, 9) + rng.normal(size=6) * rng.choice([0, 0.1, 0.3]))) for _ in range(150)]
     odd = [(900, None), (901, []), (902, [0.0] * 6), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (904, [float("nan")] * 6), (905, [float("inf")] * 6), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (None, x[0])]
-    df = spark.createDataFrame([(i, v, 0) for i, v in [*enumerate(x), *odd]], "vec_id long, embedding array<double>, n_links int")
+    df = spark.createDataFrame([(i, v, 0, 1, "r") for i, v in [*enumerate(x), *odd]], "vec_id long, embedding array<double>, n_links int, node int, root string")
     got = {r.vec_id: r for r in embedding_dedup(df).collect()}
     v = np.array(x)
     v /= np.linalg.norm(v, axis=1)[:, None]
