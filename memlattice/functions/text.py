@@ -206,3 +206,12 @@ def coerce_timestamp(value: Column, default: Column) -> Column:
 
 def day_bucket(created_at: Column) -> Column:
     return (created_at / 86400).cast("long")
+
+
+def memory_age(created_at: Column, now: float) -> Column:
+    """How long ago a memory was made, in the largest whole unit up to months of 30 days; empty without a time."""
+    s = F.lit(now) - created_at
+    whole = lambda unit: F.floor(s / unit).cast("long").cast("string")
+    text = F.when(s < 60, "（刚刚）").when(s < 3600, F.concat(F.lit("（"), whole(60), F.lit("分钟前）"))).when(s < 86400, F.concat(F.lit("（"), whole(3600), F.lit("小时前）")))
+    text = text.when(s < 2592000, F.concat(F.lit("（"), whole(86400), F.lit("天前）"))).otherwise(F.concat(F.lit("（"), whole(2592000), F.lit("个月前）")))
+    return F.when(F.coalesce(created_at, F.lit(0.0)) > 0, text).otherwise("")

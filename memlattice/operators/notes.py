@@ -104,6 +104,29 @@ def sync_chunks(chunks: DataFrame, index: DataFrame, disk_notes: DataFrame, stor
     return new_chunks, disk_notes.select("relative_path", "file_timestamp")
 
 
+def chunks_of_path(chunks: DataFrame, path: str) -> DataFrame:
+    """The chunks of a note by its path, in order; the filter reaches the scan."""
+    return chunks.filter(F.col("source_file_path") == path).orderBy("chunk_index")
+
+
+def chunks_of_file(chunks: DataFrame, file_id: str) -> DataFrame:
+    """The chunks of a note by its id, in order."""
+    return chunks.filter(F.col("file_id") == file_id).orderBy("chunk_index")
+
+
+def all_chunks(chunks: DataFrame) -> DataFrame:
+    """All chunks by path and number, as for a rebuild of the index: a range sort."""
+    return chunks.orderBy("source_file_path", "chunk_index")
+
+
+def file_by_id(index: DataFrame, file_id: int) -> DataFrame:
+    return index.filter(F.col("id") == file_id)
+
+
+def file_by_path(index: DataFrame, path: str) -> DataFrame:
+    return index.filter(F.col("relative_path") == path)
+
+
 def replace_file_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks after those of some files are replaced whole."""
     return chunks.join(new.select("file_id").distinct(), "file_id", "left_anti").select(*new.columns).unionByName(new)

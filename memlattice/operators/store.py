@@ -9,6 +9,7 @@ from memlattice.functions.tags import normalize_tags
 from memlattice.functions.text import normal_path, vector_text
 from memlattice.operators.ranking import first_wins
 from memlattice.schemas import MEMORY_RECORD, MEMORY_TYPES, PUBLIC
+from memlattice.session import cut_lineage
 
 
 def insert(records: DataFrame, new: DataFrame) -> DataFrame:
@@ -43,11 +44,11 @@ def tag_dimension(tagged: DataFrame) -> DataFrame:
 def number(rows: DataFrame, order: list[Column], name: str, start: int) -> DataFrame:
     """Consecutive numbers in order: a range sort, counts of its partitions, and the running total of those counts.
 
-    Only the counts, one row a partition, meet in one task.  The number of partitions is given, so that adaptive execution leaves
-    them as they are, and both uses of the sorted rows read the same exchange.
+    Only the counts, one row a partition, meet in one task.  The sorted rows are written down, since a second range partitioning of them, by other
+    samples, may have other bounds than the one that was counted.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    ranged = cut_lineage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     offset = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("__o", offset).drop("__n")
@@ -164,6 +165,27 @@ def ordinal_ids(records: DataFrame, start: int = 10000) -> DataFrame:
     return number(records.select("id", "created_at"), [F.col("created_at"), F.col("id")], "short_id", start).select("id", "short_id")
 
 
+def full_ids(asked: DataFrame, memories: DataFrame, order: list[Column]) -> DataFrame:
+    """(pos, short_id, id): for short ids (pos, short_id), prefixes of ids, the first memory in ``order`` that has the prefix; unknown ones are left out.
+
+    Ids are cut to the few lengths that are asked for, so that prefixes meet in an equality join.
+    """
+    lengths = [r["n"] for r in asked.select(F.char_length("short_id").alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
+        return asked.select("pos", "short_id", F.lit(None).cast("string").alias("id"))
+    ranked = memories.select("id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("place"))
+    cut = ranked.filter(F.char_length("id") >= lengths[0]).select("id", "place", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
+    cut = cut.filter(F.char_length("id") >= F.col("n")).select(F.expr("left(id, n)").alias("short_id"), F.struct("place", "id").alias("x"))
+    first = cut.join(asked.select("short_id").distinct(), "short_id", "left_semi").groupBy("short_id").agg(F.min("x")["id"].alias("id"))
+    return asked.join(first, "short_id").select("pos", "short_id", "id")
+
+
+def unregister_notes(registry: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what is left of the registry, source ids that went) after the notes of some paths are deleted."""
+    paths = files.select("source_file_path").distinct()
+    return registry.join(paths, "source_file_path", "left_anti").select(*registry.columns), registry.join(paths, "source_file_path", "left_semi").select("source_id")
+
+
 def ephemeral_ids(rows: DataFrame, order: list[Column]) -> DataFrame:
     """short_id m0, m1 ... over a (short) ranked list."""
     return rows.withColumn("short_id", F.concat(F.lit("m"), F.row_number().over(Window.orderBy(*order)) - 1))

@@ -1180,3 +1180,62 @@ def feedback_index(spark, d):
 def hit_limits(spark, d):
     x = W.load(spark, d, "lineitem").select((F.col("l_linenumber") - 1).cast("int").alias("n"), (F.col("l_quantity") * 10).cast("int").alias("base")).distinct()
     return x.select("n", "base", text.hit_limit(F.col("n"), F.col("base")).alias("hits"))
+
+
+# ---------------------------------------------------------------- scans, lookups and recall modes
+
+
+@register(
+    f"{sql('mem')}, {_MT}, {bm25_sql('mt', 'id', _FIELDS, QUERY)}, {staged_sql(600)}, g as (select id, bm25_normalized_score as final_score from staged order by rank limit 600) "
+    "select id, round(g.final_score, 6) as final_score from g join mem using (id) where g.final_score >= 0.5 and memory_scope in ('a', 'public') order by g.final_score desc, id limit 30"
+)
+def recall_post_scope(spark, d):
+    """Recall whose scope is filtered after ranking: statistics and candidates are those of all memories."""
+    return V.recall(W.memories(spark, d), QUERY, 30, "a", scope_mode="post").select("id", r6("final_score"))
+
+
+@register(
+    f"{sql('mem')}, {_VQ}, v as (select * from (select 'm' || vec_id as id, {_COS} as score from embeddings, q order by score desc, id limit 40) where score >= 0.5 order by score desc, id limit 30), "
+    f"c as (select id, score, case when is_active then score else score / (1 + 0.05 * greatest(({NOW} - created_at) / 86400.0, 0)) end as sim from v join mem using (id) where memory_scope in ('a', 'public')) "
+    "select id, round(sim, 6) as similarity from c order by sim desc, score desc, id limit 10"
+)
+def recall_vector_fallback(spark, d):
+    """A query that no text holds: the vectors alone answer."""
+    v = V.vector_top_k(W.vectors(spark, d), "id", "embedding", _query_vector(spark, d), 40)
+    return V.comprehensive_recall(W.memories(spark, d), "qqqzzzxxx", 10, "a", NOW, vectors=v).select("id", r6("similarity"))
+
+
+@register(f"{sql('mem')} select id, case when created_at > 0 then case when s < 60 then '（刚刚）' when s < 3600 then '（' || floor(s / 60)::bigint || '分钟前）' when s < 86400 then '（' || floor(s / 3600)::bigint || '小时前）' when s < 2592000 then '（' || floor(s / 86400)::bigint || '天前）' else '（' || floor(s / 2592000)::bigint || '个月前）' end else '' end as age from (select *, {NOW} - created_at as s from mem)")
+def memory_age(spark, d):
+    return W.memories(spark, d).select("id", text.memory_age(F.col("created_at"), NOW).alias("age"))
+
+
+@register(f"{sql('mem')}, a as (select item_id as pos, substr('m' || (item_id * 7 % 120), 1, 2 + item_id % 3) as short_id from benchmark) select pos, short_id, (select arg_min(id, struct_pack(a := created_at, b := id)) from mem where starts_with(mem.id, a.short_id)) as id from a where exists (select 1 from mem where starts_with(mem.id, a.short_id))")
+def resolve_short_ids(spark, d):
+    """Short ids back to whole ones: the oldest memory that begins with each."""
+    asked = W.load(spark, d, "benchmark").selectExpr("item_id as pos", "substr('m' || cast(item_id * 7 % 120 as string), 1, cast(2 + item_id % 3 as int)) as short_id")
+    return store.full_ids(asked, W.memories(spark, d), [F.col("created_at"), F.col("id")])
+
+
+@register("with reg as (select 's' || page_id as source_id, page_id as note_short_id, 'p' || (page_id // 2) || '.md' as source_file_path from pages) select source_id, note_short_id from reg where source_file_path not in (select relative_path from (select case when page_id % 7 = 3 then 'live' else 'p' end || page_id || '.md' as relative_path from pages))")
+def unregister_notes(spark, d):
+    """The registry after the notes of all files on disk went."""
+    left, _ = store.unregister_notes(_registry(spark, d), W.disk_files(spark, d).select(F.col("relative_path").alias("source_file_path")))
+    return left.select("source_id", "note_short_id")
+
+
+@register(f"{sql('idx')}, i as (select row_number() over (order by relative_path) as id, relative_path from idx) select id, relative_path from i where id = 12 union all select id, relative_path from i where relative_path = 'p20.md'")
+def file_lookup(spark, d):
+    """A file of the index by its id, and one by its path."""
+    index = store.number(W.file_index(spark, d).select("relative_path"), [F.col("relative_path")], "id", 1)
+    return N.file_by_id(index, 12).union(N.file_by_path(index, "p20.md")).select("id", "relative_path")
+
+
+@register(f"{sql('note').replace('with ', 'with recursive ', 1)}, {_CHUNKED} select 'all' as scan, file_id, chunk_index, row_number() over (order by source_file_path, chunk_index) as place from chunk union all select 'path', file_id, chunk_index, chunk_index from chunk where source_file_path = (select max(source_file_path) from note)")
+def chunk_scans(spark, d):
+    """All chunks numbered in their order, and those of one note by its path."""
+    chunks = _chunks(spark, d)
+    last = W.notes(spark, d).agg(F.max("source_file_path")).first()[0]
+    every = store.number(N.all_chunks(chunks).select("file_id", "source_file_path", "chunk_index"), [F.col("source_file_path"), F.col("chunk_index")], "place", 1)
+    one = N.chunks_of_path(chunks, last)
+    return every.select(F.lit("all").alias("scan"), "file_id", "chunk_index", "place").union(one.select(F.lit("path"), "file_id", "chunk_index", F.col("chunk_index").cast("long")))

@@ -19,7 +19,7 @@ def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """As ``scan_notes``, with content: UTF-8, bad bytes dropped, line ends unified."""
     rows = _files(spark, folder)
-    text = F.replace(F.decode("content", "UTF-8") if False else F.expr("try_validate_utf8(cast(content as string))"), F.lit("\r\n"), F.lit("\n"))
+    text = F.replace(F.expr("try_validate_utf8(cast(content as string))"), F.lit("\r\n"), F.lit("\n"))
     loose = F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "�", "")
     content = F.replace(F.coalesce(text, F.replace(loose, F.lit("\r\n"), F.lit("\n"))), F.lit("\r"), F.lit("\n"))
     return rows.select(_relative(folder).alias("relative_path"), F.col("modificationTime").cast("timestamp").cast("long").alias("file_timestamp"), content.alias("content"))
