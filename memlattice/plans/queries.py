@@ -14,6 +14,7 @@ from memlattice.operators.chunk_index import ChunkIndex
 from memlattice.plans import views as W
 from memlattice.plans.views import NOW, sql
 from memlattice.session import cut_lineage, share_path, shared_folder
+from memlattice.sources import files, snapshots
 from memlattice.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -553,6 +554,25 @@ def snapshot_import_counts(spark, d):
     return store.import_snapshot(m, inc)[1]
 
 
+def _snapshot_files(spark, d) -> str:
+    """All memories as JSON snapshots in the shared folder, more of them the more there are."""
+    path, m = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}", W.memories(spark, d)
+    snapshots.write_snapshot({"global_tags": store.tag_dimension(m), "records": m}, path, 1 + m.count() // 50_000)
+    return path
+
+
+@register(f"{sql('mem')} select id, memory_type, judgment, reasoning, strength, is_active, useful_count, useful_score, last_recalled_at, last_decay_at, created_at, updated_at, memory_scope, array_to_string(tags, '|') as tags from mem")
+def snapshot_files(spark, d):
+    """Every memory written to JSON snapshots and read from them again in splits."""
+    read = snapshots.read_snapshot(spark, _snapshot_files(spark, d))
+    return read.withColumn("tags", F.array_join("tags", "|")).select(*[c for c in W.MEM if c != "tags"], "tags")
+
+
+@register(f"{sql('mem')} select count(*) as records, count(*) filter (is_active) as active from mem")
+def backup_preview(spark, d):
+    return files.preview_backup(spark, _snapshot_files(spark, d))
+
+
 # ---------------------------------------------------------------- profiles
 
 _PV = "pv as (select *, tags[1] as user_id, tags[2] as attribute, tags[3] as nickname from prof where tags[2] <> 'other')"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.functions.text import normal_path
+from memlattice.sources.snapshots import read_snapshot
 
 
 def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,28 +35,6 @@ def _relative(folder: str):
     return normal_path(F.expr("path").substr(F.instr("path", base) + len(base), F.lit(1 << 30)))
 
 
-RECORD = (
-    "id string, memory_type string, judgment string, reasoning string, tags array<string>, strength int, is_active boolean, useful_count int, "
-    "useful_score double, last_recalled_at double, last_decay_at double, created_at double, updated_at double, memory_scope string"
-)
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON snapshot of any of three shapes: {records: [...]}, {memories: [...]} or a bare list.
-
-    Directories that ``export_snapshot`` wrote are read from records/ by ``spark.read.json`` instead, in parallel.
-    """
-    raw = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<{_struct(RECORD)}>>")
-    held = F.from_json("value", f"struct<records:array<struct<{_struct(RECORD)}>>,memories:array<struct<{_struct(RECORD)}>>>")
-    rows = raw.select(F.when(F.startswith(F.ltrim("value"), F.lit("[")), listed).otherwise(F.coalesce(held["records"], held["memories"])).alias("r"))
-    return rows.select(F.explode("r").alias("r")).select("r.*")
-
-
-def _struct(ddl: str) -> str:
-    return ",".join(":".join(p.strip().split(" ", 1)) for p in ddl.split(", "))
-
-
 def list_backups(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modified) of the JSON backups in a folder, newest first."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)

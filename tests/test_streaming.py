@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlattice.operators.ranking import Knowledge, knowledge_capacity
-from memlattice.sources import files
+from memlattice.sources import files, snapshots
 from memlattice.streaming import stateful as S
 
 
@@ -151,7 +151,7 @@ def test_files(spark, tmp_path):
         p = back / f"{k}.json"
         p.write_text(json.dumps(shape))
         os.utime(p, (1000 + k, 1000 + k))
-        assert files.read_snapshot(spark, str(p)).count() == (1, 1, 2, 0)[k]
+        assert snapshots.read_snapshot(spark, str(p)).count() == (1, 1, 2, 0)[k]
     assert files.preview_backup(spark, str(back / "2.json")).first().active == 2
     assert len(files.prune_backups(spark, str(back), 3)) == 1 and sorted(os.listdir(back))[0] == "1.json"
     assert spark.range(1).select(F.lit(1)).count() == 1
