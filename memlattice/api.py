@@ -21,6 +21,7 @@ from memlattice.functions import text
 from memlattice.functions.scoring import DecayConfig
 from memlattice.operators import browse, lifecycle, notes, ranking, retrieval, store
 from memlattice.operators.chunk_index import MOST_SEGMENTS, ChunkIndex
+from memlattice.operators.vector_cells import VectorCells
 from memlattice.schemas import GLOBAL_TAG, MEMORY_RECORD, MEMORY_TAG, NOTE_CHUNK, NOTE_REGISTRY, PUBLIC, VECTORS
 from memlattice.session import share_path
 from memlattice.sources import files
@@ -167,6 +168,24 @@ class MemoryStore:
                 if attempt == 7:
                     raise
 
+    def cluster_vectors(self, cells: int | None = None) -> State:
+        """Stores the vectors by cell, so that ``recall`` reads the cells that can hold its nearest ones; after a change of the vectors it scans again until the next call."""
+        name = "memory_vectors"
+
+        def plan(state: State) -> tuple[dict[str, DataFrame], dict]:
+            held = json.loads(state.properties.get("cells", "{}"))
+            if name not in state.tables or held.get("of") == state.tables[name]:
+                return {}, {}
+            made = VectorCells.build(self._vectors_at(state), "item_id", "embedding", f"{self.tables.root}/vector_cells", cells)
+            return {}, {"cells": json.dumps({"of": state.tables[name], "path": made.path})}
+
+        return self._change(plan)
+
+    def _cells_at(self, state: State) -> VectorCells | None:
+        """The cells, if they are of the vectors of this state."""
+        held = json.loads(state.properties.get("cells", "{}"))
+        return VectorCells(self.spark, held["path"]) if held and held["of"] == state.tables.get("memory_vectors") else None
+
     # -- memories
 
     def memories(self) -> DataFrame:
@@ -198,7 +217,8 @@ class MemoryStore:
         if self._index_of(state)["space"] != self.space:
             return None
         q = self.spark.createDataFrame([(query,)], "t string").select(self.embed(F.col("t")).alias("e")).first()["e"]
-        return retrieval.vector_top_k(self._vectors_at(state), "item_id", "embedding", q, k)
+        cells = self._cells_at(state)
+        return cells.top_k(q, k) if cells else retrieval.vector_top_k(self._vectors_at(state), "item_id", "embedding", q, k)
 
     def recall(self, query: str, limit: int = 10, scope: str = PUBLIC, entities: list[str] | None = None, per_type: int | None = None) -> DataFrame:
         """Memories for a query; with entities or a quota by type, chained recall."""

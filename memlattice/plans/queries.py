@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from memlattice.functions import jsonscan, scoring, tags as T, text
 from memlattice.operators import browse, chat as C, lifecycle as L, notes as N, ranking as R, retrieval as V, simulate as S, store
 from memlattice.operators.chunk_index import ChunkIndex
+from memlattice.operators.vector_cells import VectorCells
 from memlattice.plans import views as W
 from memlattice.plans.views import NOW, sql
 from memlattice.session import cut_lineage, share_path, shared_folder
@@ -165,6 +166,13 @@ def vector_topk(spark, d):
     return V.vector_top_k(W.vectors(spark, d), "id", "embedding", _query_vector(spark, d), 20, 0.1).select("id", r6("score"))
 
 
+@register(f"with {_VQ} select 'm' || vec_id as id, round({_COS}, 6) as score from embeddings, q where round({_COS}, 6) >= 0.1 order by {_COS} desc, id limit 20")
+def vector_topk_cells(spark, d):
+    """The same search over vectors stored by cell."""
+    cells = VectorCells.build(W.vectors(spark, d), "id", "embedding", f"{shared_folder(spark)}/cells")
+    return cells.top_k(_query_vector(spark, d), 20, 0.1).select("id", r6("score"))
+
+
 _FUSE = (
     f"{sql('mem')}, {_MT}, {bm25_sql('mt', 'id', _FIELDS, QUERY)}, {staged_sql(10)}, {_VQ}, v as (select 'm' || vec_id as id, {_COS} as score from embeddings, q order by score desc, id limit 30), "
     "b as (select *, row_number() over (order by bm25_score desc, id) as rb, count(*) over () as nb from staged), vv as (select *, row_number() over (order by score desc, id) as rv, count(*) over () as nv from v), "
