@@ -40,12 +40,14 @@ _made: list[Scratch] = []
 
 @contextmanager
 def temporary() -> Iterator[None]:
-    """Removes, at the end, the tables that operators called inside have written to the shared folder."""
+    """Removes, at the end or when it fails, the tables that operators called inside have written to the shared folder."""
     mark = len(_made)
-    yield
-    for s in _made[mark:]:
-        s.remove()
-    del _made[mark:]
+    try:
+        yield
+    finally:
+        for s in _made[mark:]:
+            s.remove()
+        del _made[mark:]
 
 
 class Scratch:
