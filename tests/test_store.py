@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memlattice.api import MemoryStore
 from memlattice.operators import retrieval as V, store
 from memlattice.operators.chunk_index import ChunkIndex
-from memlattice.storage import Conflict, Snapshots, changes
+from memlattice.storage import Conflict, Snapshots, State, changes
 
 
 def letters(dim):
@@ -62,6 +62,25 @@ def test_no_writer_loses_what_it_wrote(spark, tmp_path):
     assert {r.id: r.tags for r in stores[0].memories().collect()} == {f"{no}-{k}": [f"t{no}"] for no in range(3) for k in range(2)}
 
 
+def test_a_version_has_one_winner(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path / "s"), {}, keep=0)
+    for version in range(1, 101):
+        won, bar = [], threading.Barrier(3)
+
+        def publish(no, version=version, won=won, bar=bar):
+            bar.wait()
+            try:
+                s._publish(State(version, {"a": str(no)}, {}))
+                won.append(str(no))
+            except Conflict:
+                pass
+
+        threads = [threading.Thread(target=publish, args=(no,)) for no in range(3)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert len(won) == 1 and s.state(version).tables == {"a": won[0]}
+
+
 def test_change_feed(spark):
     old = spark.createDataFrame([("a", 1, None), ("b", 2, "x"), ("c", 3, None)], "id string, n int, t string")
     new = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("d", 4, "y")], "id string, n int, t string")
