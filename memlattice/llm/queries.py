@@ -75,10 +75,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
-        for i, k in enumerate(KINDS[:4])
-    ]
+
+    def count(kind: int):
+        # a second parameter of the lambda, with a default or not, would be the place in the array
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return found.select(
         "doc_id", *counts, F.sha2(span_list(bare), 256).alias("base_sha256"), span_list(F.array_sort(F.concat(bare, "terms"))).alias("spans")
     )

@@ -466,3 +466,16 @@ def test_many_entities_between_short_terms_take_linear_time(spark):
     rng = random.Random(3)
     took(20)
     assert took(3200) < 6 * took(400) + 10
+
+
+def test_counts_of_kinds_are_those_of_the_spans(spark, tmp_path):
+    from memlattice.llm import queries
+
+    rows = [(1, "1.2.3.4"), (2, "4111 1111 1111 1111 and +1 (377) 555-0271"), (3, "a@b.c d@e.f 9.8.7.6 g@h.i"), (4, None), (4, "none"), (None, "+1 (377) 555-0271")]
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "spans").collect()
+    for r in got:
+        kinds = [s.split(":")[0] for s in r.spans.split(",")]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in pii.KINDS[:4]]
+    assert sorted((r.doc_id or 0, *r[1:5]) for r in got) == [(0, 0, 0, 0, 1), (1, 0, 1, 0, 0), (2, 0, 0, 1, 1), (3, 3, 1, 0, 0), (4, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
