@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlattice.api import MemoryStore
 from memlattice.operators import retrieval as V, store
+from memlattice.operators import chunk_index
 from memlattice.operators.chunk_index import ChunkIndex
 from memlattice.storage import Conflict, Snapshots, State, changes
 
@@ -231,3 +232,31 @@ def test_links_go_with_their_memories(spark, tmp_path):
     assert s.tables.read("records").count() == 2
     held = {r.id for r in s.tables.read("records").collect()}
     assert {r.memory_id for r in s.tables.read("memory_tag_rel").collect()} == held
+
+
+def test_an_index_tokenises_once_and_compacts_without_a_shuffle(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(content):
+        read.add(1)
+        return content
+
+    rows = [(f"f{i % 7}", f"f{i % 7}", i, f"word{i % 5} shared {'' if i % 4 else 'rare' + str(i)}") for i in range(60)] + [("empty", "", 0, "")]
+    chunks = spark.createDataFrame(rows, "file_id string, source_file_path string, chunk_index long, content string")
+    first = ChunkIndex(spark, str(tmp_path / "i"), buckets=4).build(chunks.withColumn("content", F.udf(seen, "string")("content")))
+    assert read.value == len(rows)
+    files = {r.file_id: (r.chunks, r.total0, r.total1) for r in first.files().collect()}
+    tokens = lambda t: len(set(t.split()))
+    assert files == {f: (sum(r[0] == f for r in rows), sum(tokens(r[3]) for r in rows if r[0] == f), sum(tokens(r[1]) for r in rows if r[0] == f)) for f in {r[0] for r in rows}}
+    second = first.replace(chunks.filter("file_id = 'f1'").withColumn("content", F.lit("other")), chunks.filter("file_id = 'f2'"))
+    living = lambda i: sorted(map(tuple, i.postings().select("term", "field", "file_id", "chunk_index", "length", "bucket").collect()))
+    parts = lambda i: len(i.postings().inputFiles())
+    whole = second.compact()
+    assert living(whole) == living(second) and not any(p[2] == "f2" for p in living(whole)) and parts(whole) <= parts(second)
+    assert whole.files().count() == 7 and len(whole.segments) == 1
+    # with more parts than may be copied they are dealt anew
+    most, chunk_index.MOST_PARTS = chunk_index.MOST_PARTS, 0
+    try:
+        assert living(second.compact()) == living(second)
+    finally:
+        chunk_index.MOST_PARTS = most
