@@ -275,3 +275,29 @@ def test_simulator(spark):
     r = S.simulate(S.grid(spark, [6], [1], 1, calls_per_day=200, days=365, speed=1.0)).first()
     assert r.created == 200 * 365 and r.deleted + r.alive == r.created and r.t0 + r.t1 + r.t2 == r.alive
     assert 0.85 < r.deleted / r.created < 0.99  # the published runs delete about 95 %
+
+
+def test_many_queries_are_scored_without_a_row_for_each_term(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)] + ["红烧", "天地人"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12)))) for i in range(400)]
+    rows += [(1000 + i, "same words w1 w2") for i in range(20)] + [(7, "w3 again"), (None, "w1 w2 w3"), (None, "w1"), (2000, None), (2001, "")]
+    asked = [(q, t) for q in [*"abcdefgh", None] for t in rng.sample(words, 6)] + [("a", "w1"), ("a", "w1"), ("z", "nowhere"), ("z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "query string, term string")
+    scored = V.score_postings(V.postings(docs, "doc_id", ["text"]), V.index_statistics(docs, ["text"]), queries.filter("query is not null")).collect()
+    nulls = V.score_postings(V.postings(docs, "doc_id", ["text"]), V.index_statistics(docs, ["text"]), queries.filter("query is null").fillna("null")).collect()
+    want = []
+    for q in {r.query for r in scored} | {"null"}:
+        mine = sorted((-round(r.bm25_score, 6), -1 if r.id is None else r.id) for r in [*scored, *nulls] if r.query == q)
+        want += [(q, i, -s) for s, i in mine[:5]]
+    for tile_docs, tile_queries in [(4096, 256), (50, 3)]:
+        monkeypatch.setattr(V, "TILE_DOCS", tile_docs)
+        monkeypatch.setattr(V, "TILE_QUERIES", tile_queries)
+        found = V.top_of_many(docs, "doc_id", "text", queries, 5)
+        got = [(r.query or "null", -1 if r.id is None else r.id, r.score) for r in found.collect()]
+        assert sorted(got) == sorted(want)
+    assert V.top_of_many(docs.limit(0), "doc_id", "text", queries, 5).count() == 0
+    assert V.top_of_many(docs, "doc_id", "text", queries.limit(0), 5).count() == 0
