@@ -13,6 +13,10 @@ from memlattice.functions.scoring import DecayConfig, decay_reference, decay_ste
 from memlattice.functions.tags import normalize_tags
 from memlattice.operators.ranking import first_wins
 from memlattice.schemas import MEMORY_TYPES, PUBLIC
+from memlattice.session import cut_lineage
+
+#: Ids that travel whole to every task at most.
+FEW = 100_000
 
 
 def _marked(records: DataFrame, ids: DataFrame) -> DataFrame:
@@ -98,12 +102,15 @@ def apply_actions(records: DataFrame, actions: DataFrame, now: float, scope: str
     A source that several actions name goes to the first of them.
     """
     pair = actions.filter(F.col("action") != "create").select("action_no", F.posexplode("source_memory_ids").alias("pos", "id"))
-    pair = first_wins(pair, ["id"], [F.col("action_no"), F.col("pos")])
+    pair = cut_lineage(first_wins(pair, ["id"], [F.col("action_no"), F.col("pos")]))
+    # records and actions hold texts: their rows pass by tables of ids and are never sorted
+    few = pair.count() <= FEW
+    meets = lambda narrow: F.broadcast(narrow) if few else narrow.hint("shuffle_hash")
     sums = pair.join(records, "id").groupBy("action_no").agg(
         F.sum("strength").alias("s"), F.sum("useful_count").alias("uc"), F.max("useful_score").alias("us"), F.max("last_recalled_at").alias("lr"), F.collect_set("memory_scope").alias("scopes")
     )
     # every merge or update keeps the actions whose sources exist; a create needs none
-    rows = actions.join(sums, "action_no", "left").filter((F.col("action") == "create") | F.col("s").isNotNull())
+    rows = actions.select("action_no", "action", F.struct("memory.type", "memory.judgment", "memory.reasoning").alias("memory")).join(meets(sums), "action_no", "left").filter((F.col("action") == "create") | F.col("s").isNotNull())
     label = F.element_at(F.create_map(*[F.lit(x) for kv in MEMORY_TYPES.items() for x in kv]), F.col("memory.type"))
     new = rows.select(
         F.substring(F.sha2(F.concat_ws("\0", F.col("action_no"), F.lit(str(now)), F.col("memory.judgment")), 256), 1, 32).alias("id"),
@@ -113,8 +120,7 @@ def apply_actions(records: DataFrame, actions: DataFrame, now: float, scope: str
         F.lit(float(now)).alias("created_at"), F.lit(float(now)).alias("updated_at"),
         checked_scope(F.coalesce("scopes", F.array().cast("array<string>")), scope).alias("memory_scope"),
     )
-    used = pair.join(records.select("id"), "id", "left_semi").select("id")
-    return records.join(used, "id", "left_anti").select(*new.columns).unionByName(new)
+    return records.join(meets(pair.select("id")), "id", "left_anti").select(*new.columns).unionByName(new)
 
 
 def feedback(records: DataFrame, useful: DataFrame, recalled: DataFrame, actions: DataFrame, now: float, scope: str = PUBLIC, c: DecayConfig = DecayConfig()) -> DataFrame:

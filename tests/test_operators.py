@@ -277,6 +277,22 @@ def test_simulator(spark):
     assert 0.85 < r.deleted / r.created < 0.99  # the published runs delete about 95 %
 
 
+def test_texts_are_not_sorted_for_actions(spark, records, monkeypatch):
+    m = ("knowledge", "new", "why", ["t"])
+    norm = L.normalize_actions(spark.createDataFrame([(1, "merge", ["a", "b", "none"], m), (2, "updata", ["b"], m)], ACTIONS))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for few, join in [(100, "BroadcastHashJoin"), (0, "ShuffledHashJoin")]:
+            monkeypatch.setattr(L, "FEW", few)
+            after = L.apply_actions(records, norm, 100.0)
+            plan = after._jdf.queryExecution().executedPlan().toString()
+            assert [x for x in plan.splitlines() if "LeftAnti" in x and join in x]
+            assert sorted(r.judgment for r in after.collect()) == sorted(["new", *(r.judgment for r in records.filter("id not in ('a', 'b')").collect())])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_many_queries_are_scored_without_a_row_for_each_term(spark, monkeypatch):
     import random
 
