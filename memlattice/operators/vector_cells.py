@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from memlattice.functions import scoring
 from memlattice.operators.retrieval import vector_top_k
 
-#: Cells at most (their centres are on the driver and travel with tasks), sampled vectors a cell, and tasks that write one cell.
-MOST_CELLS, SAMPLED, WRITERS = 1024, 64, 8
+#: Cells at most (their centres are on the driver and travel with tasks), sampled vectors a cell, and rows that are compared with all centres at once.
+MOST_CELLS, SAMPLED, ROWS = 1024, 64, 4096
 #: Cell of zero vectors and those of another dimension; every search reads it.
 ODD = -1
 #: Allowance for rounding of angles.
@@ -36,8 +39,31 @@ def _regular(v: Column, dim: int) -> Column:
     return (F.size(v) == dim) & (scoring.dot(v, v) > 0)
 
 
-def _angle(a: Column, b: Column) -> Column:
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scoring.cosine(a, b))))
+def _nearest(centres: list[list[float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, vector) with the cell of the nearest centre, the first of equals, and the angle to it: a product of matrices a batch."""
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        points = np.array(centres, dtype=float)
+        dim, points = points.shape[1], unit(points).T
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                fits = np.flatnonzero(pc.list_value_length(b["vector"]).to_numpy(zero_copy_only=False) == dim)
+                x = pc.list_flatten(b["vector"].take(pa.array(fits))).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                good = np.einsum("ij,ij->i", x, x) > 0
+                cosine = np.clip(unit(x[good]) @ points, -1.0, 1.0)
+                best = cosine.argmax(axis=1)
+                cell, angle = np.full(b.num_rows, ODD, dtype=np.int32), np.zeros(b.num_rows)
+                cell[fits[good]], angle[fits[good]] = best, np.arccos(cosine[np.arange(len(best)), best])
+                yield pa.RecordBatch.from_arrays([b["id"], b["vector"], pa.array(cell), pa.array(angle)], ["id", "vector", "cell", "angle"])
+
+    return place
 
 
 def _between(a: list[float], b: list[float]) -> float:
@@ -68,13 +94,11 @@ class VectorCells:
             centres = [[float(x) for x in f["features"]] for f in found[:1]]
         table = spark.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>")
         if centres:
-            near = F.array_min(F.transform("centres", lambda c: F.struct(_angle(F.col("vector"), c["centre"]).alias("angle"), c["cell"].alias("cell"))))
-            held = rows.crossJoin(F.broadcast(table.agg(F.collect_list(F.struct("cell", "centre")).alias("centres"))))  # one row
-            held = held.withColumn("near", F.when(_regular(F.col("vector"), dim), near)).select("id", "vector", F.coalesce("near.cell", F.lit(ODD)).alias("cell"), F.coalesce("near.angle", F.lit(0.0)).alias("angle"))
+            held = rows.mapInArrow(_nearest(centres), f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>, cell int, angle double")
         else:
             held = rows.select("id", "vector", F.lit(ODD).alias("cell"), F.lit(0.0).alias("angle"))
-        dealt = held.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(WRITERS)))
-        dealt.write.partitionBy("cell").parquet(f"{path}/cells")
+        # one task writes a cell, several only where it holds much
+        held.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/cells")
         facts = spark.read.schema("id string, angle double, cell int").parquet(f"{path}/cells").groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("width"))
         facts.join(F.broadcast(table), "cell", "left").write.parquet(f"{path}/facts")
         return cls(spark, path)

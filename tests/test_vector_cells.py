@@ -64,3 +64,16 @@ def test_a_store_searches_its_cells_until_the_vectors_change(spark, tmp_path):
     assert store._cells_at(store.tables.state()) is None and ("new", 1.0) in nearest()
     store.cluster_vectors(3)
     assert store._cells_at(store.tables.state()) is not None and ("new", 1.0) in nearest()
+
+
+def test_a_vector_is_in_the_nearest_cell_and_a_cell_in_one_part(spark, tmp_path):
+    rows = _vectors(300, 9) + [("zero", [0.0] * 8), ("short", [1.0]), ("none", None)]
+    cells = VectorCells.build(spark.createDataFrame(rows, "id string, vector array<double>").repartition(4), "id", "vector", str(tmp_path), cells=9)
+    centre = {f["cell"]: f["centre"] for f in cells.facts() if f["cell"] >= 0}
+    stored = cells.rows([f["cell"] for f in cells.facts()])
+    held = {r.id: (r.vector, r.cell) for r in stored.collect()}
+    assert len(held) == 302 and held["zero"][1] == held["short"][1] == -1
+    for v, cell in (x for x in held.values() if x[1] >= 0):
+        angle = {c: math.acos(max(-1.0, min(1.0, sum(a * b for a, b in zip(v, p)) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in p))))) for c, p in centre.items()}
+        assert angle[cell] <= min(angle.values()) + 1e-7
+    assert len(stored.inputFiles()) == len(cells.facts())
