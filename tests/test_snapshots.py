@@ -1,6 +1,7 @@
 """JSON snapshots against the json module, cut into splits of every size."""
 
 import json
+import re
 
 import pytest
 
@@ -58,3 +59,24 @@ def test_written_snapshots(spark, tmp_path):
     snapshots.write_snapshot({"records": rows.limit(0)}, str(tmp_path / "none"), 2)
     assert snapshots.read_snapshot(spark, str(tmp_path / "none")).count() == 0
     assert files.preview_backup(spark, str(path)).select("records", "active").first() == (60, 20)
+
+
+def test_pieces_stay_in_place_until_records_meet(spark, tmp_path):
+    records = [{"id": f"r{i}", "judgment": f"{{ \\ \" }}] {'x' * (i % 40)}", "tags": ["memories", "records", "[{"], "strength": i, "other": {"a": [{"b": i}]}} for i in range(300)]
+    (tmp_path / "s").mkdir()
+    for k in range(3):
+        (tmp_path / "s" / f"{k}.json").write_text(json.dumps({"tags": [{"id": "no", "x": {}}], "records": records[k::3], "end": {"id": "no"}}))
+    (tmp_path / "s" / "bare.json").write_text(json.dumps([{"id": "bare", "tags": []}]))
+    settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        read = snapshots.read_snapshot(spark, str(tmp_path / "s"))
+        got = {r.id: (r.judgment, r.tags, r.strength) for r in read.collect()}
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**{r["id"]: (r["judgment"], r["tags"], r["strength"]) for r in records}, "bare": (None, [], None)}
+    assert "SortMergeJoin" not in plan and not re.search(r"Sort \[file#\d+ ASC NULLS FIRST, block#\d+L? ASC NULLS FIRST, at#", plan)
